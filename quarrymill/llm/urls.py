@@ -25,7 +25,7 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 #: Path nodes below the host; pseudo-count of the parent's purity; purity at which a template is rejected.
-DEPTH, SMOOTHING, LIMIT = 4, 8.0, 0.5
+DEPTH, SMOOTHING, LIMIT = 4, 2.0, 0.5
 #: A branch with at least so many values of which each has few pages on average is variable.
 MANY_VALUES, FEW_PAGES = 20, 4.0
 #: Labelled shares that are merged lie in one of so many equal bands.
