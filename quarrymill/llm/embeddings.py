@@ -34,17 +34,17 @@ def plan_tables(count: int, cosine: float) -> tuple[int, int]:
     return bits, max(4, math.ceil(math.log(1 - RECALL) / math.log(1 - min(agree, 1 - 1e-9))))
 
 
-def learn(sample: np.ndarray, bits: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projections as columns): as many rotations as the bits need, each over the principal directions.
+def learn(sample: np.ndarray, bits: int, seed: int = 5) -> np.ndarray:
+    """Projections as columns: as many rotations as the bits need, each over the principal directions.
 
     Iterative quantisation: signs of the rotated sample, then the orthogonal map that brings the sample nearest to them.
+    The sample isn't centred: bits are then sides of planes through the origin, which vectors of a small angle share whatever
+    the sample's mean is (centred, the codes of one tight group would be noise).
     """
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, _, directions = np.linalg.svd(centred.T @ centred / max(1, len(sample)))
-    width = min(len(mean), 64)
+    _, _, directions = np.linalg.svd(sample.T @ sample / max(1, len(sample)))
+    width = min(sample.shape[1], 64)
     directions = directions[:width].T
-    reduced = centred @ directions
+    reduced = sample @ directions
     generator = np.random.default_rng(seed)
     columns = []
     for _ in range(math.ceil(bits / width)):
@@ -53,7 +53,7 @@ def learn(sample: np.ndarray, bits: int, seed: int = 5) -> tuple[np.ndarray, np.
             u, _, v = np.linalg.svd(np.where(reduced @ rotation >= 0, 1.0, -1.0).T @ reduced)
             rotation = (u @ v).T
         columns.append(directions @ rotation)
-    return mean, np.concatenate(columns, axis=1)[:, :bits]
+    return np.concatenate(columns, axis=1)[:, :bits]
 
 
 def usable(vector: Column) -> Column:
@@ -63,11 +63,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def table_keys(vectors: pd.Series, mean: np.ndarray, projections: np.ndarray, bits: int) -> np.ndarray:
+def table_keys(vectors: pd.Series, projections: np.ndarray, bits: int) -> np.ndarray:
     """Row per vector, column per table: the table's bits as a long."""
     v = np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    signs = ((v - mean) @ projections >= 0).reshape(len(v), -1, bits)
+    signs = (v @ projections >= 0).reshape(len(v), -1, bits)
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
@@ -157,11 +157,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     share = min(1.0, 1.2 * SAMPLE / max(1, count))
     chosen = distinct.where(F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sample = np.array([r.v for r in chosen.select("v").limit(SAMPLE).collect()] or [[1.0] * size])
-    mean, projections = learn(sample / np.linalg.norm(sample, axis=1, keepdims=True), bits * tables)
+    projections = learn(sample / np.linalg.norm(sample, axis=1, keepdims=True), bits * tables)
 
     @F.pandas_udf("struct<vec:binary,keys:binary>")
     def coded(v: pd.Series) -> pd.DataFrame:
-        keys = table_keys(v, mean, projections, bits)
+        keys = table_keys(v, projections, bits)
         unit = np.stack([np.asarray(x, dtype=np.float64) for x in v])
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         return pd.DataFrame({"vec": [x.tobytes() for x in unit], "keys": [x.tobytes() for x in keys]})
