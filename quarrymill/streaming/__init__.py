@@ -1 +1 @@
-
+"""The cleaning flow over files as they land."""
