@@ -2,18 +2,21 @@
 
 Every distinct fingerprint gets a row of Hamming distances to reference fingerprints. By the triangle inequality two
 fingerprints at distance r differ by at most r in every coordinate, so a pair whose largest coordinate difference exceeds
-the limit is discarded before it is verified.
+the limit is discarded before it is verified bit by bit.
 
 Distances to unrelated references concentrate around half the bits and can't be a join key by themselves. So some
-references are aligned with blocks of the bits: the 64 bits are cut into six blocks, and the references of a block are zero
-and the block's single bits. At a limit of 4 differing bits two blocks at least hold none of them, where all block
-coordinates agree (largest difference zero). That agreement, packed into a long, is the equi-join key: 15 tables, one for
-each pair of blocks. Other limits take limit + 2 blocks. Distances to 24 full-width references then discard candidates, and
-the survivors are verified bit by bit.
+references are aligned with sets of bits: zero and the set's single bits. Two fingerprints whose coordinates to those
+references agree (largest difference zero) agree in the set, and that agreement is an equi-join key.
+
+- A limit of few bits (fingerprints of 64): the bits are cut into limit + 2 sets. Two of them at least hold none of the
+  differing bits, so one table for each pair of sets finds every pair within the limit.
+- A similarity of shingles (fingerprints of 256 bits): the limit follows from the angle between sets of that similarity.
+  Tables take random sets of bits, as many as find RECALL of the pairs just at the similarity, and more of nearer ones.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,18 +29,20 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS = 64
 PIVOTS = 24
-#: Fingerprints in a block of a large bucket; a task holds two blocks.
-BLOCK = 4096
+#: Fingerprints in a block of a large bucket; a task holds two blocks. Groups up to SMALL are compared all at once.
+BLOCK, SMALL = 4096, 64
 SEED = 42
+#: Bits of a fingerprint that stands for a similarity; share of the pairs just at it that tables find; and the standard
+#: deviations that the estimated distance may lie above its mean.
+WIDE, RECALL, ABOVE = 256, 0.95, 1.3
 
 
-def fingerprint_bytes(text: bytes | None, width: int) -> int:
-    """SimHash of one text's UTF-8 bytes as a signed long."""
+def fingerprint_words(text: bytes | None, width: int, words_out: int = 1) -> list[int]:
+    """SimHash of one text's UTF-8 bytes: signed longs, the first from the shingles' XXH64, further ones from mixes of it."""
     words = text.lower().split() if text else []  # bytes: A-Z and the six white-space bytes only
     if not words:
-        return 0
+        return [0] * words_out
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -48,51 +53,93 @@ def fingerprint_bytes(text: bytes | None, width: int) -> int:
         starts = (ends - lengths)[:n].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:z], SEED) for a, z in zip(starts, ends[width - 1 :].tolist(), strict=True)]
-    octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(n, 8)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for k in range(0, n, 1 << 16):
-        ones += np.unpackbits(octets[k : k + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
+    h = np.array(hashes, dtype="<u8")
+    out = []
+    for k in range(words_out):
+        octets = (h if k == 0 else mixed(h, k)).view(np.uint8).reshape(n, 8)
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, n, 1 << 16):
+            ones += np.unpackbits(octets[at : at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0]))
+    return out
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another 64 bits from each hash (a multiply and xor-shift mix)."""
+    with np.errstate(over="ignore"):
+        z = h + np.uint64((k * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: Column, width: int = 4, bits: int = 64) -> Column:
+    """Array of signed longs; null and empty texts give zeros."""
+
+    @F.pandas_udf("array<bigint>")
+    def simhash(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint_words(t, width, bits // 64) for t in texts], dtype=object)
 
+    return simhash(text.cast("binary"))
 
-def fingerprint(text: Column, width: int = 4) -> Column:
-    """Signed 64-bit SimHash over word shingles; null and empty texts give zero."""
 
-    @F.pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_bytes(t, width) for t in texts], dtype="int64")
+def pivots(words: int = 1, count: int = PIVOTS) -> np.ndarray:
+    """Full-width reference fingerprints: hashes of 0, 1, 2, ... One row each."""
+    return np.array([[xxhash.xxh64_intdigest(f"{i}.{w}", 1) for w in range(words)] for i in range(count)], dtype=np.uint64)
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def pair_masks(limit: int) -> list[list[int]]:
+    """Tables for every pair within a limit on 64 bits: the bits of each pair of limit + 2 sets."""
+    parts = limit + 2
+    cuts = [round(i * 64 / parts) for i in range(parts + 1)]
+    masks = [((1 << (z - a)) - 1) << a for a, z in zip(cuts, cuts[1:], strict=False)]
+    return [[a | b] for a, b in combinations(masks, 2)]
 
-    return simhash(text.cast("binary"))
 
+def differing(similarity: float) -> float:
+    """Share of bits that differ on average between sets of a Jaccard similarity."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
-def pivots(count: int = PIVOTS) -> np.ndarray:
-    """Full-width reference fingerprints: hashes of 0, 1, 2, ..."""
-    return np.array([xxhash.xxh64_intdigest(str(i), 1) for i in range(count)], dtype=np.uint64)
 
+def wide_limit(similarity: float, bits: int = WIDE) -> int:
+    p = differing(similarity)
+    return math.floor(bits * p + ABOVE * math.sqrt(bits * p * (1 - p)))
 
-def block_masks(parts: int) -> list[int]:
-    cuts = [round(i * BITS / parts) for i in range(parts + 1)]
-    return [((1 << (z - a)) - 1) << a for a, z in zip(cuts, cuts[1:], strict=False)]
 
+def sampled_masks(count: int, similarity: float, bits: int = WIDE) -> list[list[int]]:
+    """Tables for a similarity among so many fingerprints: random sets of bits, larger and more of them as count grows."""
+    size = min(48, max(8, math.ceil(math.log2(max(2, count))) - 4))
+    agree = (1 - differing(similarity)) ** size
+    generator = np.random.default_rng(SEED)
+    masks = []
+    for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - agree))):
+        chosen = generator.choice(bits, size, replace=False).tolist()
+        masks.append([sum(1 << (b % 64) for b in chosen if b // 64 == w) for w in range(bits // 64)])
+    return masks
 
-def table_keys(fp: Column, limit: int) -> Column:
-    """Array of structs (t, key): for each pair of blocks, the pair's number and its packed coordinates."""
-    masks = block_masks(limit + 2)
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    pairs = [signed(a | b) for a, b in combinations(masks, 2)]
-    return F.array(
-        *[F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(pairs)]
-    )
 
+def table_keys(words: list[Column], masks: list[list[int]]) -> Column:
+    """Array of structs (t, key): the coordinates that a fingerprint has in each table, packed."""
+    packed = lambda mask: [w.bitwiseAND(F.lit(signed(m)).cast("long")) for w, m in zip(words, mask, strict=True)]
+    keys = [p[0] if len(p) == 1 else F.xxhash64(*p) for p in map(packed, masks)]
+    return F.array(*[F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(keys)])
 
-def forest_edges(fps: np.ndarray, blk: np.ndarray, limit: int, refs: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect all fingerprints of one group that lie within the limit of each other.
 
-    blk: where two blocks meet only pairs across them are looked at.
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def forest_edges(fps: np.ndarray, blk: np.ndarray, limit: int, tables: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect all fingerprints (rows of words) of one group that lie within the limit of each other.
+
+    blk: where two blocks meet only pairs across them are looked at. tables: the pivot distance table.
     """
     two = blk.min() != blk.max()
     forest = common.Forest(len(fps))
-    tables = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)  # the pivot distance table
     order = np.argsort(tables[:, 0], kind="stable")
     first = tables[order, 0]
     for at, i in enumerate(order.tolist()):
@@ -104,75 +151,102 @@ def forest_edges(fps: np.ndarray, blk: np.ndarray, limit: int, refs: np.ndarray)
             if len(near) < 64:
                 break
             near = near[np.abs(tables[near, k] - tables[i, k]) <= limit]
-        if not len(near):
-            continue
-        near = near[np.abs(tables[near] - tables[i]).max(axis=1) <= limit]
-        near = near[np.bitwise_count(fps[near] ^ fps[i]) <= limit]
+        near = near[np.abs(tables[near] - tables[i]).max(axis=1, initial=0) <= limit]
+        near = near[distances(fps[near], fps[i]) <= limit]
         if len(near):
             forest.link(i, near)
     return forest.edges
 
 
-def near_fingerprints(fps: DataFrame, limit: int) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints (column fp) within the limit; not all pairs of a group."""
-    keys = fps.select("fp", F.explode(table_keys(F.col("fp"), limit)).alias("k")).select("fp", "k.t", "k.key")
+def small_group_pairs(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of all pairs within each of the groups that have 2 to SMALL rows."""
+    sizes = np.diff(bounds)
+    left, right = [], []
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        starts = bounds[:-1][sizes == n]
+        left.append((starts[:, None] + i[None]).ravel())
+        right.append((starts[:, None] + j[None]).ravel())
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def near_fingerprints(fps: DataFrame, masks: list[list[int]], limit: int) -> DataFrame:
+    """Edges (a, b) between ids that connect the fingerprints within the limit; not all pairs of a large group.
+
+    fps: fp (id, long) and words (array of longs), one row per distinct fingerprint.
+    """
+    names = [f"w{k}" for k in range(len(masks[0]))]
+    wide = fps.select("fp", *[F.col("words")[k].alias(n) for k, n in enumerate(names)])
+    keys = wide.select("fp", *names, F.explode(table_keys([F.col(n) for n in names], masks)).alias("k"))
+    keys = keys.select("fp", *names, "k.t", "k.key")
     group = ["t", "key", "bi", "bj"]
-    blocks = common.blocked_buckets(keys, ["t", "key"], "fp", BLOCK).select(*group, "fp", "blk")
-    refs = pivots()
+    blocks = common.blocked_buckets(keys, ["t", "key"], "fp", BLOCK).select(*group, "fp", "blk", *names)
+    refs = pivots(len(names))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in common.whole_groups(batches, group):
-            fp, blk = whole["fp"].to_numpy().astype(np.int64).view(np.uint64), whole["blk"].to_numpy()
+            ids, blk = whole["fp"].to_numpy(), whole["blk"].to_numpy()
+            words = np.stack([whole[n].to_numpy().astype(np.int64).view(np.uint64) for n in names], axis=1)
+            tables = np.stack([distances(words, r) for r in refs], axis=1)
             bounds = common.group_bounds(whole, group)
-            a, b = [], []
-            pair = np.flatnonzero(np.diff(bounds) == 2)  # most groups: both at once
-            x, y = fp[bounds[pair]], fp[bounds[pair] + 1]
-            apart = np.abs(
-                np.bitwise_count(x[:, None] ^ refs).astype(np.int8) - np.bitwise_count(y[:, None] ^ refs).astype(np.int8)
-            ).max(axis=1, initial=0)
-            ok = (apart <= limit) & (np.bitwise_count(x ^ y) <= limit)
-            a += x[ok].tolist()
-            b += y[ok].tolist()
-            for g in np.flatnonzero(np.diff(bounds) > 2).tolist():
+            found = []
+            left, right = small_group_pairs(bounds)
+            for at in range(0, len(left), 1 << 18):
+                i, j = left[at : at + (1 << 18)], right[at : at + (1 << 18)]
+                for k in range(4):  # the first coordinates discard most of what they can
+                    close = np.abs(tables[i, k] - tables[j, k]) <= limit
+                    i, j = i[close], j[close]
+                close = distances(words[i], words[j]) <= limit
+                found += [(ids[i[close]], ids[j[close]])]
+            for g in np.flatnonzero(np.diff(bounds) > SMALL).tolist():
                 s, e = bounds[g], bounds[g + 1]
-                for i, j in forest_edges(fp[s:e], blk[s:e], limit, refs):
-                    a.append(int(fp[s + i]))
-                    b.append(int(fp[s + j]))
-            if a:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (a, b)], names=["a", "b"]
-                )
+                if pairs := forest_edges(words[s:e], blk[s:e], limit, tables[s:e]):
+                    i, j = np.array(pairs).T
+                    found.append((ids[s + i], ids[s + j]))
+            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return blocks.repartition(*group).sortWithinPartitions(*group).mapInArrow(edges, "a long, b long")
 
 
 def simhash_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4, similarity: float | None = None
 ) -> DataFrame:
     """One row per input row: id, h (a hash of the text), fp (signed long), root (of the class), component_id.
 
-    component_id is the smallest id reachable over fingerprints that differ in at most limit bits; null where no row of
-    the class has an id. Null and empty texts share fingerprint zero and are linked like any other. Equal rows are separate
-    rows of one class. An empty table gives no rows; other columns are ignored.
+    Without a similarity, 64-bit fingerprints link at limit or fewer differing bits, all of them; fp is the fingerprint.
+    With one, 256-bit fingerprints link at an estimated similarity of that or more; fp is their hash.
+    component_id is the smallest id reachable over links; null where no row of the class has an id. Null and empty texts
+    share the fingerprint zero and are linked like any other. Equal rows are separate rows of one class. An empty table gives
+    no rows; other columns are ignored.
     """
     common.small_batches(docs.sparkSession)
     text = F.col(text_col)
-    rows = common.materialise(
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), fingerprint(text, width).alias("fp"))
-    )
-    fps = common.materialise(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    linked = common.connected_components(near_fingerprints(fps, limit))
+    bits = 64 if similarity is None else WIDE
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), fingerprint(text, width, bits).alias("words"))
+    fp = F.col("words")[0] if bits == 64 else F.xxhash64("words")
+    rows = common.materialise(rows.withColumn("fp", fp))
+    fps = common.materialise(rows.groupBy("fp").agg(F.min("id").alias("low"), F.first("words").alias("words")))
+    if similarity is None:
+        masks = pair_masks(limit)
+    else:
+        masks, limit = sampled_masks(fps.count(), similarity), wide_limit(similarity)
+    linked = common.connected_components(near_fingerprints(fps, masks, limit))
     roots = fps.join(linked, fps.fp == linked.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(roots.drop("low").join(lows, "root"), "fp").select("id", "h", "fp", "root", "component_id")
+    return rows.drop("words").join(roots.drop("low").join(lows, "root"), "fp").select("id", "h", "fp", "root", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
+) -> DataFrame:
     """The documents without near copies: of each class the row with the smallest id stays, whole.
 
     Of repeated rows one stays. Where no row of a class has an id, the one with the least text hash stays.
     """
-    classes = common.materialise(simhash_classes(docs, id_col, text_col, **options))
+    classes = common.materialise(simhash_classes(docs, id_col, text_col, width, similarity=similarity))
     kept = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("k"))
     kept = kept.select(F.col("k.id").alias("_kept_id"), F.col("k.h").alias("_kept_h"))
     hashed = F.xxhash64(docs[text_col])

@@ -31,17 +31,42 @@ def corpus():
     return texts + [None, "", " \t\n", "one", "One two", "é É", "x " * 60_000]
 
 
-def test_classes_and_keeping(spark):
+def test_classes(spark):
     texts = corpus()
     rows = [(n, t, "x", 1) for n, t in enumerate(texts)] + [(5, texts[5], "x", 1), (None, texts[7], "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string, id int").repartition(7)
     got = S.simhash_classes(df).collect()
-    prints = [simhash(r[1]) for r in rows]
-    expected = simhash_components([r[0] for r in rows], prints)
+    expected = simhash_components([r[0] for r in rows], [simhash(r[1]) for r in rows])
     assert sorted((r.id, r.component_id) for r in got if r.id is not None) == sorted((r[0], e) for r, e in zip(rows, expected, strict=True) if r[0] is not None)
+
+
+def jaccard(a, b):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_one_of_each_group_of_near_copies_stays(spark):
+    generator = random.Random(6)
+    groups, rows = [], []
+    for g in range(80):
+        words = [generator.choice(WORDS) + str(generator.randrange(50)) for _ in range(generator.choice([60, 200, 600]))]
+        texts = [" ".join(words)]
+        for _ in range(g % 5):
+            copy = list(words)
+            for _ in range(len(words) // 100):  # some 5 per cent of the shingles, similarity about 0.9
+                copy[generator.randrange(len(copy))] = "changed"
+            texts.append(" ".join(copy))
+        groups.append([len(rows) + k for k in range(len(texts))])
+        rows += texts
+    assert all(jaccard(rows[g[0]], rows[k]) >= 0.8 for g in groups for k in g)
+    extra = [None, "", " \t\n", "one", "One two", "x " * 60_000]
+    data = [(n, t, "x", 1) for n, t in enumerate(rows + extra)] + [(3, rows[3], "x", 1), (None, rows[7], "x", 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, fp string, id int").repartition(5)
     kept = S.keep_one_of_each(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected))
+    ids = sorted(r.doc_id for r in kept.collect())
+    first = len(rows)
+    assert ids == [g[0] for g in groups] + [first, first + 3, first + 4, first + 5]
 
 
 def test_pairs_at_the_limit_are_found_and_dense_groups_stay_connected(spark, monkeypatch):
@@ -50,18 +75,29 @@ def test_pairs_at_the_limit_are_found_and_dense_groups_stay_connected(spark, mon
     base = int(generator.integers(1 << 62))
     near = [base ^ int(sum(1 << int(b) for b in generator.choice(64, k, replace=False))) for k in (0, 1, 2, 3, 4, 4, 4, 5, 7) for _ in range(20)]
     values = np.unique(np.array(near + generator.integers(1 << 62, size=300).tolist(), dtype=np.uint64))
-    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    df = spark.createDataFrame([(int(v), [int(v)]) for v in values.view(np.int64)], "fp long, words array<bigint>")
     from quarrymill.llm.common import connected_components
 
-    linked = {r.node: r.root for r in connected_components(S.near_fingerprints(df, 4)).collect()}
     signed = values.view(np.int64).tolist()
     expected = simhash_components(signed, values)
-    assert [linked.get(v, v) for v in signed] == expected
+    for block in (8, 4096):
+        monkeypatch.setattr(S, "BLOCK", block)
+        found = S.near_fingerprints(df, S.pair_masks(4), 4)
+        linked = {r.node: r.root for r in connected_components(found).collect()}
+        assert [linked.get(v, v) for v in signed] == expected
+
+
+def test_large_groups_by_pivots_alone():
+    generator = np.random.default_rng(8)
+    words = generator.integers(1 << 62, size=(150, 1)).astype(np.uint64)
+    words[50:] = words[0] ^ (np.uint64(1) << generator.integers(64, size=(100, 1)).astype(np.uint64))
+    tables = np.stack([S.distances(words, r) for r in S.pivots(1)], axis=1)
+    edges = S.forest_edges(words, np.zeros(150, dtype=int), 4, tables)
+    assert {i for e in edges for i in e} == {0, *range(50, 150)} and len(edges) == 100
 
 
 def test_every_pair_within_the_limit_shares_a_key():
-    masks = S.block_masks(6)
-    assert sum(masks) == (1 << 64) - 1
+    masks = [m[0] for m in S.pair_masks(4)]
     refs = S.pivots()
     generator = random.Random(1)
     for _ in range(200):
@@ -69,9 +105,17 @@ def test_every_pair_within_the_limit_shares_a_key():
         b = a
         for bit in generator.sample(range(64), 4):
             b ^= 1 << bit
-        assert sum((a & m) == (b & m) for m in masks) >= 2
-        x, y = np.uint64(a), np.uint64(b)
-        assert np.abs(np.bitwise_count(x ^ refs).astype(int) - np.bitwise_count(y ^ refs).astype(int)).max() <= 4
+        assert any((a & m) == (b & m) for m in masks)
+        x, y = np.array([a], dtype=np.uint64), np.array([b], dtype=np.uint64)
+        assert max(abs(int(S.distances(x, r)) - int(S.distances(y, r))) for r in refs) <= 4
+
+
+def test_tables_for_a_similarity():
+    for n in (100, 10**6, 10**9):
+        masks = S.sampled_masks(n, 0.8)
+        size = sum(m.bit_count() for m in masks[0])
+        assert 1 - (1 - (1 - S.differing(0.8)) ** size) ** len(masks) >= S.RECALL
+    assert 42 <= S.wide_limit(0.8) <= 50
 
 
 def test_empty_and_components_of_paths(spark):
