@@ -8,6 +8,7 @@ one Spark column, so scoring is a projection without Python.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -69,10 +70,14 @@ FEATURES = (
 PREFIX = "_qm_"
 
 
+def all_statistics(text: Column) -> dict[str, Column]:
+    words = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
+    return statistics(text) | {"distinct": F.size(F.array_distinct(words)).cast("double")}
+
+
 def with_features(df: DataFrame, text: Column) -> DataFrame:
     """df with one column per feature, named PREFIX + feature: clashes with no column of its own."""
-    own = statistics(text)
-    own["distinct"] = F.size(F.array_distinct(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"))).cast("double")
+    own = all_statistics(text)
     df = df.withColumns({f"{PREFIX}s_{k}": v for k, v in own.items()})
     features = shares({k: F.col(f"{PREFIX}s_{k}") for k in own})
     return df.withColumns({PREFIX + k: v for k, v in features.items()}).drop(*[f"{PREFIX}s_{k}" for k in own])
@@ -104,10 +109,14 @@ def tree_rules(debug: str) -> set[Rule]:
     return found
 
 
-def rule_column(rule: Rule) -> Column:
+def named(name: str) -> Column:
+    return F.col(PREFIX + name)
+
+
+def rule_column(rule: Rule, get: Callable[[str], Column] = named) -> Column:
     held = F.lit(True)
     for name, low, high in rule:
-        c = F.col(PREFIX + name)
+        c = get(name)
         if low is not None:
             held = held & (c > low)
         if high is not None:
@@ -122,11 +131,11 @@ class RuleModel:
     intercept: float = 0.0
     rules: list[tuple[Rule, float]] = field(default_factory=list)
 
-    def score(self) -> Column:
-        """Score from 0 to 1 over the feature columns."""
+    def score(self, get: Callable[[str], Column] = named) -> Column:
+        """Score from 0 to 1 over the features that get returns by name."""
         total = F.lit(float(self.intercept))
         for rule, weight in self.rules:
-            total = total + F.lit(float(weight)) * rule_column(rule)
+            total = total + F.lit(float(weight)) * rule_column(rule, get)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -190,9 +199,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
 
 
 def scored(docs: DataFrame, model: RuleModel, column: str = "score", text_col: str = "text") -> DataFrame:
-    """The documents with a score from 0 to 1 in the given column; null and empty texts are scored as empty ones."""
-    out = with_features(docs, docs[text_col])
-    return out.withColumn(column, model.score()).drop(*[PREFIX + f for f in FEATURES])
+    """The documents with a score from 0 to 1 in the given column; null and empty texts are scored as empty ones.
+
+    Statistics and features are bound by lambdas, so that a filter on the score, which Spark moves below projections with
+    all it refers to, still takes each statistic once.
+    """
+    own = all_statistics(docs[text_col])
+    held = F.array(F.struct(*[v.alias(k) for k, v in own.items()]))
+    features = F.transform(held, lambda s: F.struct(*[v.alias(k) for k, v in shares({k: s[k] for k in own}).items()]))
+    return docs.withColumn(column, F.transform(features, lambda f: model.score(lambda name: f[name]))[0])
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
