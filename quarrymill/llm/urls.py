@@ -77,6 +77,18 @@ def variable_values(pages: DataFrame) -> DataFrame:
     )
 
 
+def with_wildcards(rows: DataFrame) -> DataFrame:
+    """Segments below a varying branch become *: one join for each depth, so no host's branches are gathered in one row."""
+    varying = common.materialise(variable_values(rows))
+    for depth in range(DEPTH):
+        at = varying.where(F.col("depth") == depth).select(F.col("host").alias("_h"), F.col("prefix").alias("_p"), F.lit(True).alias(f"_v{depth}"))
+        prefix = F.when(F.size("segments") > depth, F.array_join(F.slice("segments", 1, depth), "/"))
+        rows = rows.join(at, (F.col("host") == F.col("_h")) & (prefix == F.col("_p")), "left").drop("_h", "_p")
+    flags = F.array(*[F.coalesce(f"_v{depth}", F.lit(False)) for depth in range(DEPTH)])
+    starred = F.transform("segments", lambda s, i: F.when(F.coalesce(F.get(flags, i), F.lit(False)), F.lit("*")).otherwise(s))
+    return rows.withColumn("segments", starred).drop(*[f"_v{depth}" for depth in range(DEPTH)])
+
+
 def nodes_of(host: Column, segments: Column) -> Column:
     """The names of a page's nodes from the root down: all hosts, domain suffixes, the host, path nodes; depth-limited."""
     labels = F.slice(F.reverse(F.split(host, r"\.")), 1, 3)
@@ -139,18 +151,9 @@ def judged(
         rows = rows.join(known, "id", "left")
     rows = common.materialise(rows)
 
-    # Wildcards by spread: a segment below a varying branch.
-    varying = variable_values(rows).groupBy("host").agg(F.collect_set(F.concat("depth", F.lit("|"), "prefix")).alias("varying"))
-    rows = rows.join(varying, "host", "left")
-    at = lambda i: F.concat(i, F.lit("|"), F.array_join(F.slice("segments", 1, i), "/"))
-    rows = rows.withColumn(
-        "segments",
-        F.when(F.col("varying").isNull(), F.col("segments")).otherwise(
-            F.transform("segments", lambda s, i: F.when(F.array_contains("varying", at(i)), F.lit("*")).otherwise(s))
-        ),
-    )
+    rows = with_wildcards(rows)
     rows = merged(rows).withColumn("nodes", nodes_of(F.col("host"), F.col("segments")))
-    rows = common.materialise(rows.drop("varying"))
+    rows = common.materialise(rows)
 
     # The deepest node of a page that has a purity judges it.
     known = purities(rows)
@@ -172,18 +175,20 @@ def merged(rows: DataFrame) -> DataFrame:
     """
     rest = F.array_join(F.slice("segments", 2, F.greatest(F.size("segments") - 1, F.lit(0))), "/")
     keyed = rows.withColumns({"_first": F.try_element_at("segments", F.lit(1)), "_rest": F.when(F.size("segments") > 0, rest)})
-    branches = (
+    shapes = (
         keyed.where("bad is not null and _first is not null and not _first like '{%' and _first <> '*'")
-        .groupBy("host", "_first")
-        .agg(F.avg("bad").alias("share"), F.array_sort(F.collect_set(F.substring("_rest", 1, 64))).alias("shapes"))
-    )
-    branches = branches.where(F.size("shapes") <= 32).withColumn(
-        "band", F.least(F.floor(F.col("share") * BANDS), F.lit(BANDS - 1))
+        .groupBy("host", "_first", F.xxhash64("_rest").alias("shape"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     )
-    groups = branches.groupBy("host", "shapes", "band").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_first").alias("low"), F.max("_first").alias("high")
+    # A branch's set of shapes as a count and a sum of hashes: bounded whatever the branch holds.
+    branches = shapes.groupBy("host", "_first").agg(
+        F.count(F.lit(1)).alias("shapes"),
+        F.sum(F.col("shape").cast("decimal(38,0)")).alias("signature"),
+        F.least(F.floor(F.sum("bad") / F.sum("n") * BANDS), F.lit(BANDS - 1)).alias("band"),
     )
-    names = branches.join(groups.where("n > 1"), ["host", "shapes", "band"]).select(
+    same = ["host", "shapes", "signature", "band"]
+    groups = branches.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("_first").alias("low"), F.max("_first").alias("high"))
+    names = branches.join(groups.where("n > 1"), same).select(
         F.col("host").alias("_h"), F.col("_first").alias("_f"), F.concat(F.lit("{"), "low", F.lit(".."), "high", F.lit("}")).alias("_name")
     )
     out = keyed.join(names, (F.col("host") == F.col("_h")) & (F.col("_first") == F.col("_f")), "left")
