@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-EVERYTHING = W.partitionBy()
+
+def everything() -> WindowSpec:
+    """All rows of an aggregate with one row per group."""
+    return W.partitionBy()
 
 
 def money(x: str | Column) -> Column:
@@ -122,18 +126,18 @@ def without_blank(df: DataFrame, dim: str) -> DataFrame:
 
 def share_of_total(grouped: DataFrame, value: str, name: str) -> DataFrame:
     """Each group's share of the sum over all groups; the input is an aggregate with one row per group."""
-    total = F.sum(F.col(value).cast("double")).over(EVERYTHING)
+    total = F.sum(F.col(value).cast("double")).over(everything())
     return grouped.withColumn(name, F.try_divide(F.col(value).cast("double"), total))
 
 
 def ratio_to_max(grouped: DataFrame, value: str, name: str) -> DataFrame:
-    return grouped.withColumn(name, F.try_divide(F.col(value).cast("double"), F.max(F.col(value).cast("double")).over(EVERYTHING)))
+    return grouped.withColumn(name, F.try_divide(F.col(value).cast("double"), F.max(F.col(value).cast("double")).over(everything())))
 
 
 def minmax_scale(grouped: DataFrame, value: str, name: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Value scaled to low..high; low where all values are equal."""
     x = F.col(value).cast("double")
-    least, most = F.min(x).over(EVERYTHING), F.max(x).over(EVERYTHING)
+    least, most = F.min(x).over(everything()), F.max(x).over(everything())
     share = F.coalesce(F.try_divide(x - least, most - least), F.lit(0.0))
     return grouped.withColumn(name, low + (high - low) * share)
 
