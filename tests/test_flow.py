@@ -57,8 +57,12 @@ def test_same_result_for_any_partitioning(spark, small_dir):
     assert len(seen) == 1
 
 
-def test_plan_has_one_shuffle_of_the_records_and_no_python(spark):
+def test_plan_has_one_shuffle_of_the_records_and_no_python(spark, tmp_path):
     raw, brands = frames(spark, [raw_row()])
+    files.write_delimited(raw, str(tmp_path / "raw"))
+    files.write_delimited(brands, str(tmp_path / "brands"))
+    raw = files.scan_delimited(spark, str(tmp_path / "raw"), flow.RAW_COLUMNS)
+    brands = files.scan_delimited(spark, str(tmp_path / "brands"), flow.BRAND_MAP_COLUMNS)
     plan = flow.clean_catalog(raw, brands)[0]._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan and "EvalPython" not in plan
     assert plan.count("Exchange hashpartitioning(pid") == 1
@@ -78,5 +82,6 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     stream = ingest.landing(spark, str(tmp_path / "in"), 1)
     ingest.clean_stream(stream, brands, flow.CatalogRules(), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     got = [tuple(r) for r in ingest.latest(spark, str(tmp_path / "out")).collect()]
-    assert got == [tuple(r) for r in flow.clean_catalog(raw, brands)[0].collect()]
+    landed = files.scan_delimited(spark, str(tmp_path / "in/*.csv.gz"), flow.RAW_COLUMNS)
+    assert got == [tuple(r) for r in flow.clean_catalog(landed, brands)[0].collect()] and got
     assert spark.read.parquet(str(tmp_path / "out/quarantine")).count() == 1
