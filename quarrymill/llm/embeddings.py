@@ -71,27 +71,29 @@ def table_keys(vectors: pd.Series, projections: np.ndarray, bits: int) -> np.nda
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def near_vectors(reps: DataFrame, size: int, cosine: float, tables: int) -> DataFrame:
+def near_vectors(reps: DataFrame, size: int, cosine: float, tables: int, single: bool) -> DataFrame:
     """Rows (a, b, n): n links of vector a found in one group (b null), or an edge from a to b (n 0).
 
-    reps: rep, copies, vec (binary float64), keys (binary longs, one for each table).
+    reps: rep, copies, vec (binary, float32 if single, else float64), keys (binary, one number for each table). Buckets are
+    formed on ids alone; the vectors join them once, on the way to the tasks that compare.
     """
-    keyed = reps.select(
-        "*",
-        F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"),
-    )
-    keyed = keyed.withColumn("key", F.substring("keys", F.col("t") * 8 + 1, F.lit(8)))
+    keyed = reps.select("rep", "keys", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"))
+    width = F.octet_length("keys") / tables
+    key = F.substring("keys", (F.col("t") * width + 1).cast("int"), width.cast("int"))
     group = ["t", "bucket", "bi", "bj"]
-    keyed = keyed.withColumn("bucket", F.xxhash64("key")).drop("key")
-    blocks = common.blocked_buckets(keyed, ["t", "bucket"], "rep", BLOCK)
+    keyed = keyed.select("rep", "t", F.xxhash64(key).alias("bucket"))
+    blocks = common.blocked_buckets(keyed, ["t", "bucket"], "rep", BLOCK).join(reps, "rep")
+    kind = np.float32 if single else np.float64
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in common.whole_groups(batches, group):
             whole = whole.combine_chunks()
             rep, copies = whole["rep"].to_numpy(), whole["copies"].to_numpy()
             blk, t = whole["blk"].to_numpy(), whole["t"].to_numpy()
-            vec = np.frombuffer(b"".join(whole["vec"].to_pylist()), dtype=np.float64).reshape(-1, size)
-            keys = np.frombuffer(b"".join(whole["keys"].to_pylist()), dtype=np.int64).reshape(-1, tables)
+            vec = np.frombuffer(b"".join(whole["vec"].to_pylist()), dtype=kind).reshape(-1, size).astype(np.float64)
+            vec /= np.linalg.norm(vec, axis=1, keepdims=True)
+            packed = b"".join(whole["keys"].to_pylist())
+            keys = np.frombuffer(packed, dtype=f"i{len(packed) // (len(rep) * tables)}").reshape(-1, tables)
             bounds = common.group_bounds(whole, group).tolist()
             a, b, n = [], [], []
             for s, e in zip(bounds, bounds[1:], strict=False):
@@ -154,6 +156,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     distinct = common.materialise(distinct.withColumn("rep", F.coalesce("low", F.xxhash64("v"))))
     count = distinct.count()
     bits, tables = plan_tables(count, cosine)
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     share = min(1.0, 1.2 * SAMPLE / max(1, count))
     chosen = distinct.where(F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sample = np.array([r.v for r in chosen.select("v").limit(SAMPLE).collect()] or [[1.0] * size])
@@ -161,13 +164,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     @F.pandas_udf("struct<vec:binary,keys:binary>")
     def coded(v: pd.Series) -> pd.DataFrame:
-        keys = table_keys(v, projections, bits)
-        unit = np.stack([np.asarray(x, dtype=np.float64) for x in v])
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        return pd.DataFrame({"vec": [x.tobytes() for x in unit], "keys": [x.tobytes() for x in keys]})
+        keys = table_keys(v, projections, bits).astype(np.int32 if bits < 32 else np.int64)
+        kind = np.float32 if single else np.float64
+        return pd.DataFrame({"vec": [np.asarray(x, dtype=kind).tobytes() for x in v], "keys": [x.tobytes() for x in keys]})
 
     reps = common.materialise(distinct.select("rep", "copies", coded("v").alias("c")).select("rep", "copies", "c.*"))
-    found = common.materialise(near_vectors(reps, size, cosine, tables))
+    found = common.materialise(near_vectors(reps, size, cosine, tables, single))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     roots = common.connected_components(found.where("b is not null").select("a", "b"))
     joined = distinct.join(counts, "rep", "left").join(roots, distinct.rep == roots.node, "left")
