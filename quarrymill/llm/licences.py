@@ -2,12 +2,14 @@
 
 A text is reduced to its words. A notice that may have k errors is split into k + 1 pieces; a place with k errors at most
 holds one of them unchanged (pigeonhole), so exact search for the pieces finds every candidate. The regex library's
-bounded-error matching then verifies the surroundings of each candidate and reports the span.
+bounded-error matching then verifies the surroundings of each candidate by itself and reports the span.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from functools import cache
+from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
 import pandas as pd
@@ -81,29 +83,49 @@ def places(text: bytes, phrase: bytes) -> list[int]:
     return found
 
 
+def best_in(notice: Notice, words: bytes, a: int, z: int) -> tuple | None:
+    """The notice's best place between two offsets, as an entry of fuzzy()'s heap; None where there is none."""
+    if z - a < len(notice.text) - notice.errors or not (m := notice.pattern.search(words, a, z)):
+        return None
+    errors = sum(m.fuzzy_counts)
+    return (errors / len(notice.text), -len(notice.text), m.start(), notice.label, m.end(), errors, a, z)
+
+
 def fuzzy(words: bytes) -> list[Found]:
-    """Notices in a text of single-spaced words; where two overlap the one with the better score stays."""
-    found: list[tuple[float, int, int, Notice, int]] = []
-    for notice in notices():
-        windows: list[list[int]] = []
-        reach = notice.errors
-        for seed, offset in notice.seeds:
-            for at in places(words, seed):
-                windows.append([max(0, at - offset - reach), at - offset + len(notice.text) + reach])
-        merged: list[list[int]] = []
-        for a, z in sorted(windows):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], z)
-            else:
-                merged.append([a, z])
-        for a, z in merged:
-            for m in notice.pattern.finditer(words, a, min(z, len(words))):
-                errors = sum(m.fuzzy_counts)
-                found.append((1 - errors / len(notice.text), m.start(), m.end(), notice, errors))
+    """Notices in a text of single-spaced words; where two overlap the one with the better score stays.
+
+    Each place lies in the window of each of its seeds. The best place of all windows is kept; what is left of a window beside
+    the kept places is searched again until nothing is found, so no place hides a worse one that it doesn't overlap.
+    """
+    by_label = {n.label: n for n in notices()}
+    heap: list[tuple] = []
+    for notice in by_label.values():
+        starts = {at - offset for seed, offset in notice.seeds for at in places(words, seed)}
+        for start in starts:
+            a, z = max(0, start - notice.errors), min(len(words), start + len(notice.text) + notice.errors)
+            if one := best_in(notice, words, a, z):
+                heap.append(one)
+    heapify(heap)
+    spans: list[tuple[int, int]] = []  # kept, in order
     kept: list[tuple] = []
-    for one in sorted(found, key=lambda f: (-f[0], -len(f[3].text), f[1], f[3].label)):
-        if all(one[2] <= k[1] or k[2] <= one[1] for k in kept):
-            kept.append(one)
+    while heap:
+        share, _, start, label, end, errors, a, z = heappop(heap)
+        k = bisect_left(spans, (start, start))
+        k -= k > 0 and spans[k - 1][1] > start
+        if k == len(spans) or spans[k][0] >= end:
+            insort(spans, (start, end))
+            kept.append((1 - share, start, end, by_label[label], errors))
+        # The parts of the window that no kept place covers.
+        k = bisect_left(spans, (a, a))
+        k -= k > 0 and spans[k - 1][1] > a
+        at = a
+        while k < len(spans) and spans[k][0] < z:
+            if one := best_in(by_label[label], words, at, spans[k][0]):
+                heappush(heap, one)
+            at = max(at, spans[k][1])
+            k += 1
+        if one := best_in(by_label[label], words, at, z):
+            heappush(heap, one)
     out = []
     for score, a, z, notice, errors in kept:
         a += words[a:z].startswith(b" ")

@@ -56,3 +56,39 @@ def test_errors_within_the_bound_are_found_and_others_not():
 
 def test_clean_texts_have_nothing():
     assert L.scan(b"the license of the software is not stated here and all rights are yours")[1:] == ([], [])
+
+
+def nearest(words, text, errors):
+    """{(start, end): edits} of all places with so many edits at most, by plain dynamic programming."""
+    out = {}
+    for a in range(len(words)):
+        row = list(range(len(text) + 1))
+        for z in range(a + 1, min(len(words), a + len(text) + errors) + 1):
+            last, row = row, [z - a]
+            for j, c in enumerate(text):
+                row.append(min(last[j] + (c != words[z - 1]), last[j + 1] + 1, row[j] + 1))
+            if row[-1] <= errors:
+                out[a, z] = row[-1]
+    return out
+
+
+NEIGHBOURS = [
+    "released under the mit licence released under the mit license",
+    "dual licensed gnu genral public licence version 2 or gnu general public license version 3 only",
+    "all rights reserved all right reserved al rights reserved all rights reserved",
+    "licensed under the apache licence version 2 0 mozilla public license version 2 mozila public license version 2",
+    "gnu lesser general public licence gnu affero general public license version 3 gnu lesser general public license",
+]
+
+
+def test_neighbouring_notices_against_brute_force():
+    for text in NEIGHBOURS:
+        words = text.encode()
+        places = [(e / len(n.text), -len(n.text), a, n.label, z, e) for n in L.notices() for (a, z), e in nearest(words, n.text, n.errors).items()]
+        kept = []
+        for one in sorted(places):
+            if all(one[4] <= k[2] or k[4] <= one[2] for k in kept):
+                kept.append(one)
+        assert [(f.label, f.errors) for f in L.fuzzy(words)] == [(k[3], k[5]) for k in sorted(kept, key=lambda k: k[2])], text
+    assert {f.label for f in L.fuzzy(NEIGHBOURS[1].encode())} == {"gpl-2", "gpl-3"}
+    assert len(L.fuzzy(NEIGHBOURS[0].encode())) == 2
