@@ -199,17 +199,45 @@ def merged(rows: DataFrame) -> DataFrame:
 
 #: Words in a host that mark its pages as bad, for the query's labels. Fixed values.
 SEEDS = ("spam", "pills", "casino", "bets", "track", "warez", "phish")
+#: A page whose visible text has this share of words with doubled symbols is bad; with at most the other share, and so many
+#: words at least, good. Fixed values.
+JUNK, CLEAN, WORDS = 0.3, 0.1, 50
 
 
-def seed_labels(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, bad): 1 where the host has a seed word, 0 where a rule allows the page, else no row."""
+def visible(html: Column) -> Column:
+    """The text outside of tags, scripts and styles. One pass: what follows <script or <style goes up to its end tag."""
+    parts = F.split(html, r"(?i)<(?=(?:script|style)\b)")
+    shown = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.get(F.split(p, r"(?i)</(?=(?:script|style)\b)", 2), F.lit(1))))
+    text = F.array_join(F.transform(shown, lambda p: F.coalesce(F.when(p.rlike(r"(?i)^(?:script|style)\b"), F.concat(F.lit("<"), p)).otherwise(p), F.lit(""))), " ")
+    return F.regexp_replace(text, r"<[^>]*+>?+", " ")
+
+
+def page_signal(html: Column) -> Column:
+    """1 where a page's visible text is junk, 0 where it is clean and long enough, else null."""
+    text = F.array(visible(F.coalesce(html, F.lit(""))))
+    junk = r"(?:[#*%$~|^{}=]|&[a-z]{2,8}+;){2,}+"
+    # Through arrays of one element, so that the text and its counts are taken once.
+    counts = F.transform(text, lambda t: F.struct(F.regexp_count(t, F.lit(r"\S++")).alias("n"), F.regexp_count(t, F.lit(junk)).alias("junk")))
+    signal = lambda c: F.when(c["junk"] >= F.greatest(c["n"], F.lit(1)) * JUNK, 1).when((c["n"] >= WORDS) & (c["junk"] <= c["n"] * CLEAN), 0)
+    return F.get(F.transform(counts, signal), F.lit(0))
+
+
+def seed_labels(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = None) -> DataFrame:
+    """(id, bad): 1 where the host has a seed word, 0 where a rule allows the page, else by the page's text; or no row.
+
+    The text's labels stand on all hosts, so that branches outside the allowing rules have good labels as well as bad ones.
+    """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     _, verdict = rule_for(host, path)
     bad = F.when(host.rlike("|".join(SEEDS)), 1).when(verdict == "allow", 0)
-    return pages.select(F.col(id_col).alias("id"), bad.alias("bad")).where("bad is not null")
+    if html_col is not None:
+        bad = bad.otherwise(page_signal(F.col(html_col)))
+    labels = pages.select(F.col(id_col).alias("id"), bad.alias("bad"))
+    # Written before it is filtered: a filter would take the text a second time.
+    return (labels if html_col is None else common.materialise(labels)).where("bad is not null")
 
 
 def op4_url_filters(spark, sf_dir: str) -> DataFrame:
-    pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
-    found = judged(pages, seed_labels(pages))
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = judged(pages, seed_labels(pages, html_col="html"))
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "template", "purity")

@@ -68,3 +68,23 @@ def test_similar_branches_merge(spark):
 
 def test_empty(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_text_labels_cover_hosts_without_rules(spark):
+    clean = "<style>p{}</style><script>x = '###';</script><p>" + "plain words of a page " * 20 + "</p>"
+    junk = "<p>" + "some*** words### of%%% junk$$$ " * 20
+    assert [r.s for r in spark.createDataFrame([(clean,), (junk,), ("<p>short",), (None,)], "h string").select(urls.page_signal(F.col("h")).alias("s")).collect()] == [0, 1, None, None]
+    rows = [(n, f"http://spam-farm.example.net/x/{n}", clean) for n in range(6)]
+    rows += [(100 + n, f"http://good.example.net/en/{n}", clean) for n in range(12)]
+    rows += [(200 + n, f"http://thin.example.net/en/{n}", "<p>short") for n in range(3)]
+    rows += [(300 + n, f"http://mixed.example.net/{b}/{n}", h) for n, (b, h) in enumerate([("ok", clean), ("bad", junk)] * 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: r.verdict for r in urls.judged(df, urls.seed_labels(df, html_col="html")).collect()}
+    blocked = {n for n, v in got.items() if v == "block"}
+    assert blocked == {*range(6), *range(301, 312, 2)}
+
+
+def test_query_labels_pages_outside_the_allowing_rules(spark, small_dir):
+    pages = spark.read.parquet(f"{small_dir}/pages.parquet")
+    labelled = urls.seed_labels(pages, html_col="html").join(pages.withColumnRenamed("page_id", "id"), "id")
+    assert labelled.where("bad = 0 and not url rlike '^[^/]*//[^/?#]*com([/?#]|$)'").count() > 0
