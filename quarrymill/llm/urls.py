@@ -24,8 +24,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Path nodes below the host; pseudo-count of the parent's purity; purity at which a template is rejected.
-DEPTH, SMOOTHING, LIMIT = 4, 2.0, 0.5
+#: Pseudo-count of the parent's purity; purity at which a template is rejected.
+SMOOTHING, LIMIT = 2.0, 0.5
 #: A branch with at least so many values of which each has few pages on average is variable.
 MANY_VALUES, FEW_PAGES = 20, 4.0
 #: Labelled shares that are merged lie in one of so many equal bands.
@@ -66,65 +66,56 @@ def generalised(segment: Column) -> Column:
     return F.when(form.isNull(), segment).otherwise(F.concat(form, ending))
 
 
-def variable_values(pages: DataFrame) -> DataFrame:
-    """(host, depth, prefix) of branches whose literal values vary: many values, few pages each."""
-    steps = pages.select("host", F.posexplode("segments").alias("depth", "segment"), "segments")
-    steps = steps.where(F.col("depth") < DEPTH).withColumn("prefix", F.array_join(F.slice("segments", 1, F.col("depth")), "/"))
-    values = steps.groupBy("host", "depth", "prefix", "segment").agg(F.count(F.lit(1)).alias("n"))
-    spread = values.groupBy("host", "depth", "prefix").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("pages"))
-    return spread.where((F.col("values") >= MANY_VALUES) & (F.col("pages") < F.col("values") * FEW_PAGES)).select(
-        "host", "depth", "prefix"
-    )
+def prefix_keys(host: Column, segments: Column) -> Column:
+    """A hash of the host and of each prefix of the segments, none to all: one more element than segments."""
+    start = F.array(F.xxhash64(F.lit("/"), host))
+    return F.aggregate(segments, start, lambda acc, s: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), s))))
+
+
+def variable_values(steps: DataFrame) -> DataFrame:
+    """(depth, prefix) of branches whose literal values vary: many values, few pages each. steps: depth, prefix, segment, pages."""
+    values = steps.groupBy("depth", "prefix", "segment").agg(F.sum("pages").alias("n"))
+    spread = values.groupBy("depth", "prefix").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("pages"))
+    return spread.where((F.col("values") >= MANY_VALUES) & (F.col("pages") < F.col("values") * FEW_PAGES)).select("depth", "prefix")
 
 
 def with_wildcards(rows: DataFrame) -> DataFrame:
-    """Segments below a varying branch become *: one join for each depth, so no host's branches are gathered in one row."""
-    varying = common.materialise(variable_values(rows))
-    for depth in range(DEPTH):
-        at = varying.where(F.col("depth") == depth).select(F.col("host").alias("_h"), F.col("prefix").alias("_p"), F.lit(True).alias(f"_v{depth}"))
-        prefix = F.when(F.size("segments") > depth, F.array_join(F.slice("segments", 1, depth), "/"))
-        rows = rows.join(at, (F.col("host") == F.col("_h")) & (prefix == F.col("_p")), "left").drop("_h", "_p")
-    flags = F.array(*[F.coalesce(f"_v{depth}", F.lit(False)) for depth in range(DEPTH)])
-    starred = F.transform("segments", lambda s, i: F.when(F.coalesce(F.get(flags, i), F.lit(False)), F.lit("*")).otherwise(s))
-    return rows.withColumn("segments", starred).drop(*[f"_v{depth}" for depth in range(DEPTH)])
+    """Segments below a varying branch become *, at any depth: one join, and only a path's own branches come together."""
+    paths = rows.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("pages")).withColumn("keys", prefix_keys(F.col("host"), F.col("segments")))
+    steps = paths.select("host", "segments", "pages", "keys", F.posexplode("segments").alias("depth", "segment"))
+    steps = steps.withColumn("prefix", F.get("keys", F.col("depth"))).drop("keys")
+    varying = common.materialise(variable_values(steps))
+    stars = steps.join(varying, ["depth", "prefix"]).groupBy("host", "segments").agg(F.collect_set("depth").alias("stars"))
+    stars = stars.select(F.col("host").alias("_h"), F.col("segments").alias("_s"), "stars")
+    rows = rows.join(stars, (F.col("host") == F.col("_h")) & (F.col("segments") == F.col("_s")), "left")
+    starred = F.transform("segments", lambda s, i: F.when(F.array_contains("stars", i), F.lit("*")).otherwise(s))
+    return rows.withColumn("segments", F.when(F.col("stars").isNull(), F.col("segments")).otherwise(starred)).drop("_h", "_s", "stars")
 
 
 def nodes_of(host: Column, segments: Column) -> Column:
-    """The names of a page's nodes from the root down: all hosts, domain suffixes, the host, path nodes; depth-limited."""
+    """The keys of a page's nodes from the root down: all hosts, domain suffixes, the host, one for each segment."""
     labels = F.slice(F.reverse(F.split(host, r"\.")), 1, 3)
     suffixes = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))),
-        lambda i: F.concat(F.lit("."), F.array_join(F.reverse(F.slice(labels, 1, i)), ".")),
-    )
-    paths = F.transform(
-        F.sequence(F.lit(0), F.least(F.size(segments), F.lit(DEPTH))),
-        lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")),
-    )
-    return F.concat(F.array(F.lit("")), suffixes, paths)
-
-
-def purities(pages: DataFrame) -> DataFrame:
-    """Smoothed purity of every labelled page node: columns node, purity. pages: nodes, bad (null: unlabelled)."""
-    counted = (
-        pages.where("bad is not null")
-        .select(F.posexplode("nodes").alias("level", "node"), "nodes", "bad")
-        .groupBy("node", "level")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("bad").alias("bad"),
-            F.min(F.when(F.col("level") > 0, F.element_at("nodes", F.col("level"))).otherwise(F.lit(None))).alias("parent"),
-        )
+        lambda i: F.xxhash64(F.lit("."), F.array_join(F.reverse(F.slice(labels, 1, i)), ".")),
     )
-    counted = common.materialise(counted)
-    known = counted.where("level = 0").select("node", ((F.col("bad") + 1) / (F.col("n") + 2)).alias("purity"))
-    found = known
-    for level in range(1, 4 + DEPTH + 1):
-        at = counted.where(F.col("level") == level)
-        up = known.select(F.col("node").alias("parent"), F.col("purity").alias("above"))
-        at = at.join(up, "parent")
-        known = at.select("node", ((F.col("bad") + SMOOTHING * F.col("above")) / (F.col("n") + SMOOTHING)).alias("purity"))
-        found = found.union(known)
-    return common.materialise(found)
+    return F.concat(F.array(F.lit(0).cast("long")), suffixes, prefix_keys(host, segments))
+
+
+def purities(rows: DataFrame) -> DataFrame:
+    """Smoothed purity of every template that has labelled nodes: host, segments, purity. bad: null where unlabelled.
+
+    A node's purity is smoothed towards its parent's, the root's towards a half. Labelled pages label all their nodes, so the
+    labelled nodes of a template are the first ones of its path: its purity follows from their counts in order.
+    """
+    templates = rows.groupBy("host", "segments").agg(F.count("bad").alias("n"), F.sum("bad").alias("bad"))
+    templates = common.materialise(templates.withColumn("nodes", nodes_of(F.col("host"), F.col("segments"))))
+    placed = templates.select("host", "segments", "n", "bad", F.posexplode("nodes").alias("level", "node"))
+    counted = placed.where("n > 0").groupBy("node", "level").agg(F.sum("n").alias("_n"), F.sum("bad").alias("_bad"))
+    met = placed.join(common.materialise(counted), ["node", "level"])
+    met = met.groupBy("host", "segments").agg(F.array_sort(F.collect_list(F.struct("level", "_n", "_bad"))).alias("met"))
+    fold = lambda above, x: (x["_bad"] + above * SMOOTHING) / (x["_n"] + SMOOTHING)
+    return met.select("host", "segments", F.aggregate("met", F.lit(0.5), fold).alias("purity"))
 
 
 def judged(
@@ -152,14 +143,10 @@ def judged(
     rows = common.materialise(rows)
 
     rows = with_wildcards(rows)
-    rows = merged(rows).withColumn("nodes", nodes_of(F.col("host"), F.col("segments")))
-    rows = common.materialise(rows)
+    rows = common.materialise(merged(rows))
 
-    # The deepest node of a page that has a purity judges it.
-    known = purities(rows)
-    templates = rows.select("host", "segments", "nodes").groupBy("host", "segments").agg(F.first("nodes").alias("nodes"))
-    placed = templates.select("host", "segments", F.posexplode("nodes").alias("level", "node")).join(known, "node")
-    deepest = placed.groupBy("host", "segments").agg(F.max_by("purity", "level").alias("purity"))
+    # The deepest labelled node of a page judges it.
+    deepest = purities(rows)
     shape = F.concat(F.lit("/"), F.array_join("segments", "/")).alias("template")
     purity = F.coalesce("purity", F.lit(LIMIT / 2)).alias("purity")
     method = F.when(F.col("purity") >= LIMIT, "block").otherwise("allow")

@@ -88,3 +88,14 @@ def test_query_labels_pages_outside_the_allowing_rules(spark, small_dir):
     pages = spark.read.parquet(f"{small_dir}/pages.parquet")
     labelled = urls.seed_labels(pages, html_col="html").join(pages.withColumnRenamed("page_id", "id"), "id")
     assert labelled.where("bad = 0 and not url rlike '^[^/]*//[^/?#]*com([/?#]|$)'").count() > 0
+
+
+def test_deep_templates_are_told_apart_and_generalised(spark):
+    rows = [(n, f"http://h.org/a/b/c/d/e/{'bad' if n % 2 else 'good'}/{n}") for n in range(40)]
+    words = [f"{chr(97 + a)}{chr(97 + b)}" for a in range(10) for b in range(5)]
+    rows += [(100 + n, f"http://v.org/1/2/3/4/5/tag/{w}/x") for n, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    labels = df.where("page_id < 20").select(F.col("page_id").alias("id"), (F.col("page_id") % 2).cast("int").alias("bad"))
+    got = {r.id: r for r in urls.judged(df, labels).collect()}
+    assert all(got[n].verdict == ("block" if n % 2 else "allow") for n in range(40))
+    assert {got[100 + n].template for n in range(50)} == {"/{n}/{n}/{n}/{n}/{n}/tag/*/x"}
