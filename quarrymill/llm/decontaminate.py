@@ -55,8 +55,8 @@ def question_and_answer(text: bytes) -> tuple[set[bytes], set[bytes]]:
 class Index:
     """Inverted index of one shard of items, with block maxima of the impacts."""
 
-    def __init__(self, items: list[tuple[int, bytes]], frequency: dict[bytes, int], count: int, mean: float) -> None:
-        items = sorted((i, t) for i, t in items if words_of(t))
+    def __init__(self, items: list[tuple[int | None, bytes]], frequency: dict[bytes, int], count: int, mean: float) -> None:
+        items = sorted(((i, t) for i, t in items if words_of(t)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
         self.whole = [shingles(words_of(t)) for _, t in items]
@@ -124,30 +124,30 @@ class Index:
                     row = (self.ids[at], a, score, whole, q, n)
                     if at not in best or (row[3], row[2]) > (best[at][3], best[at][2]):
                         best[at] = row
-        return sorted(best.values())
+        return sorted(best.values(), key=lambda row: (row[0] is None, row[0] or 0, *row[1:]))
 
 
 def indexes(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Index]:
     """The items' index in shards of SHARD_TERMS term occurrences at most (one longer item is a shard of its own).
 
-    Statistics (document frequencies, mean length) are those of all items, so sharding changes no score.
+    An item is a distinct row of id and text; a null id is kept. Statistics (document frequencies, mean length) are those of
+    all items, so sharding changes no score.
     """
-    items = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item is not null")
-    items = items.where("text is not null").groupBy("item").agg(F.min("text").alias("text"))
+    items = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
     sized = items.withColumn("words", F.regexp_count("text", F.lit(WORD_SQL))).where("words > 0")
     count, total = sized.agg(F.count(F.lit(1)), F.sum("words")).first()
     if not count:
         return []
     shards = max(1, math.ceil(total / (0.5 * SHARD_TERMS))) if total > SHARD_TERMS else 1
     terms = sized.select(
-        F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("item", "text"), F.lit(shards)).alias("shard"),
         "item",
         F.explode(F.array_distinct(F.regexp_extract_all(common.ascii_lower(F.col("text")), F.lit(WORD_SQL), F.lit(0)))).alias("term"),
     )
     frequency = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     found = []
     for k in range(shards):
-        rows = sized.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == k).select("item", "text").collect()
+        rows = sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k).select("item", "text").collect()
         own = terms.where(F.col("shard") == k).select("term").distinct()
         df = {r.term.encode(): r.df for r in frequency.join(own, "term", "left_semi").collect()}
         found.append(Index([(r.item, r.text.encode()) for r in rows], df, count, total / count))
@@ -179,7 +179,7 @@ def with_matches(docs: DataFrame, items: DataFrame, column: str, text_col: str =
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row and benchmark item found in it.
+    """One row per document row and benchmark item (distinct row of id and text; the id may be null) found in it.
 
     A match needs a BM25 share of THRESHOLD in some passage and 0.8 of the item's five-word shingles there, or of its
     question's and of its answer's (last sentence). Null and empty texts, and empty items, match nothing; repeated documents

@@ -80,3 +80,16 @@ def test_no_items_no_documents(spark):
     items = docs.select(F.col("doc_id").alias("item_id"), "text")
     assert D.contaminated(docs.limit(0), items).count() == 0
     assert [r.item_id for r in D.contaminated(docs, items).collect()] == [1]
+
+
+def test_items_without_id_or_with_a_shared_id_are_all_found(spark, monkeypatch):
+    generator = random.Random(3)
+    texts = [" ".join(generator.choice(WORDS) for _ in range(30)) for _ in range(4)]
+    bench = spark.createDataFrame([*zip([7, 7, None, None], texts, strict=True), (7, texts[0])], "item_id long, text string")
+    docs = spark.createDataFrame([*enumerate(f"before {t} after" for t in texts), (9, "clean " * 40)], "doc_id long, text string")
+    for size in (10**6, 40):
+        monkeypatch.setattr(D, "SHARD_TERMS", size)
+        rows = D.contaminated(docs, bench).collect()
+        assert sorted((r.doc_id, r.item_id) for r in rows if r.doc_id < 2) == [(0, 7), (1, 7)]
+        assert [(r.doc_id, r.item_id) for r in sorted(rows, key=lambda r: r.doc_id)[2:]] == [(2, None), (3, None)]
+        assert [r.doc_id for r in D.without_contaminated(docs, bench).collect()] == [9]
