@@ -77,3 +77,13 @@ def test_no_python_in_the_plan(spark, small_dir):
     docs = common.table(spark, small_dir, "documents")
     plan = pii.with_spans(docs, pii.SpanModel({}, {}), "s")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_long_secrets_are_found_and_redacted(spark):
+    lengths = [40, 128, 129, 400, 5000]
+    token = lambda n: ("3f9A7c5b1Ed0" * n)[:n]
+    rows = [(100 * k + n, f"some words token = {token(n + k % 7)} more") for k in range(12) for n in lengths]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.with_spans(docs, pii.train(docs), "s").select("s", pii.redacted(F.col("text"), F.col("s")).alias("t")).collect()
+    assert len(found) == len(rows) and all([s.kind for s in r.s] == ["secret"] for r in found)
+    assert {r.t for r in found} == {"some words token = [SECRET] more"}
