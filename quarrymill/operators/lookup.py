@@ -63,6 +63,11 @@ def map_value(df: DataFrame, key: str, table: dict[str, float], name: str) -> Da
     return df.withColumn(name, F.try_element_at(F.create_map(*pairs), F.col(key)))
 
 
+def aggregate_row(keys: DataFrame, aggregate: DataFrame, key: str) -> DataFrame:
+    """For every key the aggregate's row of that name, nulls where it has none; the aggregate has one row per key."""
+    return keys.join(aggregate, key, "left")
+
+
 def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], measure: str, tolerance: float) -> DataFrame:
     """Full outer join of a measure from two sources: expected, actual and ok (within the tolerance; a missing side isn't)."""
     a = left.select(*keys, F.col(measure).alias("expected"))

@@ -9,16 +9,20 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators.reports import quantiles
 from quarrymill.operators.sampling import fixed_size, split
 
+#: Columns that the models use. Fixed values.
 CATEGORICAL = ("product_group", "category", "brand", "brand_solution", "sales_channel")
 NUMERIC = ("weight_kg", "rating", "stock_qty", "units_sold_12m")
 ANOMALY = ("price_zar", "cost_zar", "margin_pct", "weight_kg")
+#: Stands for a missing number in the price model; the numbers themselves aren't negative.
+MISSING = -1.0
 SEGMENT = ("price_zar", "margin_pct", "units_sold_12m", "rating")
 ANOMALY_COLUMNS = ("product_id", "product_name", "category", "brand", *ANOMALY, "anomaly_raw")
 
@@ -41,19 +45,22 @@ def encoded(df: DataFrame, model: PipelineModel, columns: Sequence[str]) -> Data
     return out
 
 
-def price_model(df: DataFrame, rounds: int = 20, cap: int | None = None, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
-    """Boosted trees for the price; (model, predictions on the test fifth). cap bounds the rows used, None: all."""
+def price_model(df: DataFrame, rounds: int = 200, cap: int | None = None, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+    """Boosted trees for the price; (model, predictions on the test fifth). cap bounds the rows used, None: all.
+
+    A missing number stands below all others, so that a tree can part the missing ones from the rest by itself. Trees are
+    learned on rows that stay in memory and on disk, and the boosting's lineage is cut by Spark's own checkpoints.
+    """
     rows = df.dropna(subset=["price_zar", "weight_kg", "rating"])
-    rows = rows.select("product_id", "price_zar", *CATEGORICAL, *[F.col(c).cast("double").alias(c) for c in NUMERIC])
+    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) for c in NUMERIC]
+    rows = rows.select("product_id", "price_zar", *CATEGORICAL, *numbers)
     if cap:
         rows = fixed_size(rows, "product_id", cap, seed)
     train, test = split(rows, "product_id", 0.2, seed)
     codes = [f"{c}_code" for c in CATEGORICAL]
-    filled = [f"{c}_filled" for c in NUMERIC]
     stages = [
         StringIndexer(inputCols=list(CATEGORICAL), outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep"),
-        Imputer(inputCols=list(NUMERIC), outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=codes + filled, outputCol="features"),
+        VectorAssembler(inputCols=[*codes, *NUMERIC], outputCol="features"),
         GBTRegressor(labelCol="price_zar", maxIter=rounds, maxDepth=5, maxBins=256, seed=seed),
     ]
     model = Pipeline(stages=stages).fit(train)
@@ -152,7 +159,7 @@ def isolation_forest(df: DataFrame, features: Sequence[str], trees: int = 100, s
 
 def flag_lowest(scored: DataFrame, score: str, share: float = 0.005) -> DataFrame:
     """Adds anomaly_raw (score less the threshold below which the share lies) and is_anomaly."""
-    cut = scored.agg(F.percentile(score, F.lit(share)).alias("_cut"))
+    cut = quantiles(scored, score, share).select(F.col("quantile").alias("_cut"))
     out = scored.join(F.broadcast(cut), how="cross")  # one row
     return out.withColumn("anomaly_raw", F.col(score) - F.col("_cut")).withColumn("is_anomaly", F.col("anomaly_raw") < 0).drop("_cut")
 

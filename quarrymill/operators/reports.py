@@ -22,11 +22,12 @@ def money(x: str | Column) -> Column:
 
 
 def mean2(x: str | Column, kind: str = "decimal(9,2)") -> Column:
-    """Mean of a two-decimal double, rounded half up to two decimals in integers; for non-negative sums."""
+    """Mean of a two-decimal double, rounded to two decimals in integers; a half goes away from zero. Null without values."""
     x = F.col(x) if isinstance(x, str) else x
     total, n = F.sum(F.round(x * 100).cast("bigint")), F.count(x)
-    cents = F.call_function("div", total * 2 + n, F.nullif(n * 2, F.lit(0)))
-    return (cents.cast("decimal(18,0)") * F.lit(0.01).cast("decimal(3,2)")).cast(kind)
+    cents = F.call_function("div", F.abs(total) * 2 + n, F.nullif(n * 2, F.lit(0)))
+    signed = F.when(total < 0, -cents).otherwise(cents)
+    return (signed.cast("decimal(18,0)") * F.lit(0.01).cast("decimal(3,2)")).cast(kind)
 
 
 def active(flag: str = "is_active") -> Column:
@@ -46,7 +47,6 @@ def kpi_summary(clean: DataFrame) -> DataFrame:
 
 
 
-
 def performance(clean: DataFrame, dims: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Named figures by dimensions; null dimensions are a group of their own."""
     every = {
@@ -153,9 +153,41 @@ def weighted_average(grouped: DataFrame, values: Sequence[str], weight: str) ->
     )
 
 
+#: Accuracy of the sketch that brackets an exact quantile, and the share of ranks on either side of it that is looked at.
+SKETCH, BRACKET = 10_000, 0.0005
+
+
+def quantiles(df: DataFrame, value: str, share: float, group: str | None = None) -> DataFrame:
+    """Exact quantile of a column (linear between neighbours) by group: columns _group, quantile; nulls are left out.
+
+    A sketch gives two bounds that the quantile lies between; only values between them, some thousandth of a group, are
+    counted one by one. No group's values meet in one buffer.
+    """
+    g = F.col(group) if group else F.lit(0)
+    rows = df.select(g.alias("_group"), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    ends = [max(0.0, share - BRACKET), min(1.0, share + BRACKET)]
+    bounds = rows.groupBy("_group").agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, SKETCH).alias("_b")
+    )
+    bounds = bounds.select(
+        F.col("_group").alias("_key"), ((F.col("_n") - 1) * share).alias("_at"), F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high")
+    )
+    # The values below the bracket count as one value.
+    met = rows.join(bounds, F.col("_group").eqNullSafe(F.col("_key"))).where("_v <= _high")
+    counted = met.groupBy("_group", "_at", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    until = F.sum("_c").over(W.partitionBy("_group").orderBy(F.col("_v").asc_nulls_first()))
+    ranked = counted.withColumn("_until", until)
+    below, above = F.floor("_at"), F.ceil("_at")
+    out = ranked.groupBy("_group", "_at").agg(
+        F.min(F.when(F.col("_until") > below, F.col("_v"))).alias("_lower"), F.min(F.when(F.col("_until") > above, F.col("_v"))).alias("_upper")
+    )
+    between = (above - F.col("_at")) * F.col("_lower") + (F.col("_at") - below) * F.col("_upper")
+    return out.select("_group", F.when(below == above, F.col("_lower")).otherwise(between).alias("quantile"))
+
+
 def versus_group_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """Each row's value against its group's median: the medians are grouped and joined back."""
-    medians = df.groupBy(F.col(group).alias("_group")).agg(F.percentile(value, F.lit(0.5)).alias("group_median"))
+    medians = quantiles(df, value, 0.5, group).withColumnRenamed("quantile", "group_median")
     out = df.join(medians, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
     return out.withColumn("deviation", F.col(value) - F.col("group_median"))
 
@@ -164,6 +196,16 @@ def top(df: DataFrame, by: str, n: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc(by), tie).limit(n)
 
 
+def window(df: DataFrame, by: str, offset: int, n: int, tie: str) -> DataFrame:
+    """Rows offset + 1 to offset + n of the result by a measure, greatest first."""
+    return df.orderBy(F.desc(by), tie).offset(offset).limit(n)
+
+
+def descending(df: DataFrame, by: str, tie: str) -> DataFrame:
+    """All rows by a measure, greatest first, nulls last."""
+    return df.orderBy(F.col(by).desc_nulls_last(), tie)
+
+
 def smallest(df: DataFrame, by: str, n: int, tie: str) -> DataFrame:
     return df.orderBy(F.asc(by), tie).limit(n)
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Bits of the hash that orders rows, and bits that one level of its histogram resolves.
+HASH_BITS, LEVEL_BITS = 60, 12
+
+
 def draw(key: str | Column, seed: int) -> Column:
-    return F.xxhash64(F.col(key) if isinstance(key, str) else key, F.lit(seed))
+    """60 bits of the MD5 of the key's text and the seed, so that other engines draw the same; a null key counts as empty."""
+    text = F.concat_ws(":", (F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def uniform(key: str | Column, seed: int) -> Column:
@@ -18,23 +24,45 @@ def uniform(key: str | Column, seed: int) -> Column:
     return F.pmod(draw(key, seed), F.lit(1 << 40)).cast("double") / float(1 << 40)
 
 
+def least_by_hash(df: DataFrame, key: str, want: Callable[[Column], Column], seed: int, stratum: str | None = None) -> DataFrame:
+    """The rows with the least hashes, as many of each stratum as want makes of its size; equal hashes by key.
+
+    Two levels of a histogram of the hash find the bucket (a share of 2^-24 of a stratum) in which the wanted number ends.
+    Rows below it are taken by a filter; only the bucket's rows are ranked. No stratum is sorted or gathered.
+    """
+    kind = F.col(stratum) if stratum else F.lit(0)
+    rows = df.withColumns({"_stratum": kind, "_h": draw(key, seed)})
+    same = F.col("_stratum").eqNullSafe(F.col("_s"))
+    whole = W.partitionBy("_stratum")
+    first = rows.groupBy("_stratum", F.shiftright("_h", HASH_BITS - LEVEL_BITS).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    first = first.withColumns({"_until": F.sum("_n").over(whole.orderBy("_b")), "_want": want(F.sum("_n").over(whole)).cast("long")})
+    edge = first.where("_until >= _want and _until - _n < _want").select(
+        F.col("_stratum").alias("_s"), F.col("_b").alias("_edge"), (F.col("_want") - F.col("_until") + F.col("_n")).alias("_rest")
+    )
+    inside = rows.select("_stratum", "_h").join(edge, same & (F.shiftright("_h", HASH_BITS - LEVEL_BITS) == F.col("_edge")))
+    bits = HASH_BITS - 2 * LEVEL_BITS
+    second = inside.groupBy("_stratum", "_rest", F.shiftright("_h", bits).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    second = second.withColumn("_until", F.sum("_n").over(whole.orderBy("_b")))
+    edge = second.where("_until >= _rest and _until - _n < _rest").select(
+        F.col("_stratum").alias("_s"), F.col("_b").alias("_edge"), (F.col("_rest") - F.col("_until") + F.col("_n")).alias("_rest")
+    )
+    near = rows.join(edge, same & (F.shiftright("_h", bits) <= F.col("_edge")))
+    last = F.shiftright("_h", bits) == F.col("_edge")
+    rank = F.row_number().over(whole.orderBy("_h", key))
+    edged = near.where(last).withColumn("_rank", rank).where("_rank <= _rest").select(*df.columns)
+    return near.where(~last).select(*df.columns).union(edged)
+
+
 def fixed_size(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly min(n, rows) rows. Spark keeps n rows per task before they meet."""
-    return df.orderBy(draw(key, seed), key).limit(n)
+    """Exactly min(n, rows) rows."""
+    return least_by_hash(df, key, lambda size: F.least(size, F.lit(n)), seed)
 
 
 def stratified(df: DataFrame, stratum: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    """round(fraction * size) rows of each stratum. Raises if the stratum column is missing.
-
-    A threshold on the hash cuts each stratum before rows are ranked: with rows near twice the fraction kept the ranking sees
-    a small part of a stratum, and strata of few rows are kept whole.
-    """
+    """round(fraction * size) rows of each stratum; null is a stratum. Raises if the stratum column is missing."""
     if stratum not in df.columns:
         raise ValueError(f"no column {stratum}")
-    sizes = df.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_size"))
-    joined = df.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum")))
-    rank = F.row_number().over(W.partitionBy("_stratum").orderBy(draw(key, seed), key))
-    return joined.withColumn("_rank", rank).where(F.col("_rank") <= F.round(fraction * F.col("_size"))).drop("_stratum", "_size", "_rank")
+    return least_by_hash(df, key, lambda size: F.round(size * F.lit(float(fraction))), seed, stratum)
 
 
 def split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -46,13 +74,14 @@ def split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> t
 def weighted_choice(df: DataFrame, key: str, choices: Sequence[tuple[str, float]], name: str, seed: int = 42) -> DataFrame:
     """Adds a value drawn by weight from a short list, by the key's hash."""
     total = sum(w for _, w in choices)
-    u, reached = uniform(key, seed), 0.0
+    u, reached = uniform(key, seed), 0
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for value, weight in choices[:-1]:
-        reached += weight / total
-        out = out.when(u < reached, value)
+        reached += weight
+        out = out.when(u < reached / total, value)
     return df.withColumn(name, out.otherwise(choices[-1][0]))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """All rows in an order that only the keys and the seed decide."""
     return df.orderBy(draw(key, seed), key)

@@ -50,27 +50,30 @@ class CatalogRules:
 
 
 def clean_columns(raw: DataFrame, rules: CatalogRules) -> DataFrame:
-    """The raw columns and fifteen typed ones, each from raw columns only."""
+    """The raw columns and fifteen typed ones, each from raw columns only.
+
+    The typed columns are fields of one struct that is taken apart by a generator: filters and projections that follow are
+    not moved into it, so that each column is parsed once, however often the flow refers to it.
+    """
     c = F.col
-    return raw.withColumns(
-        {
-            "pid": F.trim(c("product_id")),
-            "sku_c": C.blank_to_null(c("sku")),
-            "pname": C.collapse_whitespace(c("product_name")),
-            "brand_key": C.lookup_key(c("brand")),
-            "price_c": C.currency(c("price_zar")),
-            "cost_c": C.number(c("cost_zar")),
-            "weight_c": C.kilograms(c("weight_kg")),
-            "stock_c": C.clamp_negative(c("stock_qty")),
-            "units_c": C.non_negative(c("units_sold_12m")),
-            "date_c": C.multi_format_date(c("date_added")),
-            "active_c": C.token_boolean(c("is_active")),
-            "rating_c": C.in_range(c("rating")),
-            "channel_c": C.canonical(c("sales_channel"), rules.channels),
-            "province_c": C.alias(c("province"), rules.regions),
-            "category_mapped": C.canonical_folded(c("category"), rules.categories),
-        }
-    )
+    typed = {
+        "pid": F.trim(c("product_id")),
+        "sku_c": C.blank_to_null(c("sku")),
+        "pname": C.collapse_whitespace(c("product_name")),
+        "brand_key": C.lookup_key(c("brand")),
+        "price_c": C.currency(c("price_zar")),
+        "cost_c": C.number(c("cost_zar")),
+        "weight_c": C.kilograms(c("weight_kg")),
+        "stock_c": C.clamp_negative(c("stock_qty")),
+        "units_c": C.non_negative(c("units_sold_12m")),
+        "date_c": C.multi_format_date(c("date_added")),
+        "active_c": C.token_boolean(c("is_active")),
+        "rating_c": C.in_range(c("rating")),
+        "channel_c": C.canonical(c("sales_channel"), rules.channels),
+        "province_c": C.alias(c("province"), rules.regions),
+        "category_mapped": C.canonical_folded(c("category"), rules.categories),
+    }
+    return raw.select("*", F.inline(F.array(F.struct(*[x.alias(name) for name, x in typed.items()]))))
 
 
 def derive(looked_up: DataFrame, rules: CatalogRules) -> DataFrame:

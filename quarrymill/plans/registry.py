@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -19,10 +17,22 @@ from quarrymill.sources import files
 from quarrymill.sources import fixtures as fx
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which a cluster shares; a temporary one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{where.rstrip('/')}/quarrymill-{uuid.uuid4().hex}/{name}"
+#: Raw tables written by this application, by application and folder of source tables.
+_RAW: dict[tuple[str, str], str] = {}
+
+
+def raw_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the raw table derived from the source tables: as in use, the flow starts from raw files that exist.
+
+    It is written once per application, folder and state of the line items' files.
+    """
+    files_now = sorted(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect())
+    key = (spark.sparkContext.applicationId, sf_dir, str(files_now))
+    if key not in _RAW:
+        path = files.scratch(spark, "raw")
+        files.write_parquet(fx.dirty_catalog(spark, sf_dir), path)
+        _RAW[key] = path
+    return _RAW[key]
 
 
 class Catalog:
@@ -40,7 +50,7 @@ class Catalog:
 
     @cached_property
     def raw(self) -> DataFrame:
-        return fx.dirty(self.base)
+        return files.scan_parquet(self.spark, raw_path(self.spark, self.sf_dir))
 
     @cached_property
     def brand_map(self) -> DataFrame:
@@ -63,7 +73,7 @@ class Catalog:
         return flow.to_quarantine(self.flags)
 
     def scratch(self, name: str) -> str:
-        return scratch(self.spark, name)
+        return files.scratch(self.spark, name)
 
 
 REGISTERED: dict[str, tuple[Callable[[Catalog], DataFrame], str | None]] = {}
@@ -112,8 +122,15 @@ def money(x: str) -> str:
 
 
 def mean2(x: str, kind: str = "DECIMAL(9,2)") -> str:
-    total, n = f"sum(round({x} * 100)::BIGINT)::BIGINT", f"count({x})"
-    return f"((({total} * 2 + {n}) // nullif(2 * {n}, 0))::DECIMAL(18,0) * 0.01)::{kind}"
+    return f"(round(sum(round({x} * 100)::BIGINT)::DOUBLE / nullif(count({x}), 0)) / 100)::{kind}"
+
+
+def draw(key: str, seed: int = 42) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', ({key})::VARCHAR, '{seed}')), 1, 15))::BIGINT"
+
+
+def uniform(key: str, seed: int = 42) -> str:
+    return f"(({draw(key, seed)}) % {1 << 40})::DOUBLE / {1 << 40}::DOUBLE"
 
 
 PERFORMANCE = {
@@ -200,7 +217,13 @@ def _inject(cat):
     return quality.with_duplicates(rows, G.band(c("h"), 163) < 2)
 
 
-@query("synth_catalog")
+@query(
+    "synth_catalog",
+    "WITH priced AS (SELECT p_partkey, p_type, p_brand, p_size, p_size * 0.05::DOUBLE + 0.1::DOUBLE AS kilos, round(greatest(("
+    + fx.one_of_sql("p_type", {k: str(40 + 10 * i) for i, k in enumerate(fx.CATEGORIES)})
+    + ")::DOUBLE * pow((p_size * 0.05::DOUBLE + 0.1::DOUBLE) / 0.5::DOUBLE, 0.35::DOUBLE) * exp((" + " + ".join(uniform("p_partkey", k) for k in (1, 2, 3)) + " - 1.5::DOUBLE) * 0.3::DOUBLE), 8.99::DOUBLE), 2) AS price FROM part) "
+    f"SELECT *, round(price * (0.5::DOUBLE + 0.3::DOUBLE * {uniform('p_partkey', 4)}), 2) AS cost, round(9000 / sqrt(price) * (0.5::DOUBLE + {uniform('p_partkey', 5)}))::INTEGER AS units FROM priced",
+)
 def _synth(cat):
     base = cat.table("part").select("p_partkey", "p_type", "p_brand", "p_size")
     kilos = (c("p_size") * 0.05 + 0.1).alias("kilos")
@@ -251,7 +274,7 @@ query("dim_bridge_join", on_cleaned("SELECT p_brand, category, product_group FRO
 query("explode_bridge", "SELECT DISTINCT p_brand, p_type FROM part")(
     lambda cat: lookup.explode_bridge(cat.table("part").groupBy("p_brand").agg(F.collect_set("p_type").alias("types")), "p_brand", "types", "p_type")
 )
-query("dims")(lambda cat: fx.category_groups(cat.spark).join(cat.table("part").select(c("p_type").alias("category")).distinct(), "category"))
+query("dims", f"SELECT category, CASE WHEN category IN {fx.PERISHABLE} THEN '{fx.GROUPS[0]}' ELSE '{fx.GROUPS[1]}' END AS product_group FROM (SELECT DISTINCT p_type AS category FROM part) WHERE category IN {fx.CATEGORIES}")(lambda cat: fx.category_groups(cat.spark).join(cat.table("part").select(c("p_type").alias("category")).distinct(), "category"))
 query(
     "reconcile",
     on_clean(f"SELECT coalesce(a.category, b.category) AS category, a.v AS expected, b.v AS actual, coalesce(abs(a.v - b.v) <= 0.01, false) AS ok FROM (SELECT category, {money('revenue_12m_zar')} AS v FROM clean GROUP BY category) a FULL JOIN (SELECT category_final AS category, {money('revenue_12m_zar')} AS v FROM flagged WHERE is_valid GROUP BY category_final) b ON a.category = b.category"),
@@ -339,9 +362,26 @@ query(
     on_clean("SELECT product_id, category, price_zar, m AS group_median, price_zar - m AS deviation FROM clean JOIN (SELECT category AS k, quantile_cont(price_zar, 0.5) AS m FROM clean GROUP BY category) ON category = k"),
 )(lambda cat: reports.versus_group_median(cat.clean.select("product_id", "category", "price_zar"), "category", "price_zar"))
 
+PAGE = f"{BRAND} ORDER BY revenue DESC, brand"
+query("sort_measure", on_clean(PAGE))(lambda cat: reports.descending(_by_brand(cat), "revenue", "brand"))
+query("fetch_window", on_clean(f"{PAGE} LIMIT 10 OFFSET 5"))(lambda cat: reports.window(_by_brand(cat), "revenue", 5, 10, "brand"))
+query("aggregate_by_name", on_clean(f"SELECT n_name AS province, revenue FROM nation LEFT JOIN ({PROVINCE}) ON province = n_name"))(
+    lambda cat: lookup.aggregate_row(cat.table("nation").select(c("n_name").alias("province")), _by_province(cat), "province")
+)
+
 # Quality and sets ------------------------------------------------------------------------------------------------------
 query("reason_exploded", on_clean("SELECT rule, count(*) AS row_count FROM (SELECT unnest(string_split(regexp_replace(reject_reason, ';+$', ''), ';')) AS rule FROM quarantine) GROUP BY rule"))(lambda cat: quality.reasons_exploded(cat.quarantine))
 query("kpi_recon", on_clean(f"SELECT total_skus, active_skus, revenue_12m_zar, avg_margin_pct, total_stock_units, (SELECT count(*) FROM quarantine) AS quarantined_rows FROM ({KPI})"))(lambda cat: quality.kpi_reconciliation(cat.clean, cat.quarantine))
+#: Figures that a full catalog must show, by measure. Fixed values.
+GOLDEN = {"total_skus": 4284971, "revenue_12m_zar": 1170282306878.76, "avg_margin_pct": 35.00, "active_skus": 2142870, "quarantined_rows": 729438}
+query(
+    "golden_values",
+    on_clean(" UNION ALL ".join(
+        f"SELECT '{m}' AS measure, {v}::DOUBLE AS expected, a::DOUBLE AS actual, abs({v}::DOUBLE - a::DOUBLE) <= 0.01 AS ok FROM (SELECT "
+        + ("count(*) AS a FROM quarantine" if m == "quarantined_rows" else f"{m} AS a FROM ({KPI})") + ")"
+        for m, v in GOLDEN.items()
+    )),
+)(lambda cat: quality.golden(quality.kpi_reconciliation(cat.clean, cat.quarantine), GOLDEN, 0.01))
 query(
     "detail_vs_total",
     on_clean(f"SELECT detail_skus::BIGINT AS detail_skus, detail_revenue, total_skus, revenue_12m_zar, detail_skus = total_skus AND detail_revenue = revenue_12m_zar AS ok FROM (SELECT sum(sku_count) AS detail_skus, sum(revenue_12m_zar)::DECIMAL(18,2) AS detail_revenue FROM ({CATEGORY})), (SELECT total_skus, revenue_12m_zar FROM ({KPI}))"),
@@ -351,35 +391,40 @@ query("union_all", on_clean("SELECT product_id, 'clean' AS origin FROM clean UNI
 )
 
 # Sampling --------------------------------------------------------------------------------------------------------------
-query("sample_fixed")(lambda cat: sampling.fixed_size(cat.table("lineitem").select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("k"), "l_quantity"), "k", 1000))
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+LINE_SQL = f"concat_ws('|', {', '.join(LINE)}, round(l_extendedprice * 100)::BIGINT)"
+_lines = lambda cat, *columns: cat.table("lineitem").select(F.concat_ws("|", *LINE, F.round(c("l_extendedprice") * 100).cast("bigint")).alias("k"), *columns)
+query("sample_fixed", f"SELECT k FROM (SELECT {LINE_SQL} AS k FROM lineitem) ORDER BY {draw('k')}, k LIMIT 1000")(lambda cat: sampling.fixed_size(_lines(cat), "k", 1000))
 query(
     "sample_stratified",
-    "SELECT l_returnflag, round(0.1 * count(*))::BIGINT AS n FROM lineitem GROUP BY l_returnflag",
-)(
-    lambda cat: sampling.stratified(
-        cat.table("lineitem").select("l_returnflag", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("k")), "l_returnflag", "k", 0.1
-    ).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-)
+    f"SELECT l_returnflag, k FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {draw('k')}, k) AS place, count(*) OVER (PARTITION BY l_returnflag) AS n FROM (SELECT l_returnflag, {LINE_SQL} AS k FROM lineitem)) WHERE place <= round(0.1 * n)",
+)(lambda cat: sampling.stratified(_lines(cat, "l_returnflag"), "l_returnflag", "k", 0.1).select("l_returnflag", "k"))
+query("shuffle_rows", "SELECT o_orderkey, o_totalprice FROM orders")(lambda cat: sampling.shuffled(cat.table("orders").select("o_orderkey", "o_totalprice"), "o_orderkey"))
 
 
-@query("split_train_test")
+@query("split_train_test", f"SELECT o_orderkey, CASE WHEN {uniform('o_orderkey')} < 0.2::DOUBLE THEN 'test' ELSE 'train' END AS side FROM orders")
 def _split(cat):
     train, test = sampling.split(cat.table("orders"), "o_orderkey")
     sides = [df.select("o_orderkey", F.lit(name).alias("side")) for df, name in ((train, "train"), (test, "test"))]
     return quality.union_all(sides)
 
 
-query("weighted_choice")(lambda cat: sampling.weighted_choice(cat.table("orders").select("o_orderkey"), "o_orderkey", [("store", 0.62), ("food service", 0.18), ("industry", 0.12), ("export", 0.08)], "channel"))
+CHOICES = [("store", 62), ("food service", 18), ("industry", 12), ("export", 8)]
+query(
+    "weighted_choice",
+    f"SELECT o_orderkey, CASE WHEN u < 0.62::DOUBLE THEN 'store' WHEN u < 0.8::DOUBLE THEN 'food service' WHEN u < 0.92::DOUBLE THEN 'industry' ELSE 'export' END AS channel FROM (SELECT o_orderkey, {uniform('o_orderkey')} AS u FROM orders)",
+)(lambda cat: sampling.weighted_choice(cat.table("orders").select("o_orderkey"), "o_orderkey", CHOICES, "channel"))
 
 # Sources and sinks -----------------------------------------------------------------------------------------------------
 query("scan_parquet", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")(lambda cat: files.scan_parquet(cat.spark, f"{cat.sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice"))
 
 
-@query("scan_csv_gz")
+@query("scan_csv_gz", on_raw("SELECT " + ", ".join(f"coalesce({k}, '') AS {k}" for k in flow.RAW_COLUMNS) + " FROM raw"))
 def _scan_gz(cat):
     path = cat.scratch("raw")
     files.write_chunks(cat.raw, path, 4, "product_id")
-    return files.scan_delimited(cat.spark, f"{path}/*.csv.gz", flow.RAW_COLUMNS)
+    scanned = files.scan_delimited(cat.spark, f"{path}/*.csv.gz", flow.RAW_COLUMNS)
+    return scanned.select(*[F.coalesce(k, F.lit("")).alias(k) for k in flow.RAW_COLUMNS])
 
 
 @query("scan_brand_map", on_cleaned("SELECT * FROM brand_map"))
@@ -389,12 +434,13 @@ def _scan_map(cat):
     return files.scan_delimited(cat.spark, path, flow.BRAND_MAP_COLUMNS)
 
 
-@query("scan_drift")
+@query("scan_drift", on_raw("SELECT product_id, coalesce(brand, '') AS brand, '' AS category, '' AS sku, '' AS added FROM raw UNION ALL SELECT product_id, '', coalesce(category, ''), '', 'x' FROM raw"))
 def _drift(cat):
     a, b = cat.scratch("a"), cat.scratch("b")
     files.write_delimited(cat.raw.select("product_id", "brand"), a)
     files.write_delimited(cat.raw.select("product_id", "category", F.lit("x").alias("added")), b)
-    return files.scan_with_drift(cat.spark, [a, b], ["product_id", "brand", "category", "sku"])
+    scanned = files.scan_with_drift(cat.spark, [a, b], ["product_id", "brand", "category", "sku"])
+    return scanned.select(*[F.coalesce(k, F.lit("")).alias(k) for k in scanned.columns])
 
 
 def _fan_out(cat) -> tuple[DataFrame, DataFrame]:

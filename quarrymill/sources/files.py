@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,12 +11,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all machines of a cluster share.
+
+    Only a session on one machine may leave it unset: it gets a temporary folder. Elsewhere that is an error.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A new folder in the shared one, removed when the application ends."""
+    path = f"{shared_dir(spark)}/quarrymill-{uuid.uuid4().hex}"
+    system, where = _hadoop_path(spark, path)
+    system.deleteOnExit(where)
+    return f"{path}/{name}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing will read again."""
+    system, where = _hadoop_path(spark, path)
+    system.delete(where, True)
+
+
 def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
 def _delimited(spark: SparkSession):
-    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+    return reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
 
 
 def scan_delimited(spark: SparkSession, path: str, columns: Sequence[str], partitions: int | None = None) -> DataFrame:
@@ -61,8 +98,9 @@ def write_fan_out(flags: DataFrame, valid: DataFrame, rejected: DataFrame, clean
 
 
 def write_delimited(df: DataFrame, path: str, single: bool = False, compression: str | None = None) -> None:
-    """Delimited text with a header; single: one file, for aggregate tables."""
+    """Delimited text with a header, spaces around values kept; single: one file, for aggregate tables."""
     out = (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("escape", '"')
+    out = out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (out.option("compression", compression) if compression else out).csv(path)
 
 
@@ -75,9 +113,14 @@ def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_by_recipient(df: DataFrame, recipient: str, path: str) -> None:
-    """One folder per value of the recipient column; rows are spread so that a hot value has several files."""
-    df.write.mode("overwrite").partitionBy(recipient).parquet(path)
+def write_by_recipient(df: DataFrame, recipient: str, path: str, spread: int = 8) -> None:
+    """One folder per value of the recipient column, with up to spread files each.
+
+    Rows are dealt by the value and a hash of the row, so that a hot value's rows are written by several tasks and a value's
+    files don't multiply with the tasks.
+    """
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
+    df.repartition(F.col(recipient), part).write.mode("overwrite").partitionBy(recipient).parquet(path)
 
 
 def recipient_extract(df: DataFrame, recipients: DataFrame, field: str) -> DataFrame:

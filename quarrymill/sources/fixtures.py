@@ -94,7 +94,8 @@ def dirty(base: DataFrame) -> DataFrame:
 
 
 def dirty_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dirty(clean_base(spark, sf_dir))
+    """The raw table. Records are dealt by id first, so that spoiling them runs on all cores, apart from the joins."""
+    return dirty(clean_base(spark, sf_dir).repartition("id"))
 
 
 def category_groups(spark: SparkSession) -> DataFrame:

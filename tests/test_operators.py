@@ -55,6 +55,44 @@ def test_mean_rounds_half_up_in_integers(spark):
     assert df.where("v is null").agg(reports.mean2("v")).first()[0] is None
 
 
+def test_mean_of_negative_values(spark):
+    for values, mean in ([-5.0], "-5.00"), ([-2.0, -1.0, -1.0], "-1.33"), ([-0.01, 0.0], "-0.01"), ([0.01, 0.0], "0.01"), ([-0.01, 0.01], "0.00"):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert str(df.agg(reports.mean2("v")).first()[0]) == mean
+
+
+def test_quantiles_are_exact(spark):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise((F.col("id") % 2).cast("string")).alias("k"),
+        F.when(F.col("id") % 7 == 0, F.lit(-3.5)).when(F.col("id") % 11 != 0, sampling.uniform("id", 1) * 100).alias("v"),
+    )
+    for share in (0.0, 0.005, 0.1, 0.5, 0.999, 1.0):
+        want = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", F.lit(share)).alias("q")).collect()}
+        assert {r["_group"]: r["quantile"] for r in reports.quantiles(df, "v", share, "k").collect()} == pytest.approx(want)
+    one = spark.createDataFrame([(4.0,)], "v double")
+    assert [r["quantile"] for r in reports.quantiles(one, "v", 0.5).collect()] == [4.0]
+    assert reports.quantiles(one.where("v is null"), "v", 0.5).count() == 0
+
+
+def test_order_and_windows_of_results(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 3.0), ("d", None), ("e", 2.0)], "k string, v double")
+    assert [r.k for r in reports.descending(df, "v", "k").collect()] == ["b", "c", "e", "a", "d"]
+    assert [r.k for r in reports.window(df, "v", 1, 2, "k").collect()] == ["c", "e"]
+    assert reports.window(df, "v", 9, 2, "k").count() == 0
+    got = lookup.aggregate_row(spark.createDataFrame([("a",), ("z",)], "k string"), df, "k")
+    assert {r.k: r.v for r in got.collect()} == {"a": 1.0, "z": None}
+
+
+def test_sample_of_a_hot_stratum_and_ties(spark):
+    df = spark.range(5000).select((F.col("id") % 50).alias("id"), F.when(F.col("id") > 20, "hot").alias("s"))
+    sizes = {r.s: r["count"] for r in sampling.stratified(df, "s", "id", 0.3).groupBy("s").count().collect()}
+    assert sizes == {"hot": 1494, None: 6}
+    assert sampling.fixed_size(df, "id", 77).count() == 77 and sampling.fixed_size(df.limit(0), "id", 5).count() == 0
+    order = [r.id for r in sampling.shuffled(spark.range(100), "id").collect()]
+    assert sorted(order) == list(range(100)) and order != sorted(order)
+    assert order == [r.id for r in sampling.shuffled(spark.range(100).repartition(3), "id").collect()]
+
+
 def catalog(spark, n=3000):
     u = lambda s: sampling.uniform("id", s)
     df = spark.range(n).select(
@@ -83,6 +121,21 @@ def test_forest_finds_planted_outliers(spark):
     assert models.isolation_forest(catalog(spark).limit(0), models.ANOMALY).count() == 0
 
 
+def test_price_model_learns_and_takes_missing_numbers(spark):
+    df = catalog(spark, 1500).select("product_id", "weight_kg", "rating", "units_sold_12m").withColumns(
+        {k: F.lit("x") for k in models.CATEGORICAL if k != "category"}
+    )
+    missing = F.col("units_sold_12m") % 5 == 0
+    df = df.withColumns({
+        "category": F.when(F.col("rating") > 2.5, "dear").otherwise("cheap"),
+        "stock_qty": F.when(~missing, F.col("units_sold_12m")),
+        "price_zar": F.when(F.col("rating") > 2.5, 90.0).otherwise(30.0) + F.when(missing, 20.0).otherwise(0.0),
+    })
+    _, predicted = models.price_model(df, rounds=8)
+    row = models.regression_metrics(predicted, "price_zar", "prediction").first()
+    assert row.r2 > 0.95 and row.n == predicted.count() > 200
+
+
 def test_segments_and_standardising(spark):
     df = catalog(spark, 400)
     out = models.segments(df, restarts=2)
@@ -109,5 +162,12 @@ def test_sources(spark, tmp_path):
     files.write_delimited(df.select("b", F.lit("x").alias("added")), str(tmp_path / "drift"))
     drift = files.scan_with_drift(spark, [str(tmp_path / "gz"), str(tmp_path / "drift")], ["a", "b", "c"])
     assert drift.columns == ["a", "b", "c", "added"] and drift.count() == 4
+    padded = spark.createDataFrame([(" x ", "y")], "a string, b string")
+    files.write_delimited(padded, str(tmp_path / "padded"))
+    assert [r.a for r in files.scan_delimited(spark, str(tmp_path / "padded"), ["a", "b"]).collect()] == [" x "]
+    hot = spark.range(400).select(F.when(F.col("id") < 390, "hot").otherwise("cold").alias("r"), "id")
+    files.write_by_recipient(hot, "r", str(tmp_path / "burst"), spread=4)
+    assert spark.read.parquet(str(tmp_path / "burst")).groupBy("r").count().count() == 2
+    assert 1 <= len(list((tmp_path / "burst" / "r=hot").glob("*.parquet"))) <= 4
     recipients = spark.createDataFrame([("ann", "1"), ("bob", "2"), ("cy", "2")], "recipient string, value string")
     assert files.recipient_extract(df, recipients, "b").groupBy("recipient").count().count() == 3

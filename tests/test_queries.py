@@ -13,7 +13,8 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 SOME = (
     "clean_columns derive_chain flagship_clean quarantine vw_kpi_summary vw_category_performance measure_cube dq_funnel reconcile "
     "brand_category_pivot price_vs_median argmax_leaders reason_exploded filter_pane_values inject_duplicates corrupt_price "
-    "corrupt_date write_raw ml_encode anomaly_threshold sample_stratified burst_by_recipient"
+    "corrupt_date write_raw ml_encode anomaly_threshold sample_stratified burst_by_recipient synth_catalog dims scan_csv_gz scan_drift "
+    "sample_fixed split_train_test weighted_choice golden_values fetch_window sort_measure aggregate_by_name shuffle_rows"
 ).split()
 NAMES = list(registry.oracle_sql()) if os.environ.get("QUARRYMILL_ALL") else SOME
 
@@ -44,6 +45,16 @@ def test_query_matches_sql(spark, small_dir, duck, name):
     assert got
 
 
+def test_anomaly_queries_agree(spark, small_dir):
+    scored = registry.queries()["ml_anomaly_score"](spark, small_dir)
+    flagged = {r.product_id for r in scored.where("is_anomaly").collect()}
+    assert 0 < len(flagged) <= 0.0051 * scored.count() + 1
+    review = registry.queries()["anomaly_review"](spark, small_dir).collect()
+    assert {r.product_id for r in review} <= flagged and len(review) == min(50, len(flagged))
+    assert [r.score for r in review] == sorted(r.score for r in review)
+    assert registry.queries()["ml_segments"](spark, small_dir).select("segment").distinct().count() == 4
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
