@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,35 +9,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: bounds a Python worker's memory where texts are long.
-BATCH_ROWS = 1000
-
+from quarrymill.sources import files
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a small intermediate table to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarrymill-{uuid.uuid4().hex}"
+    """Write an intermediate table to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The file is removed when the application ends.
+    """
+    path = files.scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small: the setting is read when the query runs, so it stays set."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: A key with more than this share of all rows is hot; so there are at most 1 / HOT of them.
+HOT = 1 / 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of many rows with the one row of their group, no hot group's rows in one task.
+
+    groups: one row per key, size is its number of rows (it is dropped). Groups with more than the share HOT of all rows, at
+    most 1 / HOT of them, are broadcast; the rows of all others are joined by a shuffle. Null keys match nothing.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) > max(1, int(total * HOT))
+    hot = F.broadcast(groups.where(is_hot).drop(size))
+    cold = rows.join(F.broadcast(groups.where(is_hot).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(groups.where(~is_hot).drop(size), key))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -123,8 +123,9 @@ class Forest:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node of each node's component, for edges (a, b) of longs: columns node, root.
 
-    Alternates large-star and small-star steps, each a grouped minimum and a join, until the edges are stars. Nothing but
-    a count and a checksum reaches the driver. Nodes without an edge are absent. Null ends are ignored.
+    Alternates large-star and small-star steps, each a grouped minimum and a join (a hub's edges are joined by broadcast of
+    the few hubs), until the edges are stars. Nothing but a count and a checksum reaches the driver. Nodes without an edge
+    are absent. Null ends are ignored.
     """
     e = materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -136,10 +137,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         seen = state
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = join_groups(both.where("b > a"), low, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialise(large)
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join_groups(large, low, "a", "n").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialise(small.union(low.select("a", F.col("m").alias("b"))).distinct())
     else:
         raise RuntimeError("connected components didn't settle")

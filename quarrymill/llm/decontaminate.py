@@ -172,7 +172,6 @@ def matches(spark, text: Column, index: Index) -> Column:
 def with_matches(docs: DataFrame, items: DataFrame, column: str, text_col: str = "text") -> DataFrame:
     """The documents with an array of the benchmark items found in them, in a column of the given name."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     found = [matches(spark, docs[text_col], index) for index in indexes(items)]
     empty = F.array().cast(MATCH)
     return docs.withColumn(column, F.concat(*found) if len(found) > 1 else found[0] if found else empty)

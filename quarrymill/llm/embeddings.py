@@ -140,7 +140,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    common.small_batches(spark, 4000)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     good = usable(F.col("v"))
     sizes = rows.where(good).groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"))

@@ -222,7 +222,6 @@ def simhash_classes(
     share the fingerprint zero and are linked like any other. Equal rows are separate rows of one class. An empty table gives
     no rows; other columns are ignored.
     """
-    common.small_batches(docs.sparkSession)
     text = F.col(text_col)
     bits = 64 if similarity is None else WIDE
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), fingerprint(text, width, bits).alias("words"))

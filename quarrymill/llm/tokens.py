@@ -105,7 +105,6 @@ def merger(path: str) -> Merger:
 
 def token_count(spark, text: Column, vocabulary: str) -> Column:
     """Tokens of a text under a byte-level BPE vocabulary file, which is sent to the executors by Spark. Null: 0."""
-    common.small_batches(spark)
     spark.sparkContext.addFile(vocabulary)
     name = Path(vocabulary).name
 

@@ -204,7 +204,6 @@ def parsed(lines: DataFrame, model: Model, order: list[str]) -> DataFrame:
     last line of each transcript. Null lines count as empty; a null conv_id is one transcript of its own; lines that tie in
     the order stand by their text; an empty table gives no rows.
     """
-    common.small_batches(lines.sparkSession, 4000)
     line = F.coalesce("line", F.lit(""))
     own = F.coalesce("conv_id", F.lit(-(1 << 62))).cast("long")
     ready = lines.select(own.alias("conv_id"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], line.alias("line"))
