@@ -4,7 +4,8 @@ Every page's path is cut into segments. A segment becomes a wildcard of its form
 characters say that it varies, or where a branch has many different values with few pages each. The templates of a host form
 a tree (host, then one node for each further segment). Branches of one parent with the same remaining shape and similar
 labelled shares are merged. Each node's purity (the labelled share to block) is smoothed towards its parent's, from all
-hosts down over domain suffixes, host and path nodes, and templates whose purity reaches the limit are rejected.
+hosts down over domain suffixes, host and path nodes, and templates whose purity reaches the limit are rejected. Suffixes
+only smooth: a template is rejected only where its host or one of its branches has labels of its own.
 """
 
 from __future__ import annotations
@@ -92,6 +93,11 @@ def with_wildcards(rows: DataFrame) -> DataFrame:
     return rows.withColumn("segments", F.when(F.col("stars").isNull(), F.col("segments")).otherwise(starred)).drop("_h", "_s", "stars")
 
 
+def host_level(host: Column) -> Column:
+    """Place of the host's own node among the nodes of a page."""
+    return F.least(F.size(F.split(host, r"\.")), F.lit(3)) + 1
+
+
 def nodes_of(host: Column, segments: Column) -> Column:
     """The keys of a page's nodes from the root down: all hosts, domain suffixes, the host, one for each segment."""
     labels = F.slice(F.reverse(F.split(host, r"\.")), 1, 3)
@@ -103,7 +109,9 @@ def nodes_of(host: Column, segments: Column) -> Column:
 
 
 def purities(rows: DataFrame) -> DataFrame:
-    """Smoothed purity of every template that has labelled nodes: host, segments, purity. bad: null where unlabelled.
+    """Smoothed purity of every template that has labelled nodes: host, segments, purity, own. bad: null where unlabelled.
+
+    own: whether the host or a branch of the template is labelled, and not only what lies above the host.
 
     A node's purity is smoothed towards its parent's, the root's towards a half. Labelled pages label all their nodes, so the
     labelled nodes of a template are the first ones of its path: its purity follows from their counts in order.
@@ -112,10 +120,13 @@ def purities(rows: DataFrame) -> DataFrame:
     templates = common.materialise(templates.withColumn("nodes", nodes_of(F.col("host"), F.col("segments"))))
     placed = templates.select("host", "segments", "n", "bad", F.posexplode("nodes").alias("level", "node"))
     counted = placed.where("n > 0").groupBy("node", "level").agg(F.sum("n").alias("_n"), F.sum("bad").alias("_bad"))
-    met = placed.join(common.materialise(counted), ["node", "level"])
+    # A node has as many rows as templates below it: the root has all, so the few such nodes are broadcast.
+    counted = counted.join(placed.groupBy("node", "level").agg(F.count(F.lit(1)).alias("templates")), ["node", "level"])
+    met = common.join_groups(placed.drop("level"), common.materialise(counted), "node", "templates")
     met = met.groupBy("host", "segments").agg(F.array_sort(F.collect_list(F.struct("level", "_n", "_bad"))).alias("met"))
     fold = lambda above, x: (x["_bad"] + above * SMOOTHING) / (x["_n"] + SMOOTHING)
-    return met.select("host", "segments", F.aggregate("met", F.lit(0.5), fold).alias("purity"))
+    own = F.element_at("met", -1)["level"] >= host_level(F.col("host"))
+    return met.select("host", "segments", F.aggregate("met", F.lit(0.5), fold).alias("purity"), own.alias("own"))
 
 
 def judged(
@@ -124,9 +135,9 @@ def judged(
     """One row per input row: id, host, path, rule, template, purity, verdict.
 
     labels: (id, bad 0 or 1) of some pages; without it the pages that a rule judges are the labelled ones. A url that is
-    null or has no :// has an empty host and path and is judged by the share of all labelled pages. Where nothing is
-    labelled the purity is a half of the limit and the verdict allow. Repeated rows count as often as they stand; repeated
-    labels of an id count as one, the stricter. An empty table gives no rows.
+    null or has no :// has an empty host and path; all such pages are one host. Where nothing is labelled the purity is a
+    half of the limit. Where neither the host nor a branch of the template is labelled, the verdict is allow. Repeated rows
+    count as often as they stand; repeated labels of an id count as one, the stricter. An empty table gives no rows.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
@@ -149,9 +160,13 @@ def judged(
     deepest = purities(rows)
     shape = F.concat(F.lit("/"), F.array_join("segments", "/")).alias("template")
     purity = F.coalesce("purity", F.lit(LIMIT / 2)).alias("purity")
-    method = F.when(F.col("purity") >= LIMIT, "block").otherwise("allow")
-    deepest = deepest.select(F.col("host").alias("_host"), F.col("segments").alias("_segments"), "purity")
-    out = rows.join(deepest, (F.col("host") == F.col("_host")) & (F.col("segments") == F.col("_segments")), "left")
+    method = F.when(F.col("own") & (F.col("purity") >= LIMIT), "block").otherwise("allow")
+    # One row per template with its number of pages; templates of many pages are joined by broadcast.
+    key = F.concat(F.array("host"), F.col("segments"))
+    sizes = rows.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_pages"))
+    deepest = deepest.select(key.alias("_key"), "purity", "own")
+    sizes = common.materialise(sizes.join(deepest, "_key", "left"))
+    out = common.join_groups(rows.withColumn("_key", key), sizes, "_key", "_pages")
     return out.select("id", "host", "path", "rule", shape, purity, F.coalesce("ruled", method).alias("verdict"))
 
 
@@ -184,8 +199,6 @@ def merged(rows: DataFrame) -> DataFrame:
     return out.drop("_first", "_rest", "_h", "_f", "_name")
 
 
-#: Words in a host that mark its pages as bad, for the query's labels. Fixed values.
-SEEDS = ("spam", "pills", "casino", "bets", "track", "warez", "phish")
 #: A page whose visible text has this share of words with doubled symbols is bad; with at most the other share, and so many
 #: words at least, good. Fixed values.
 JUNK, CLEAN, WORDS = 0.3, 0.1, 50
@@ -209,22 +222,17 @@ def page_signal(html: Column) -> Column:
     return F.get(F.transform(counts, signal), F.lit(0))
 
 
-def seed_labels(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = None) -> DataFrame:
-    """(id, bad): 1 where the host has a seed word, 0 where a rule allows the page, else by the page's text; or no row.
+def text_labels(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, bad): 1 where a page's visible text is junk, 0 where it is clean and long enough; no row for other pages.
 
-    The text's labels stand on all hosts, so that branches outside the allowing rules have good labels as well as bad ones.
+    Labels come from what a page shows, on every host and path; neither urls nor rules are looked at.
     """
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    _, verdict = rule_for(host, path)
-    bad = F.when(host.rlike("|".join(SEEDS)), 1).when(verdict == "allow", 0)
-    if html_col is not None:
-        bad = bad.otherwise(page_signal(F.col(html_col)))
-    labels = pages.select(F.col(id_col).alias("id"), bad.alias("bad"))
+    labels = pages.select(F.col(id_col).alias("id"), page_signal(F.col(html_col)).alias("bad"))
     # Written before it is filtered: a filter would take the text a second time.
-    return (labels if html_col is None else common.materialise(labels)).where("bad is not null")
+    return common.materialise(labels).where("bad is not null")
 
 
 def op4_url_filters(spark, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = judged(pages, seed_labels(pages, html_col="html"))
+    found = judged(pages, text_labels(pages))
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "template", "purity")
