@@ -7,17 +7,17 @@ bounded-error matching then verifies the surroundings of each candidate by itsel
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from functools import cache
 from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from .common import table
 
 #: Base phrases, which count without errors only. Fixed values.
 BASE = {"mit": b"under the mit license", "apache-2": b"apache license version 2", "cc-by-nc": b"cc by nc"}
@@ -83,6 +83,12 @@ def places(text: bytes, phrase: bytes) -> list[int]:
     return found
 
 
+def words_before(text: bytes, offsets: list[int]) -> list[int]:
+    """Number of spaces before each offset: the places of the spaces are taken once for a text."""
+    spaces = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
+    return np.searchsorted(spaces, np.array(offsets, dtype=np.int64)).tolist()
+
+
 def best_in(notice: Notice, words: bytes, a: int, z: int) -> tuple | None:
     """The notice's best place between two offsets, as an entry of fuzzy()'s heap; None where there is none."""
     if z - a < len(notice.text) - notice.errors or not (m := notice.pattern.search(words, a, z)):
@@ -95,7 +101,8 @@ def fuzzy(words: bytes) -> list[Found]:
     """Notices in a text of single-spaced words; where two overlap the one with the better score stays.
 
     Each place lies in the window of each of its seeds. The best place of all windows is kept; what is left of a window beside
-    the kept places is searched again until nothing is found, so no place hides a worse one that it doesn't overlap.
+    the kept places is searched again until nothing is found, so no place hides a worse one that it doesn't overlap. A window
+    is as long as its notice and the errors on both sides, so the work grows with the number of seeds found.
     """
     by_label = {n.label: n for n in notices()}
     heap: list[tuple] = []
@@ -106,31 +113,29 @@ def fuzzy(words: bytes) -> list[Found]:
             if one := best_in(notice, words, a, z):
                 heap.append(one)
     heapify(heap)
-    spans: list[tuple[int, int]] = []  # kept, in order
+    covered = bytearray(len(words)) if heap else bytearray()  # 1 where a kept place stands
     kept: list[tuple] = []
     while heap:
         share, _, start, label, end, errors, a, z = heappop(heap)
-        k = bisect_left(spans, (start, start))
-        k -= k > 0 and spans[k - 1][1] > start
-        if k == len(spans) or spans[k][0] >= end:
-            insort(spans, (start, end))
+        if covered.find(1, start, end) < 0:
+            covered[start:end] = b"\x01" * (end - start)
             kept.append((1 - share, start, end, by_label[label], errors))
         # The parts of the window that no kept place covers.
-        k = bisect_left(spans, (a, a))
-        k -= k > 0 and spans[k - 1][1] > a
-        at = a
-        while k < len(spans) and spans[k][0] < z:
-            if one := best_in(by_label[label], words, at, spans[k][0]):
+        at = covered.find(0, a, z)
+        while at >= 0:
+            to = covered.find(1, at, z)
+            if one := best_in(by_label[label], words, at, to if to >= 0 else z):
                 heappush(heap, one)
-            at = max(at, spans[k][1])
-            k += 1
-        if one := best_in(by_label[label], words, at, z):
-            heappush(heap, one)
-    out = []
-    for score, a, z, notice, errors in kept:
-        a += words[a:z].startswith(b" ")
-        out.append(Found(notice.label, words.count(b" ", 0, a), words.count(b" ", 0, max(a, z - 1)), errors, score))
-    return sorted(out, key=lambda f: (f.first_word, f.label))
+            at = covered.find(0, to, z) if to >= 0 else -1
+    edges = [x for _, a, z, _, _ in kept for x in (a + words.startswith(b" ", a), z)]
+    if not edges:
+        return []
+    counts = words_before(words, [x for a, z in zip(edges[::2], edges[1::2], strict=True) for x in (a, max(a, z - 1))])
+    found = [
+        Found(notice.label, first, last, errors, score)
+        for (score, _, _, notice, errors), first, last in zip(kept, counts[::2], counts[1::2], strict=True)
+    ]
+    return sorted(found, key=lambda f: (f.first_word, f.label))
 
 
 def scan(text: bytes | None) -> tuple:
@@ -140,7 +145,9 @@ def scan(text: bytes | None) -> tuple:
         return 0, [], []
     whole = b" ".join(words)
     edged = b" " + whole + b" "
-    base = [(label, edged.count(b" ", 0, at)) for label, phrase in BASE.items() for at in places(edged, b" " + phrase + b" ")]
+    hits = [(label, at) for label, phrase in BASE.items() for at in places(edged, b" " + phrase + b" ")]
+    starts = words_before(edged, [at for _, at in hits]) if hits else []
+    base = [(label, start) for (label, _), start in zip(hits, starts, strict=True)]
     return len(words), sorted(base, key=lambda b: b[1]), fuzzy(whole)
 
 
@@ -173,13 +180,12 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null and empty texts have no words and nothing found. Null ids and repeated rows stay. Equally good overlapping notices:
     the longer one, then the first. An empty table gives no rows.
     """
-    common.small_batches(docs.sparkSession)
     out = docs.select(F.col(id_col).alias("id"), licence_scan(F.col(text_col)).alias("s"))
     return out.select("id", "s.*")
 
 
 def op7_licences(spark, sf_dir: str) -> DataFrame:
-    found = scanned(common.table(spark, sf_dir, "documents"))
+    found = scanned(table(spark, sf_dir, "documents"))
     starts = F.transform("base", lambda b: b["first_word"])
     base = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
     every = F.array_sort(

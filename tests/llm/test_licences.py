@@ -58,6 +58,17 @@ def test_clean_texts_have_nothing():
     assert L.scan(b"the license of the software is not stated here and all rights are yours")[1:] == ([], [])
 
 
+def test_repeated_notices_take_linear_time():
+    import time
+
+    for notice in (b"all right reserved ", b"cc by nc ", b"gnu genral public license version 2 ", b"released under the mit licence "):
+        began = time.perf_counter()
+        n, base, found = L.scan(notice * (1_000_000 // len(notice)))
+        assert time.perf_counter() - began < 60
+        assert max(len(base), len(found)) == 1_000_000 // len(notice)
+        assert [f.first_word for f in found[:3]] == [k * len(notice.split()) for k in range(len(found[:3]))]
+
+
 def nearest(words, text, errors):
     """{(start, end): edits} of all places with so many edits at most, by plain dynamic programming."""
     out = {}
