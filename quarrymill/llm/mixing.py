@@ -2,7 +2,9 @@
 
 Words are summed by source and bucket of a document hash. From the running sums of a source's buckets follows the one
 bucket in which its budget ends; only that bucket is refined with the next bits of the hash, until it holds one hash value.
-The documents below the threshold are then taken by a filter, with no sort and no window over documents.
+The documents below the threshold are then taken by a filter, with no sort and no window over documents. Documents of the
+one hash value at the boundary (rows of equal id and size, which nothing tells apart) are counted, and as many of them are
+taken as still fit.
 """
 
 from __future__ import annotations
@@ -22,9 +24,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def document_hash(key: Column) -> Column:
-    """60 bits of the MD5 of the key as text, so that other engines reach the same selection; a null key counts as empty."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+#: Rows that one task makes of a counted group at a time.
+EXPAND = 50_000
+
+
+def document_hash(key: Column, size: Column) -> Column:
+    """60 bits of the MD5 of id and size as text, so that other engines reach the same selection; a null id counts as empty."""
+    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), size.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -67,14 +74,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Per rank the hash value up to which documents are taken once more (column threshold; -1: none).
+    """Per rank: threshold, the hash value up to which documents are taken once more (-1: none); boundary, the hash value in
+    which the budget ends (null: in none); and left, the words that the budget still has for the boundary's documents.
 
     sized: rank, size, hash. Levels of the histogram go on while a boundary bucket holds several hash values.
     """
     state = budgets.select(
         "rank", "rest", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("before"), F.lit(False).alias("done")
     )
-    state = state.withColumn("threshold", F.lit(-1).cast("long"))
+    none = F.lit(None)
+    state = state.withColumns({"threshold": F.lit(-1).cast("long"), "boundary": none.cast("long"), "left": none.cast("double")})
     rows = sized.where("size > 0")
     shift = HASH_BITS
     while shift > 0:
@@ -114,8 +123,8 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
             F.col("edge.first_hash").alias("_first"),
             F.col("edge.last_hash").alias("_last"),
         )
-        single = F.col("_none") | (F.col("_first") == F.col("_last"))
-        nearer = (F.col("_until") - F.col("rest")) < (F.col("rest") - F.col("_since"))
+        one = F.col("_first") == F.col("_last")
+        single = F.col("_none") | one
         reached = F.coalesce("taken_to", "threshold")
         state = common.materialise(
             state.join(edge, state.rank == edge._rank, "left").select(
@@ -124,15 +133,38 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
                 F.coalesce("_low", "low").alias("low"),
                 F.coalesce("_since", "before").alias("before"),
                 (F.col("done") | F.coalesce(single, F.lit(True))).alias("done"),
-                F.when(F.col("done"), F.col("threshold"))
-                .when(F.coalesce((F.col("_first") == F.col("_last")) & nearer, F.lit(False)), F.col("_last"))
-                .otherwise(reached)
-                .alias("threshold"),
+                F.when(F.col("done"), F.col("threshold")).otherwise(reached).alias("threshold"),
+                F.when(F.col("done"), F.col("boundary")).when(one, F.col("_last")).alias("boundary"),
+                F.when(F.col("done"), F.col("left")).when(one, F.col("rest") - F.col("_since")).alias("left"),
             )
         )
         if state.where("not done").isEmpty():
             break
-    return state.select("rank", "threshold")
+    return state.select("rank", "threshold", "boundary", "left")
+
+
+def boundary_copies(groups: DataFrame) -> DataFrame:
+    """The boundary's rows out of counted groups: columns id, size, n and the plan's; adds extra (0 or 1) for each row.
+
+    Rows stand in the order of hash, id and size; one is taken if the words up to it fit what is left, or come nearer to it
+    with the row than without. Groups of one hash value are one, or the few that collide in 60 bits.
+    """
+    order = W.partitionBy("rank").orderBy(F.col("id").isNull(), "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    groups = groups.withColumn("_before", F.coalesce(F.sum(F.col("n") * F.col("size")).over(order), F.lit(0)))
+    whole = F.floor((F.col("left") - F.col("_before")) / F.col("size"))
+
+    def fits(k: Column) -> Column:
+        until = F.col("_before") + k * F.col("size")
+        return (until <= F.col("left")) | ((until - F.col("left")) < (F.col("left") - (until - F.col("size"))))
+
+    taken = F.when(F.col("size") == 0, F.col("n")).otherwise(whole - 1 + fits(whole).cast("long") + fits(whole + 1).cast("long"))
+    groups = groups.withColumn("_taken", F.greatest(F.lit(0), F.least("n", taken)))
+    parts = groups.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / EXPAND))))
+    # Each part of a group is made by another task.
+    parts = parts.repartition("rank", "id", "size", "_part")
+    last = F.least(F.col("n"), (F.col("_part") + 1) * EXPAND)
+    rows = parts.withColumn("_k", F.explode(F.sequence(F.col("_part") * EXPAND + 1, last)))
+    return rows.withColumn("extra", (F.col("_k") <= F.col("_taken")).cast("long"))
 
 
 def mix(
@@ -146,26 +178,27 @@ def mix(
     """One row per input row: id, size, source_size, target, copies (times that the document is taken), taken (words).
 
     Each source's documents are taken whole, copies times each, and those below the source's hash threshold once more, so
-    that its words come as near its target as whole documents allow; rows with equal ids go together. No document is taken
-    more than most times. Null sources are one source, the last by order; null and empty texts have size 0 and take
+    that its words come as near its target as whole documents allow, also where rows repeat. No document is taken more than
+    most times. Null sources are one source, the last by order; null and empty texts have size 0 and take
     nothing. An empty table gives no rows. Reruns, and other partitionings, give the same rows.
     """
-    sized = common.materialise(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            document_hash(F.col(id_col)).alias("hash"),
-        )
+    sized = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
     )
+    sized = common.materialise(sized)
+    sized = sized.withColumn("hash", document_hash(F.col("id"), F.col("size")))
     budgets = common.materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     ranks = budgets.select(F.col("source").alias("_source"), "rank")
     ranked = sized.join(ranks, sized.source.eqNullSafe(ranks._source)).select("id", "size", "hash", "rank")
     plan = budgets.join(thresholds(ranked, budgets), "rank").drop("source")
-    extra = (F.col("hash") <= F.col("threshold")).cast("long")
-    return ranked.join(plan, "rank").select(
-        "id", "size", "source_size", "target", F.least(F.col("copies") + extra, F.lit(most)).alias("copies")
-    ).withColumn("taken", F.col("copies") * F.col("size"))
+    placed = ranked.join(plan, "rank")
+    at_boundary = F.coalesce(F.col("hash") == F.col("boundary"), F.lit(False))
+    names = ["id", "size", "source_size", "target", "copies", "extra"]
+    plain = placed.where(~at_boundary).withColumn("extra", (F.col("hash") <= F.col("threshold")).cast("long"))
+    counted = placed.where(at_boundary).groupBy("rank", "id", "size", "source_size", "target", "copies", "left").agg(F.count(F.lit(1)).alias("n"))
+    every = plain.select(*names).union(boundary_copies(counted).select(*names))
+    copies = F.least(F.col("copies") + F.col("extra"), F.lit(most))
+    return every.withColumn("copies", copies).drop("extra").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
@@ -176,9 +209,8 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 #: Whole-table SQL of the same mix: a running sum by hash stands for the histogram.
 OP8_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
-  FROM documents),
+  SELECT doc_id, source, size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 15))::BIGINT AS h
+  FROM (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents)),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) AS rank FROM src),
 weighed AS (SELECT *, (rank % 3 + 1)::BIGINT AS w, source_size * 3 AS cap FROM ranked),
@@ -200,11 +232,11 @@ budget AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM target),
 placed AS (
   SELECT s.doc_id, s.size, b.source_size, b.target, b.copies, b.target - b.copies * b.source_size AS rest,
-         (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h RANGE UNBOUNDED PRECEDING))::BIGINT AS until,
-         (sum(s.size) OVER (PARTITION BY s.source, s.h))::BIGINT AS own
+         (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id NULLS LAST, s.size
+                            ROWS UNBOUNDED PRECEDING))::BIGINT AS until
   FROM sized s JOIN budget b ON s.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target,
        size * least(3, copies + CASE WHEN until <= rest OR
-         (until - own <= rest AND until - rest < rest - (until - own)) THEN 1 ELSE 0 END) AS taken
+         until - rest < rest - (until - size) THEN 1 ELSE 0 END) AS taken
 FROM placed
 """

@@ -31,6 +31,20 @@ def test_a_small_source_is_capped_and_the_rest_shared(spark):
     assert all(abs(total[k] - targets[k]) <= 50 for k in "bc")
 
 
+def test_equal_rows_meet_their_target_too(spark):
+    rows = [(7, "w " * 10, "a", "", "")] * 100 + [(None, "w " * 10, "b", "", "")] * 100 + [(n, "w " * 10, "c", "", "") for n in range(100)]
+    got = both(spark, rows)
+    target = {i: r[3] for i, r in ((r[0], r) for r in got) if i in (7, None)}
+    taken = {i: sum(r[4] for r in got if r[0] == i) for i in (7, None)}
+    assert len(got) == 300 and all(abs(taken[i] - target[i]) <= 10 for i in target) and 0 < taken[7] < 1000
+
+
+def test_a_large_equal_group_is_made_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EXPAND", 7)
+    rows = [(None, "w w w", "a", "", "")] * 500 + [(n, "w " * (n % 9), None, "", "") for n in range(300)]
+    assert len(both(spark, rows)) == 800
+
+
 def test_reruns_agree_and_empty(spark, small_dir):
     df = spark.read.parquet(f"{small_dir}/documents.parquet")
     runs = [sorted((r.id, r.taken) for r in mixing.mix(df.repartition(n)).collect()) for n in (1, 6)]
