@@ -2,8 +2,8 @@
 
 Patterns propose candidate spans. Four labelers (form, gazetteer, context words, look of the value) vote on each: for (1),
 against (-1) or not at all (0). Spark counts the vote patterns over all documents; expectation-maximisation over those counts
-(a bounded table: kinds x 3^4 votes x 4 x 4 features) estimates each labeler's reliability and each pattern's probability
-of being personal data. Those probabilities train a logistic span classifier on votes and features, which is compiled back
+(a bounded table: kinds x 3^4 votes x 4 x 4 features) estimates how each labeler votes on personal data and on other spans,
+and each pattern's probability of being personal data. Those probabilities train a logistic span classifier on votes and features, which is compiled back
 into a Spark column. Base spans (the valid e-mail addresses, IP addresses, card and phone numbers) always stay; the method
 adds candidates of other kinds (secrets, national numbers, bank accounts) that its classifier accepts.
 
@@ -37,17 +37,17 @@ ADDED = {
 }
 KINDS = [*BASE, *ADDED]
 LEFT = 24
-#: Words before a span that speak for its kind, and words that speak against any.
+#: Whole words before a span that speak for its kind, and words that speak against any.
 CUES = {
-    "email": "mail|contact|write|reach",
-    "ip": "ip|host|server|addr|from|client",
-    "card": "card|visa|credit|pay|master",
-    "phone": "phone|tel|call|mobile|fax|contact",
-    "secret": "token|secret|key|passw|pwd|auth|credential|bearer",
+    "email": "e-?mail|contact|write|reach",
+    "ip": "ip|host|server|address|addr|from|client",
+    "card": "card|visa|credit|payment|pay|mastercard",
+    "phone": "telephone|phone|tel|call|mobile|fax|contact",
+    "secret": "token|secret|key|password|passwd|pwd|auth|authorization|credential|bearer",
     "national_id": "ssn|social|security|national|id",
     "iban": "iban|account|bank|transfer",
 }
-AGAINST = "version|isbn|issn|doi|commit|sha|md5|checksum|uuid|order|page|build|http"
+AGAINST = "version|isbn|issn|doi|commit|sha|sha1|sha256|md5|checksum|uuid|order|page|build|https?"
 #: Names and number ranges that speak for a kind.
 GAZETTEER = {
     "email": r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|co)$",
@@ -63,12 +63,14 @@ FORM = {
     "ip": r"^(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})$",
     "card": r"^(?:[0-9]{14,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7})$",
     "phone": r"^\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .0-9-]++$",
-    "secret": r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_+/=-]{20,})$",
-    "national_id": r"^[0-9-]{11}$",
+    "secret": r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_+/=-]{20,})$",
+    "national_id": r"^(?!.*([0-9])\1{3})(?!123-45|.*-1234$)[0-9-]{11}$",
     "iban": r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{11,36}$",
 }
 VOTES = ("form", "gazetteer", "context", "look")
 ROUNDS = 40
+#: Pseudo-counts of a labeler's right votes, and of its wrong ones and its abstentions.
+RIGHT, WRONG = 8.0, 2.0
 
 
 def digits_of(value: Column) -> Column:
@@ -143,10 +145,10 @@ def votes_on(kind: Column, value: Column, left: Column) -> list[Column]:
         return reduce(lambda c, k: c.when(kind == k, test(table[k])), KINDS, F).otherwise(F.lit(False))
 
     near = F.lower(left)
+    says = lambda words: near.rlike(rf"(?<!\p{{L}})(?:{words})s?(?!\p{{L}})")
     form = F.when(by_kind(FORM, lambda p: value.rlike(p)), 1).otherwise(-1)
     known = F.when(by_kind(GAZETTEER, lambda p: value.rlike(p)), 1).otherwise(0)
-    cue = by_kind(CUES, lambda p: near.rlike(p))
-    context = F.when(cue, 1).when(near.rlike(AGAINST), -1).otherwise(0)
+    context = F.when(by_kind(CUES, says), 1).when(says(AGAINST), -1).otherwise(0)
     distinct = F.size(F.array_distinct(F.split(F.substring(value, 1, 64), "")))
     figures = F.length(digits_of(F.substring(value, 1, 128)))
     length = F.least(F.length(value), F.lit(128))
@@ -162,9 +164,9 @@ def votes_on(kind: Column, value: Column, left: Column) -> list[Column]:
 
 @dataclass(frozen=True)
 class SpanModel:
-    """Reliability of each labeler and the weights of the span classifier."""
+    """How often each labeler's votes are right, by class and among its votes, and the weights of the span classifier."""
 
-    reliability: dict[str, float]
+    reliability: dict[str, tuple[float, float]]
     weights: dict[tuple, float]
 
     def probability(self, kind: Column, signs: dict[str, Column]) -> Column:
@@ -180,24 +182,35 @@ class SpanModel:
 def estimate(counts: list[tuple[str, tuple[int, ...], tuple[int, int], int]]) -> SpanModel:
     """Expectation-maximisation over (kind, votes, features, count), then the span classifier.
 
-    A labeler votes rightly with its reliability, the same for both classes; abstentions say nothing. Priors go by kind.
+    Each labeler has a distribution over its three votes for personal data and one for other spans, the same for all kinds;
+    a kind has its share of personal data. The start is the majority of the votes. Pseudo-counts, by which right votes are
+    likelier than wrong ones, keep every probability inside (0, 1) and the two classes from changing places.
     """
-    reliable = dict.fromkeys(VOTES, 0.8)
-    prior = dict.fromkeys(KINDS, 0.5)
-    posterior = [0.5] * len(counts)
+    posterior = [1 / (1 + math.exp(-1.4 * sum(v))) for _, v, _, _ in counts]
+    table: dict[tuple[str, bool, int], float] = {}
     for _ in range(ROUNDS):
-        for n, (kind, votes, _, _) in enumerate(counts):
-            logit = math.log(prior[kind] / (1 - prior[kind]))
-            for name, v in zip(VOTES, votes, strict=True):
-                logit += v * math.log(reliable[name] / (1 - reliable[name]))
-            posterior[n] = 1 / (1 + math.exp(-logit))
         for k, name in enumerate(VOTES):
-            right = sum(c * (p if v[k] > 0 else 1 - p) for (_, v, _, c), p in zip(counts, posterior, strict=True) if v[k])
-            said = sum(c for _, v, _, c in counts if v[k])
-            reliable[name] = min(0.95, max(0.55, (right + 4) / (said + 5)))
+            for real in (True, False):
+                mass = {v: RIGHT if (v > 0) == real else WRONG for v in (1, -1)} | {0: WRONG}
+                for (_, votes, _, c), p in zip(counts, posterior, strict=True):
+                    mass[votes[k]] += c * (p if real else 1 - p)
+                for v, m in mass.items():
+                    table[name, real, v] = m / sum(mass.values())
+        prior = {}
         for kind in KINDS:
             own = [(c, p) for (x, _, _, c), p in zip(counts, posterior, strict=True) if x == kind]
-            prior[kind] = min(0.8, max(0.2, (1 + sum(c * p for c, p in own)) / (2 + sum(c for c, _ in own))))
+            prior[kind] = (1 + sum(c * p for c, p in own)) / (2 + sum(c for c, _ in own))
+        for n, (kind, votes, _, _) in enumerate(counts):
+            logit = math.log(prior[kind] / (1 - prior[kind]))
+            for name, v in zip(VOTES, votes, strict=True):
+                logit += math.log(table[name, True, v] / table[name, False, v])
+            posterior[n] = 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
+
+    def right(name: str, real: bool) -> float:
+        said = {v: table[name, real, v] for v in (1, -1)}
+        return said[1 if real else -1] / sum(said.values())
+
+    reliable = {name: (right(name, True), right(name, False)) for name in VOTES}
 
     def active(kind: str, votes: tuple[int, ...], features: tuple[int, int]) -> list[tuple]:
         named = [(n, v) for n, v in zip(VOTES, votes, strict=True) if v]
@@ -224,8 +237,10 @@ def candidates(text: Column) -> Column:
 
 
 def left_of(text: Column, start: Column) -> Column:
-    at = F.greatest(start - LEFT, F.lit(0))
-    return F.substring(text, at + 1, start - at)
+    """The LEFT code points before a span, without the rest of a word that is cut at their start."""
+    at = F.greatest(start - LEFT - 1, F.lit(0))
+    near = F.substring(text, at + 1, start - at)
+    return F.when(at > 0, F.regexp_replace(near, r"^\p{L}+", "")).otherwise(near)
 
 
 def train(docs: DataFrame, text_col: str = "text") -> SpanModel:
