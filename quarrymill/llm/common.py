@@ -119,6 +119,12 @@ class Forest:
                 self.edges.append((i, int(others[at])))
                 self.label[self.label == part] = self.label[i]
 
+    def link_all(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Link pairs (left, right) that are sorted by left."""
+        bounds = [*np.flatnonzero(np.diff(left, prepend=-1)).tolist(), len(left)]
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            self.link(int(left[s]), right[s:e])
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node of each node's component, for edges (a, b) of longs: columns node, root.

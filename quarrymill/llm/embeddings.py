@@ -2,29 +2,38 @@
 
 Principal directions and rotations are learned on a bounded sample so that the signs of the rotated vector are balanced bits.
 The bits are cut into tables; vectors that agree in all bits of a table meet there. How many bits a table has follows from
-the number of vectors, how many tables from the recall that is wanted at the cosine limit. Whoever meets is compared by the
-original vectors in double precision. A pair counts in the first table in which it meets, so no pairs are gathered to
-remove doubles: tasks put out counts per vector and the few edges that connect a group.
+the number of vectors, how many tables from the recall that is wanted at the cosine limit. Vectors of each length have
+their own rotations and tables.
+
+Codes meet first: whoever has a partner in a bucket within the Hamming limit, and meets it in no earlier table, stays; only
+for these the original vectors are fetched and compared in double precision. So a pair counts once, no pairs are gathered
+to remove doubles, and tasks put out members, counts per vector and the few edges that connect a group.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors that the rotations are learned on, at most, by hash order; rounds of learning.
-SAMPLE, ROUNDS = 20_000, 30
+#: Vectors that the rotations are learned on, at most, by hash order, over all lengths (LEAST for each); rounds of learning.
+SAMPLE, LEAST, ROUNDS = 20_000, 200, 30
+#: Pairs just at the cosine limit that are made from the sample to find the Hamming limit.
+TRIALS = 5000
 #: Recall wanted of pairs just at the limit, under independent bits; nearer pairs have more.
 RECALL = 0.95
 BLOCK = 2048
+#: Bytes of compared codes, or of vectors, that a task holds at a time.
+HELD = 1 << 24
 
 
 def plan_tables(count: int, cosine: float) -> tuple[int, int]:
@@ -63,71 +72,162 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def table_keys(vectors: pd.Series, projections: np.ndarray, bits: int) -> np.ndarray:
-    """Row per vector, column per table: the table's bits as a long."""
-    v = np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    signs = (v @ projections >= 0).reshape(len(v), -1, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one. They are scaled by a power of two first, so that neither large nor small numbers overflow."""
+    exponents = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1]
+    v = np.ldexp(vectors, -exponents)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def near_vectors(reps: DataFrame, size: int, cosine: float, tables: int, single: bool) -> DataFrame:
-    """Rows (a, b, n): n links of vector a found in one group (b null), or an edge from a to b (n 0).
+class Plan(NamedTuple):
+    """Codes of the vectors of one length: bits of a table, tables, projections as columns, and the Hamming limit."""
 
-    reps: rep, copies, vec (binary, float32 if single, else float64), keys (binary, one number for each table). Buckets are
-    formed on ids alone; the vectors join them once, on the way to the tasks that compare.
-    """
-    keyed = reps.select("rep", "keys", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"))
-    width = F.octet_length("keys") / tables
-    key = F.substring("keys", (F.col("t") * width + 1).cast("int"), width.cast("int"))
-    group = ["t", "bucket", "bi", "bj"]
-    keyed = keyed.select("rep", "t", F.xxhash64(key).alias("bucket"))
-    blocks = common.blocked_buckets(keyed, ["t", "bucket"], "rep", BLOCK).join(reps, "rep")
+    bits: int
+    tables: int
+    projections: np.ndarray
+    limit: int
+
+
+def hamming_limit(sample: np.ndarray, projections: np.ndarray, cosine: float, seed: int = 6) -> int:
+    """Bits that differ at most among pairs just at the cosine limit: made in random directions and towards other vectors."""
+    generator = np.random.default_rng(seed)
+    base = np.concatenate([sample, sample])[:TRIALS] if len(sample) * 2 > TRIALS else np.tile(sample, (math.ceil(TRIALS / len(sample)), 1))
+    towards = base[generator.permutation(len(base))]
+    aside = np.where(np.arange(len(base))[:, None] % 2 == 0, generator.standard_normal(base.shape), towards)
+    aside = aside - (aside * base).sum(axis=1, keepdims=True) * base
+    length = np.linalg.norm(aside, axis=1)
+    base, aside = base[length > 1e-6], aside[length > 1e-6] / length[length > 1e-6, None]
+    if not len(base):
+        return projections.shape[1]
+    partner = cosine * base + math.sqrt(max(0.0, 1 - cosine * cosine)) * aside
+    return int(((base @ projections >= 0) != (partner @ projections >= 0)).sum(axis=1).max()) + 1
+
+
+def plans(rows: DataFrame, cosine: float) -> dict[int, Plan]:
+    """A plan for each length that two usable vectors have at least, learned on a bounded sample. rows: v (usable)."""
+    sizes = {r["size"]: r["n"] for r in rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect() if r["n"] > 1}
+    if not sizes:
+        return {}
+    each = max(LEAST, SAMPLE // len(sizes))
+    scale = 1 << 30
+    bounds = F.create_map(*[F.lit(x) for size, n in sizes.items() for x in (size, min(scale, int(1.2 * scale * each / n) + 1))])
+    rank = F.xxhash64("v", F.lit(3))
+    chosen = rows.where(F.pmod(rank, F.lit(scale)) < F.try_element_at(bounds, F.size("v"))).distinct()
+    order = W.partitionBy(F.size("v")).orderBy(F.pmod(rank, F.lit(scale)), "v")
+    chosen = chosen.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= each).select("v")
+    samples: dict[int, list] = {}
+    for r in chosen.collect():
+        samples.setdefault(len(r.v), []).append(r.v)
+    found = {}
+    for size, sample in sorted(samples.items()):
+        known = unit(np.array(sample, dtype=np.float64))
+        bits, tables = plan_tables(sizes[size], cosine)
+        projections = learn(known, bits * tables)
+        found[size] = Plan(bits, tables, projections, hamming_limit(known, projections, cosine))
+    return found
+
+
+def codes_of(vectors: list[np.ndarray], plan: Plan) -> np.ndarray:
+    """Row per vector: each table's bits in whole bytes, one table after the other."""
+    signs = unit(np.stack(vectors).astype(np.float64)) @ plan.projections >= 0
+    return np.packbits(signs.reshape(len(vectors), plan.tables, plan.bits), axis=2).reshape(len(vectors), -1)
+
+
+def pairs_within(bounds: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j), i < j, of the pairs within groups, so many at a time that rows of width bytes fit HELD."""
+    most = max(1, HELD // max(1, width))
+    left, right, held = [], [], 0
+    for s, e in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+        for i in range(s, e - 1):
+            left.append(np.full(e - i - 1, i))
+            right.append(np.arange(i + 1, e))
+            held += e - i - 1
+            if held >= most:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+GROUP = ["size", "t", "bucket", "bi", "bj"]
+
+
+def near_pairs(part: pa.Table, bounds: np.ndarray, codes: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one length that meet here first, and within the Hamming limit. Where two blocks meet: across them."""
+    t, blk = part["t"].to_numpy(), part["blk"].to_numpy()
+    two = part["bi"].to_numpy() != part["bj"].to_numpy()
+    codes = codes.reshape(len(codes), plan.tables, -1)
+    for i, j in pairs_within(bounds, codes[0].size):
+        across = ~two[i] | (blk[i] != blk[j])
+        i, j = i[across], j[across]
+        differing = codes[i] ^ codes[j]
+        close = np.bitwise_count(differing).sum(axis=(1, 2), dtype=np.int32) <= plan.limit
+        i, j, differing = i[close], j[close], differing[close]
+        first = (~differing.any(axis=2)).argmax(axis=1) == t[i]
+        yield i[first], j[first]
+
+
+def by_length(whole: pa.Table) -> Iterator[tuple[int, pa.Table, np.ndarray, np.ndarray]]:
+    """(length, rows, bounds of their groups, their codes) for the lengths in a table sorted by GROUP."""
+    starts = common.group_bounds(whole, ["size"]).tolist()
+    for s, e in zip(starts, starts[1:], strict=False):
+        part = whole.slice(s, e - s).combine_chunks()
+        codes = np.frombuffer(b"".join(part["code"].to_pylist()), dtype=np.uint8).reshape(e - s, -1)
+        yield part["size"][0].as_py(), part, common.group_bounds(part, GROUP), codes
+
+
+def candidates(reps: DataFrame, shared) -> DataFrame:
+    """(rep and its place in a group) of whoever has a partner there by its code. reps: rep, size, tables, code."""
+    keyed = reps.where("code is not null").select("rep", "size", "code", "tables", F.explode(F.sequence(F.lit(0), F.col("tables") - 1)).alias("t"))
+    width = F.octet_length("code") / F.col("tables")
+    key = F.substring("code", (F.col("t") * width + 1).cast("int"), width.cast("int"))
+    keyed = keyed.select("rep", "size", "t", F.xxhash64(key).alias("bucket"), "code")
+    blocks = common.blocked_buckets(keyed, ["size", "t", "bucket"], "rep", BLOCK).select(*GROUP, "blk", "rep", "code")
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in common.whole_groups(batches, GROUP):
+            for size, part, bounds, codes in by_length(whole):
+                met = np.zeros(len(codes), dtype=bool)
+                for i, j in near_pairs(part, bounds, codes, shared.value[size]):
+                    met[i] = met[j] = True
+                if met.any():
+                    kept = part.select([*GROUP, "blk", "rep"]).filter(pa.array(met)).combine_chunks()
+                    yield from kept.to_batches()
+
+    schema = "size int, t int, bucket long, bi int, bj int, blk int, rep long"
+    return blocks.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(members, schema)
+
+
+def compared(members: DataFrame, reps: DataFrame, shared, cosine: float, single: bool) -> DataFrame:
+    """Rows (a, b, n): n links of vector a found in one group (b null), or an edge from a to b (n 0)."""
     kind = np.float32 if single else np.float64
+    dealt = members.join(reps.select("rep", "copies", "vec", "code"), "rep")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in common.whole_groups(batches, group):
-            whole = whole.combine_chunks()
-            rep, copies = whole["rep"].to_numpy(), whole["copies"].to_numpy()
-            blk, t = whole["blk"].to_numpy(), whole["t"].to_numpy()
-            vec = np.frombuffer(b"".join(whole["vec"].to_pylist()), dtype=kind).reshape(-1, size).astype(np.float64)
-            vec /= np.linalg.norm(vec, axis=1, keepdims=True)
-            packed = b"".join(whole["keys"].to_pylist())
-            keys = np.frombuffer(packed, dtype=f"i{len(packed) // (len(rep) * tables)}").reshape(-1, tables)
-            bounds = common.group_bounds(whole, group).tolist()
-            a, b, n = [], [], []
-            for s, e in zip(bounds, bounds[1:], strict=False):
-                two = blk[s:e].min() != blk[s:e].max()
-                forest, counts = common.Forest(e - s), np.zeros(e - s, dtype=np.int64)
-                for at in range(s, e, 256):
-                    to = min(e, at + 256)
-                    hit = np.triu(vec[at:to] @ vec[s:e].T >= cosine, k=at - s + 1)
-                    if two:
-                        hit &= blk[at:to, None] != blk[None, s:e]
-                    i, j = np.nonzero(hit)
-                    if not len(i):
-                        continue
-                    i += at - s
-                    first = ~(keys[s + i, : t[s]] == keys[s + j, : t[s]]).any(axis=1)
-                    np.add.at(counts, i[first], copies[s + j[first]])
-                    np.add.at(counts, j[first], copies[s + i[first]])
-                    for x in np.unique(i).tolist():
-                        forest.link(x, j[i == x])
-                for x in np.flatnonzero(counts).tolist():
-                    a.append(int(rep[s + x]))
-                    b.append(None)
-                    n.append(int(counts[x]))
-                for x, y in forest.edges:
-                    a.append(int(rep[s + x]))
-                    b.append(int(rep[s + y]))
-                    n.append(0)
-            if a:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, type=pa.int64()) for x in (a, b, n)], names=["a", "b", "n"]
-                )
-
-    columns = [*group, "rep", "copies", "vec", "keys", "blk"]
-    ready = blocks.select(*columns).repartition(*group).sortWithinPartitions(*group)
+        for whole in common.whole_groups(batches, GROUP):
+            for size, part, bounds, codes in by_length(whole):
+                rep, copies = part["rep"].to_numpy(), part["copies"].to_numpy()
+                vectors = unit(np.frombuffer(b"".join(part["vec"].to_pylist()), dtype=kind).reshape(-1, size).astype(np.float64))
+                counts = np.zeros(len(rep), dtype=np.int64)
+                forest = common.Forest(len(rep))
+                step = max(1, HELD // (16 * size))
+                for left, right in near_pairs(part, bounds, codes, shared.value[size]):
+                    for at in range(0, len(left), step):
+                        i, j = left[at : at + step], right[at : at + step]
+                        linked = np.einsum("ij,ij->i", vectors[i], vectors[j]) >= cosine
+                        i, j = i[linked], j[linked]
+                        np.add.at(counts, i, copies[j])
+                        np.add.at(counts, j, copies[i])
+                        forest.link_all(i, j)
+                some = np.flatnonzero(counts)
+                edges = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
+                a = np.concatenate([rep[some], rep[edges[:, 0]]])
+                b = pa.array([None] * len(some) + rep[edges[:, 1]].tolist(), pa.int64())
+                n = np.concatenate([counts[some], np.zeros(len(edges), dtype=np.int64)])
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(n)], names=["a", "b", "n"])
+
+    ready = dealt.select(*GROUP, "blk", "rep", "copies", "vec", "code").repartition(*GROUP).sortWithinPartitions(*GROUP)
     return ready.mapInArrow(links, "a long, b long, n long")
 
 
@@ -135,52 +235,54 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """One row per input row: id, n_links, component_id, kept.
 
     Equal vectors are one representative with a number of copies. Vectors that are null, empty, zero or have null or
-    non-finite components, and vectors of another length than the most common one, link with nothing: n_links 0, a component
-    of their own. A row without id has no component and isn't kept. Repeated rows are copies of each other. Other columns
-    are ignored; an empty table gives no rows.
+    non-finite components link with nothing: n_links 0, a component of their own. Vectors of different lengths don't link. A
+    row without id has no component and isn't kept. Repeated rows are copies of each other. Other columns are ignored; an
+    empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     good = usable(F.col("v"))
-    sizes = rows.where(good).groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.orderBy(F.desc("n"), "size").first()
-    if most is None:
-        own = F.col("id").alias("component_id")
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), own, F.col("id").isNotNull().alias("kept"))
-    size = most["size"]
-    good = good & (F.size("v") == size)
-    distinct = rows.where(good).groupBy(F.col("v").cast("array<double>").alias("v")).agg(
-        F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")
-    )
-    distinct = common.materialise(distinct.withColumn("rep", F.coalesce("low", F.xxhash64("v"))))
-    count = distinct.count()
-    bits, tables = plan_tables(count, cosine)
+    own = F.col("id").alias("component_id")
+    alone = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), own)
+    known = plans(rows.where(good).select("v"), cosine)
+    shared = spark.sparkContext.broadcast(known)
     single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
-    share = min(1.0, 1.2 * SAMPLE / max(1, count))
-    chosen = distinct.where(F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = np.array([r.v for r in chosen.select("v").limit(SAMPLE).collect()] or [[1.0] * size])
-    projections = learn(sample / np.linalg.norm(sample, axis=1, keepdims=True), bits * tables)
+    kind = np.float32 if single else np.float64
 
-    @F.pandas_udf("struct<vec:binary,keys:binary>")
+    @F.pandas_udf("struct<vec:binary,code:binary,tables:int>")
     def coded(v: pd.Series) -> pd.DataFrame:
-        keys = table_keys(v, projections, bits).astype(np.int32 if bits < 32 else np.int64)
-        kind = np.float32 if single else np.float64
-        return pd.DataFrame({"vec": [np.asarray(x, dtype=kind).tobytes() for x in v], "keys": [x.tobytes() for x in keys]})
+        held = [np.asarray(x, dtype=kind) for x in v]
+        codes: list[bytes | None] = [None] * len(held)
+        tables = [0] * len(held)
+        places: dict[int, list[int]] = {}
+        for k, x in enumerate(held):
+            places.setdefault(len(x), []).append(k)
+        for size, ks in places.items():
+            if (plan := shared.value.get(size)) is not None:
+                for k, code in zip(ks, codes_of([held[k] for k in ks], plan), strict=True):
+                    codes[k], tables[k] = code.tobytes(), plan.tables
+        return pd.DataFrame({"vec": [x.tobytes() for x in held], "code": codes, "tables": tables})
 
-    reps = common.materialise(distinct.select("rep", "copies", coded("v").alias("c")).select("rep", "copies", "c.*"))
-    found = common.materialise(near_vectors(reps, size, cosine, tables, single))
+    # Two hashes stand for a vector where rows find their representative again, so that no vector moves for that.
+    hashes = F.struct(F.xxhash64("v").alias("x"), F.xxhash64("v", F.lit(11)).alias("y"))
+    distinct = rows.where(good).groupBy("v").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    reps = distinct.select(
+        F.coalesce("low", F.xxhash64("v")).alias("rep"), "low", "copies", hashes.alias("h"), F.size("v").alias("size"), coded("v").alias("c")
+    )
+    reps = common.materialise(reps.select("rep", "low", "copies", "h", "size", "c.*"))
+    members = common.materialise(candidates(reps, shared))
+    found = common.materialise(compared(members, reps, shared, cosine, single))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     roots = common.connected_components(found.where("b is not null").select("a", "b"))
-    joined = distinct.join(counts, "rep", "left").join(roots, distinct.rep == roots.node, "left")
-    joined = joined.select("v", "low", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "rep").alias("root"))
-    lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = joined.join(lows, "root").select(
-        F.col("v").alias("_v"), (F.col("others") + F.col("copies") - 1).alias("n_links"), "component_id"
-    )
-    linked = rows.where(good).select("id", F.col("v").cast("array<double>").alias("v"))
-    linked = linked.join(classes, F.col("v") == F.col("_v")).select("id", "n_links", "component_id")
-    alone = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
+    joined = reps.select("rep", "low", "copies", "h").join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    joined = common.materialise(joined.select("h", "low", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "rep").alias("root")))
+    lows = joined.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    classes = common.join_groups(joined, common.materialise(lows), "root", "members")
+    links = (F.col("others") + F.col("copies") - 1).alias("n_links")
+    classes = common.materialise(classes.select("h", links, "component_id", "copies"))
+    linked = common.join_groups(rows.where(good).select("id", hashes.alias("h")), classes, "h", "copies")
+    every = linked.select("id", "n_links", "component_id").union(alone)
+    return every.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
 
 def op2_embeddings(spark, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ from brute import components
 from quarrymill.llm import embeddings
 
 
-def check(spark, vectors, ids=None):
+def check(spark, vectors, ids=None, kind="float"):
     ids = list(range(len(vectors))) if ids is None else ids
     rows = [(i, None if v is None else [None if x is None else float(x) for x in v], 1, "x") for i, v in zip(ids, vectors, strict=True)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep string")
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int, rep string")
     return sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=str)
 
 
@@ -43,12 +43,39 @@ def test_copies_and_odd_vectors(spark):
     assert len(alone) == 8 and all(r[1] == 0 and r[2] == r[0] and r[3] for r in alone)
 
 
+def test_every_length_is_compared_and_numbers_of_any_size(spark):
+    rows = check(spark, [[1, 2], [1, 2], [1, 2, 3], [2, 4, 6], [1, 0, 0], [1, 2, 3.1]], kind="double")
+    assert [r[1:3] for r in rows] == [(1, 0), (1, 0), (2, 2), (2, 2), (0, 4), (2, 2)]
+    huge = [[1e200, 1e200, 0], [2e200, 2e200, 0], [1e-200, 1e-200, 0], [5e-324, 5e-324, 0], [1e308, -1e308, 0], [0, 0, 1e-300]]
+    rows = check(spark, huge, kind="double")
+    assert [r[1:3] for r in rows] == [(3, 0), (3, 0), (3, 0), (3, 0), (0, 4), (0, 5)]
+
+
+def test_the_hamming_limit_keeps_pairs_at_the_cosine(spark):
+    generator = np.random.default_rng(3)
+    sample = embeddings.unit(generator.standard_normal((2000, 24)))
+    projections = embeddings.learn(sample, 160)
+    limit = embeddings.hamming_limit(sample, projections, 0.9)
+    other = embeddings.unit(generator.standard_normal((2000, 24)))
+    aside = embeddings.unit(other - (other * sample).sum(axis=1, keepdims=True) * sample)
+    partner = 0.9 * sample + np.sqrt(1 - 0.81) * aside
+    differing = lambda x, y: ((x @ projections >= 0) != (y @ projections >= 0)).sum(axis=1)
+    assert (differing(sample, partner) <= limit).mean() > 0.999 and (differing(sample, other) <= limit).mean() < 0.05
+
+
+def test_reruns_agree(spark):
+    generator = np.random.default_rng(7)
+    vectors = np.repeat(generator.standard_normal((40, 8)), 5, axis=0) + 0.1 * generator.standard_normal((200, 8))
+    assert check(spark, vectors) == check(spark, vectors)
+
+
 def test_nothing_usable_and_empty(spark):
     assert check(spark, [None, [0.0, 0.0]]) == [(0, 0, 0, True), (1, 0, 1, True)]
     assert check(spark, []) == []
 
 
 def test_large_group_of_near_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "HELD", 256)
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     generator = np.random.default_rng(2)
     vectors = np.ones((120, 16)) + 0.01 * generator.standard_normal((120, 16))
