@@ -101,6 +101,26 @@ def blocked_buckets(rows: DataFrame, keys: list[str], member: str, block: int) -
     )
 
 
+#: Bytes of compared codes, or of vectors, that a task holds at a time.
+HELD = 1 << 24
+
+
+def pairs_within(bounds: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j), i < j, of the pairs within groups, so many at a time that rows of width bytes fit HELD."""
+    most = max(1, HELD // max(1, width))
+    left, right, held = [], [], 0
+    for s, e in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+        for i in range(s, e - 1):
+            left.append(np.full(e - i - 1, i))
+            right.append(np.arange(i + 1, e))
+            held += e - i - 1
+            if held >= most:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+
+
 class Forest:
     """Labels of one group's members; link() keeps the few edges that join separate parts."""
 

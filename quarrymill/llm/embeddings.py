@@ -32,8 +32,6 @@ TRIALS = 5000
 #: Recall wanted of pairs just at the limit, under independent bits; nearer pairs have more.
 RECALL = 0.95
 BLOCK = 2048
-#: Bytes of compared codes, or of vectors, that a task holds at a time.
-HELD = 1 << 24
 
 
 def plan_tables(count: int, cosine: float) -> tuple[int, int]:
@@ -133,22 +131,6 @@ def codes_of(vectors: list[np.ndarray], plan: Plan) -> np.ndarray:
     return np.packbits(signs.reshape(len(vectors), plan.tables, plan.bits), axis=2).reshape(len(vectors), -1)
 
 
-def pairs_within(bounds: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers (i, j), i < j, of the pairs within groups, so many at a time that rows of width bytes fit HELD."""
-    most = max(1, HELD // max(1, width))
-    left, right, held = [], [], 0
-    for s, e in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
-        for i in range(s, e - 1):
-            left.append(np.full(e - i - 1, i))
-            right.append(np.arange(i + 1, e))
-            held += e - i - 1
-            if held >= most:
-                yield np.concatenate(left), np.concatenate(right)
-                left, right, held = [], [], 0
-    if held:
-        yield np.concatenate(left), np.concatenate(right)
-
-
 GROUP = ["size", "t", "bucket", "bi", "bj"]
 
 
@@ -157,7 +139,7 @@ def near_pairs(part: pa.Table, bounds: np.ndarray, codes: np.ndarray, plan: Plan
     t, blk = part["t"].to_numpy(), part["blk"].to_numpy()
     two = part["bi"].to_numpy() != part["bj"].to_numpy()
     codes = codes.reshape(len(codes), plan.tables, -1)
-    for i, j in pairs_within(bounds, codes[0].size):
+    for i, j in common.pairs_within(bounds, codes[0].size):
         across = ~two[i] | (blk[i] != blk[j])
         i, j = i[across], j[across]
         differing = codes[i] ^ codes[j]
@@ -210,7 +192,7 @@ def compared(members: DataFrame, reps: DataFrame, shared, cosine: float, single:
                 vectors = unit(np.frombuffer(b"".join(part["vec"].to_pylist()), dtype=kind).reshape(-1, size).astype(np.float64))
                 counts = np.zeros(len(rep), dtype=np.int64)
                 forest = common.Forest(len(rep))
-                step = max(1, HELD // (16 * size))
+                step = max(1, common.HELD // (16 * size))
                 for left, right in near_pairs(part, bounds, codes, shared.value[size]):
                     for at in range(0, len(left), step):
                         i, j = left[at : at + step], right[at : at + step]

@@ -4,14 +4,16 @@ Every distinct fingerprint gets a row of Hamming distances to reference fingerpr
 fingerprints at distance r differ by at most r in every coordinate, so a pair whose largest coordinate difference exceeds
 the limit is discarded before it is verified bit by bit.
 
-Distances to unrelated references concentrate around half the bits and can't be a join key by themselves. So some
-references are aligned with sets of bits: zero and the set's single bits. Two fingerprints whose coordinates to those
-references agree (largest difference zero) agree in the set, and that agreement is an equi-join key.
-
-- A limit of few bits (fingerprints of 64): the bits are cut into limit + 2 sets. Two of them at least hold none of the
-  differing bits, so one table for each pair of sets finds every pair within the limit.
-- A similarity of shingles (fingerprints of 256 bits): the limit follows from the angle between sets of that similarity.
-  Tables take random sets of bits, as many as find RECALL of the pairs just at the similarity, and more of nearer ones.
+Distances to references concentrate around half the bits, so a pivot table alone can't say where a fingerprint's partners
+are: comparing all rows of it would be a cross join. Candidates therefore come from pigeonhole banding, and the pivot
+table decides which of them are verified.
+
+- A limit of few bits (fingerprints of 64): the bits are cut into limit + k sets. At least k of them hold none of the
+  differing bits, so one table for each choice of k sets finds every pair within the limit. k grows with the number of
+  fingerprints.
+- A similarity of shingles (fingerprints of 256 bits over distinct shingles): tables take random sets of bits, as many as
+  find RECALL of the pairs just at the similarity, and more of nearer ones. Pairs within a loose limit are candidates; a
+  link is a pair whose shingle sets themselves have the similarity.
 """
 
 from __future__ import annotations
@@ -30,30 +32,40 @@ from pyspark.sql import functions as F
 from . import common
 
 PIVOTS = 24
-#: Fingerprints in a block of a large bucket; a task holds two blocks. Groups up to SMALL are compared all at once.
-BLOCK, SMALL = 4096, 64
+#: Fingerprints in a block of a large bucket; a task holds two blocks.
+BLOCK = 4096
 SEED = 42
 #: Bits of a fingerprint that stands for a similarity; share of the pairs just at it that tables find; and the standard
-#: deviations that the estimated distance may lie above its mean.
-WIDE, RECALL, ABOVE = 256, 0.95, 1.3
+#: deviations that the estimated distance of a candidate may lie above its mean.
+WIDE, RECALL, ABOVE = 256, 0.95, 3.0
+#: Documents in a block of a large bucket where shingle sets are compared.
+SET_BLOCK = 1024
 
 
-def fingerprint_words(text: bytes | None, width: int, words_out: int = 1) -> list[int]:
-    """SimHash of one text's UTF-8 bytes: signed longs, the first from the shingles' XXH64, further ones from mixes of it."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 of each shingle of a text's UTF-8 bytes, repeats included: A-Z lower-cased, six white-space bytes part words.
+
+    Fewer words than width are one shingle, no words none.
+    """
     words = text.lower().split() if text else []  # bytes: A-Z and the six white-space bytes only
     if not words:
-        return [0] * words_out
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(lengths + 1) - 1
     n = max(1, len(words) - width + 1)
     if n == 1:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        starts = (ends - lengths)[:n].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:z], SEED) for a, z in zip(starts, ends[width - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, dtype="<u8")
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="<u8")
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[:n].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:z], SEED) for a, z in zip(starts, ends[width - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint_of(h: np.ndarray, words_out: int = 1) -> list[int]:
+    """SimHash of shingle hashes: signed longs, the first from the hashes, further ones from mixes of them; none: zeros."""
+    n = len(h)
+    if not n:
+        return [0] * words_out
     out = []
     for k in range(words_out):
         octets = (h if k == 0 else mixed(h, k)).view(np.uint8).reshape(n, 8)
@@ -73,16 +85,36 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: Column, width: int = 4, bits: int = 64) -> Column:
-    """Array of signed longs; null and empty texts give zeros."""
+def fingerprint(text: Column, width: int = 4) -> Column:
+    """64 bits as a signed long; null and empty texts give zero."""
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_words(t, width, bits // 64) for t in texts], dtype=object)
+        return pd.Series([fingerprint_of(shingle_hashes(t, width))[0] for t in texts], dtype="int64")
 
     return simhash(text.cast("binary"))
 
 
+def sketch(text: Column, width: int) -> Column:
+    """Struct of a text's set of shingles: node (a hash of the set), w0 to w3 (its fingerprint) and shingles.
+
+    shingles are 32 bits of each distinct shingle's hash, sorted: two texts of n shingles see a common one too many with
+    a chance of n^2 / 2^32, which shifts their similarity by 1 / n.
+    """
+    names = [f"w{k}" for k in range(WIDE // 64)]
+
+    @F.pandas_udf(f"struct<node:bigint,{','.join(f'{n}:bigint' for n in names)},shingles:binary>")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            h = np.unique(shingle_hashes(t, width))
+            node = xxhash.xxh64_intdigest(h.tobytes(), SEED)
+            rows.append((node - (1 << 64) if node >> 63 else node, *fingerprint_of(h, len(names)), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()))
+        return pd.DataFrame(rows, columns=["node", *names, "shingles"])
+
+    return sketched(text.cast("binary"))
+
+
 def pivots(words: int = 1, count: int = PIVOTS) -> np.ndarray:
     """Full-width reference fingerprints: hashes of 0, 1, 2, ... One row each."""
     return np.array([[xxhash.xxh64_intdigest(f"{i}.{w}", 1) for w in range(words)] for i in range(count)], dtype=np.uint64)
@@ -92,12 +124,16 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def pair_masks(limit: int) -> list[list[int]]:
-    """Tables for every pair within a limit on 64 bits: the bits of each pair of limit + 2 sets."""
-    parts = limit + 2
+def exact_masks(limit: int, count: int = 1) -> list[int]:
+    """Tables for every pair within a limit on 64 bits: the bits of each choice of k out of limit + k sets.
+
+    k, two at least, is the least for which a bucket of a table holds some four of so many unrelated fingerprints.
+    """
+    kept = next((k for k in range(2, 7) if 4 << (64 * k // (limit + k)) >= count), 6)
+    parts = limit + kept
     cuts = [round(i * 64 / parts) for i in range(parts + 1)]
     masks = [((1 << (z - a)) - 1) << a for a, z in zip(cuts, cuts[1:], strict=False)]
-    return [[a | b] for a, b in combinations(masks, 2)]
+    return [sum(chosen) for chosen in combinations(masks, kept)]
 
 
 def differing(similarity: float) -> float:
@@ -123,7 +159,7 @@ def sampled_masks(count: int, similarity: float, bits: int = WIDE) -> list[list[
 
 
 def table_keys(words: list[Column], masks: list[list[int]]) -> Column:
-    """Array of structs (t, key): the coordinates that a fingerprint has in each table, packed."""
+    """Array of structs (t, key): the bits that a fingerprint has in each table, packed."""
     packed = lambda mask: [w.bitwiseAND(F.lit(signed(m)).cast("long")) for w, m in zip(words, mask, strict=True)]
     keys = [p[0] if len(p) == 1 else F.xxhash64(*p) for p in map(packed, masks)]
     return F.array(*[F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(keys)])
@@ -133,109 +169,142 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
-def forest_edges(fps: np.ndarray, blk: np.ndarray, limit: int, tables: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect all fingerprints (rows of words) of one group that lie within the limit of each other.
+GROUP = ["t", "key", "bi", "bj"]
 
-    blk: where two blocks meet only pairs across them are looked at. tables: the pivot distance table.
-    """
-    two = blk.min() != blk.max()
-    forest = common.Forest(len(fps))
-    order = np.argsort(tables[:, 0], kind="stable")
-    first = tables[order, 0]
-    for at, i in enumerate(order.tolist()):
-        end = int(np.searchsorted(first, first[at] + limit, side="right"))
-        near = order[at + 1 : end]
-        if two:
-            near = near[blk[near] != blk[i]]
-        for k in range(1, tables.shape[1]):
-            if len(near) < 64:
-                break
-            near = near[np.abs(tables[near, k] - tables[i, k]) <= limit]
-        near = near[np.abs(tables[near] - tables[i]).max(axis=1, initial=0) <= limit]
-        near = near[distances(fps[near], fps[i]) <= limit]
-        if len(near):
-            forest.link(i, near)
-    return forest.edges
-
-
-def small_group_pairs(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of all pairs within each of the groups that have 2 to SMALL rows."""
-    sizes = np.diff(bounds)
-    left, right = [], []
-    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
-        i, j = np.triu_indices(n, 1)
-        starts = bounds[:-1][sizes == n]
-        left.append((starts[:, None] + i[None]).ravel())
-        right.append((starts[:, None] + j[None]).ravel())
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
-def near_fingerprints(fps: DataFrame, masks: list[list[int]], limit: int) -> DataFrame:
-    """Edges (a, b) between ids that connect the fingerprints within the limit; not all pairs of a large group.
-
-    fps: fp (id, long) and words (array of longs), one row per distinct fingerprint.
+
+def bucket_rows(fps: DataFrame, names: list[str], masks: list[list[int]], block: int, member: str) -> DataFrame:
+    """Fingerprints (columns names) in the blocks of each table's buckets: GROUP, blk, the member's id and names."""
+    keys = fps.select(member, *names, F.explode(table_keys([F.col(n) for n in names], masks)).alias("k"))
+    keys = keys.select(member, *names, "k.t", "k.key")
+    return common.blocked_buckets(keys, ["t", "key"], member, block).select(*GROUP, member, "blk", *names)
+
+
+def first_met_pairs(whole: pa.Table, names: list[str], masks: np.ndarray, limit: int, refs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the groups in a table that lie within the limit and meet in no earlier table.
+
+    Where two blocks meet only pairs across them are looked at. The pivot distances discard pairs by their largest
+    coordinate difference before the fingerprints themselves are compared.
     """
-    names = [f"w{k}" for k in range(len(masks[0]))]
-    wide = fps.select("fp", *[F.col("words")[k].alias(n) for k, n in enumerate(names)])
-    keys = wide.select("fp", *names, F.explode(table_keys([F.col(n) for n in names], masks)).alias("k"))
-    keys = keys.select("fp", *names, "k.t", "k.key")
-    group = ["t", "key", "bi", "bj"]
-    blocks = common.blocked_buckets(keys, ["t", "key"], "fp", BLOCK).select(*group, "fp", "blk", *names)
-    refs = pivots(len(names))
+    words = np.stack([whole[n].to_numpy().astype(np.int64).view(np.uint64) for n in names], axis=1)
+    pivoted = np.stack([distances(words, r) for r in refs], axis=1)
+    t, blk = whole["t"].to_numpy(), whole["blk"].to_numpy()
+    two = whole["bi"].to_numpy() != whole["bj"].to_numpy()
+    for i, j in common.pairs_within(common.group_bounds(whole, GROUP), 8 * (len(names) + len(refs))):
+        for k in range(pivoted.shape[1]):
+            close = np.abs(pivoted[i, k] - pivoted[j, k]) <= limit
+            i, j = i[close], j[close]
+        across = ~two[i] | (blk[i] != blk[j])
+        i, j = i[across], j[across]
+        close = distances(words[i], words[j]) <= limit
+        i, j = i[close], j[close]
+        for at in range(0, max(1, len(i)), 1 << 14):
+            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            agree = ~((words[x] ^ words[y])[:, None, :] & masks[None]).any(axis=2)
+            first = agree.argmax(axis=1) == t[x]
+            yield x[first], y[first]
+
+
+def near_fingerprints(fps: DataFrame, masks: list[int], limit: int) -> DataFrame:
+    """Edges (a, b) that connect the fingerprints (fp, long, one row each) within the limit; not all pairs of a group."""
+    blocks = bucket_rows(fps.select("fp", F.col("fp").alias("w0")), ["w0"], [[m] for m in masks], BLOCK, "fp")
+    refs, table = pivots(), np.array([[m] for m in masks], dtype=np.uint64)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in common.whole_groups(batches, group):
-            ids, blk = whole["fp"].to_numpy(), whole["blk"].to_numpy()
-            words = np.stack([whole[n].to_numpy().astype(np.int64).view(np.uint64) for n in names], axis=1)
-            tables = np.stack([distances(words, r) for r in refs], axis=1)
-            bounds = common.group_bounds(whole, group)
-            found = []
-            left, right = small_group_pairs(bounds)
-            for at in range(0, len(left), 1 << 18):
-                i, j = left[at : at + (1 << 18)], right[at : at + (1 << 18)]
-                for k in range(4):  # the first coordinates discard most of what they can
-                    close = np.abs(tables[i, k] - tables[j, k]) <= limit
-                    i, j = i[close], j[close]
-                close = distances(words[i], words[j]) <= limit
-                found += [(ids[i[close]], ids[j[close]])]
-            for g in np.flatnonzero(np.diff(bounds) > SMALL).tolist():
-                s, e = bounds[g], bounds[g + 1]
-                if pairs := forest_edges(words[s:e], blk[s:e], limit, tables[s:e]):
-                    i, j = np.array(pairs).T
-                    found.append((ids[s + i], ids[s + j]))
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return blocks.repartition(*group).sortWithinPartitions(*group).mapInArrow(edges, "a long, b long")
-
-
-def simhash_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4, similarity: float | None = None
-) -> DataFrame:
-    """One row per input row: id, h (a hash of the text), fp (signed long), root (of the class), component_id.
+        for whole in common.whole_groups(batches, GROUP):
+            ids, forest = whole["fp"].to_numpy(), common.Forest(whole.num_rows)
+            for i, j in first_met_pairs(whole, ["w0"], table, limit, refs):
+                forest.link_all(i, j)
+            if forest.edges:
+                i, j = np.array(forest.edges).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+    return blocks.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(edges, "a long, b long")
+
+
+def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4) -> DataFrame:
+    """One row per input row: id, fp (signed long), component_id. Fingerprints link at limit or fewer differing bits.
 
-    Without a similarity, 64-bit fingerprints link at limit or fewer differing bits, all of them; fp is the fingerprint.
-    With one, 256-bit fingerprints link at an estimated similarity of that or more; fp is their hash.
     component_id is the smallest id reachable over links; null where no row of the class has an id. Null and empty texts
     share the fingerprint zero and are linked like any other. Equal rows are separate rows of one class. An empty table gives
     no rows; other columns are ignored.
     """
-    text = F.col(text_col)
-    bits = 64 if similarity is None else WIDE
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), fingerprint(text, width, bits).alias("words"))
-    fp = F.col("words")[0] if bits == 64 else F.xxhash64("words")
-    rows = common.materialise(rows.withColumn("fp", fp))
-    fps = common.materialise(rows.groupBy("fp").agg(F.min("id").alias("low"), F.first("words").alias("words")))
-    if similarity is None:
-        masks = pair_masks(limit)
-    else:
-        masks, limit = sampled_masks(fps.count(), similarity), wide_limit(similarity)
-    linked = common.connected_components(near_fingerprints(fps, masks, limit))
-    roots = fps.join(linked, fps.fp == linked.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.drop("words").join(roots.drop("low").join(lows, "root"), "fp").select("id", "h", "fp", "root", "component_id")
+    rows = common.materialise(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fp")))
+    fps = common.materialise(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
+    linked = common.connected_components(near_fingerprints(fps, exact_masks(limit, fps.count()), limit))
+    roots = fps.join(linked, fps.fp == linked.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
+    roots = common.materialise(roots)
+    lows = roots.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    classes = common.join_groups(roots.drop("low"), common.materialise(lows), "root", "members")
+    return common.join_groups(rows, common.materialise(classes.select("fp", "n", "component_id")), "fp", "n").select("id", "fp", "component_id")
+
+
+def sets_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all rows one after the other, and where each row's begin (and the end)."""
+    values = column.to_pylist()
+    starts = np.zeros(len(values) + 1, dtype=np.int64)
+    np.cumsum([len(v) // 4 for v in values], out=starts[1:])
+    return np.frombuffer(b"".join(values), dtype="<u4"), starts
+
+
+def similar(shingles: np.ndarray, starts: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the other rows' sets have at least the Jaccard similarity with row i's."""
+    own = shingles[starts[i] : starts[i + 1]]
+    sizes = starts[others + 1] - starts[others]
+    alike = np.minimum(sizes, len(own)) >= similarity * np.maximum(sizes, len(own)) - 1e-9
+    kept = np.flatnonzero(alike & (sizes > 0)) if len(own) else np.zeros(0, dtype=np.int64)
+    out = np.zeros(len(others), dtype=bool)
+    if len(kept):
+        held = np.concatenate([shingles[starts[j] : starts[j + 1]] for j in others[kept].tolist()])
+        at = np.searchsorted(own, held)
+        at[at == len(own)] = 0
+        shared = np.add.reduceat(own[at] == held, np.cumsum(sizes[kept]) - sizes[kept], dtype=np.int64)
+        out[kept] = shared >= similarity * (sizes[kept] + len(own) - shared) - 1e-9
+    return out
+
+
+def verified_edges(sketches: DataFrame, sets: DataFrame, masks: list[list[int]], limit: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between nodes whose shingle sets have the similarity; not all pairs of a group.
+
+    sketches: node and w0 to w3; sets: node and shingles. Only nodes that have a candidate partner by their fingerprints
+    fetch their sets. Every candidate pair is verified in the first table in which it meets, unless its two nodes are
+    connected there already.
+    """
+    names = [f"w{k}" for k in range(WIDE // 64)]
+    blocks = bucket_rows(sketches, names, masks, SET_BLOCK, "node")
+    table, refs = np.array(masks, dtype=np.uint64), pivots(len(names), 2)
+    member = [*GROUP, "blk", "node", *names]
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in common.whole_groups(batches, GROUP):
+            met = np.zeros(whole.num_rows, dtype=bool)
+            for i, j in first_met_pairs(whole, names, table, limit, refs):
+                met[i] = met[j] = True
+            if met.any():
+                yield from whole.select(member).filter(pa.array(met)).combine_chunks().to_batches()
+
+    schema = "t int, key long, bi int, bj int, blk int, node long, " + ", ".join(f"{n} long" for n in names)
+    found = common.materialise(blocks.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(members, schema))
+    wanted = sets.join(found.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    dealt = found.join(wanted, "node").select(*member, "shingles")
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in common.whole_groups(batches, GROUP):
+            ids, forest = whole["node"].to_numpy(), common.Forest(whole.num_rows)
+            shingles, starts = sets_of(whole["shingles"])
+            for left, right in first_met_pairs(whole, names, table, limit, refs):
+                bounds = [*np.flatnonzero(np.diff(left, prepend=-1)).tolist(), len(left)]
+                for s, e in zip(bounds, bounds[1:], strict=False):
+                    i, others = int(left[s]), right[s:e]
+                    others = others[forest.label[others] != forest.label[i]]
+                    for at in range(0, len(others), SET_BLOCK):
+                        part = others[at : at + SET_BLOCK]
+                        if len(part := part[similar(shingles, starts, i, part, similarity)]):
+                            forest.link(i, part)
+            if forest.edges:
+                i, j = np.array(forest.edges).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
+
+    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(edges, "a long, b long")
 
 
 def keep_one_of_each(
@@ -243,15 +312,26 @@ def keep_one_of_each(
 ) -> DataFrame:
     """The documents without near copies: of each class the row with the smallest id stays, whole.
 
-    Of repeated rows one stays. Where no row of a class has an id, the one with the least text hash stays.
+    Two documents link if their sets of shingles (width words) have the Jaccard similarity or more; every link is verified
+    on the sets, and a class is what links connect. Pairs just at the similarity are found with RECALL, nearer ones more
+    often. Texts without words are copies of each other. Of rows with equal id and text one stays. Where no row of a class
+    has an id, the one with the least text hash stays. An empty table gives no rows; all columns are kept.
     """
-    classes = common.materialise(simhash_classes(docs, id_col, text_col, width, similarity=similarity))
-    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("k"))
-    kept = kept.select(F.col("k.id").alias("_kept_id"), F.col("k.h").alias("_kept_h"))
-    hashed = F.xxhash64(docs[text_col])
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept._kept_id) & (hashed == kept._kept_h), "left_semi")
-    rows, keys = classes.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce("id", F.lit(-1)), "h")).first()
-    return out if rows == keys else out.dropDuplicates([id_col, text_col])
+    sketched = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), sketch(F.col(text_col), width).alias("s"))
+    rows = common.materialise(sketched.select("id", "h", "s.*"))
+    names = [f"w{k}" for k in range(WIDE // 64)]
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")
+    nodes = common.materialise(rows.groupBy("node").agg(first, *[F.min(n).alias(n) for n in names]))
+    masks = sampled_masks(nodes.count(), similarity)
+    edges = verified_edges(nodes.select("node", *names), rows.select("node", "shingles"), masks, wide_limit(similarity), similarity)
+    linked = common.connected_components(edges).withColumnRenamed("node", "_node")
+    roots = nodes.select("node", "k").join(linked, F.col("node") == F.col("_node"), "left")
+    kept = roots.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k"))
+    keys = ["_qm_none", "_qm_id", "_qm_h"]
+    kept = kept.select(F.col("k.none").alias(keys[0]), F.coalesce("k.id", F.lit(0)).alias(keys[1]), F.col("k.h").alias(keys[2]))
+    own = {keys[0]: F.col(id_col).isNull(), keys[1]: F.coalesce(id_col, F.lit(0)), keys[2]: F.xxhash64(text_col)}
+    # Equal rows become one before they are dealt out, so that no task gets many of them.
+    return docs.withColumns(own).dropDuplicates(keys).join(kept, keys, "left_semi").drop(*keys)
 
 
 def hex16(fp: Column) -> Column:

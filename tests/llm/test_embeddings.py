@@ -75,7 +75,7 @@ def test_nothing_usable_and_empty(spark):
 
 
 def test_large_group_of_near_copies_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "HELD", 256)
+    monkeypatch.setattr(embeddings.common, "HELD", 256)
     monkeypatch.setattr(embeddings, "BLOCK", 16)
     generator = np.random.default_rng(2)
     vectors = np.ones((120, 16)) + 0.01 * generator.standard_normal((120, 16))

@@ -24,7 +24,7 @@ def test_stages_in_order_and_whole(spark):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     good = [i for i in labels.index if labels.quality[i] == 1]
     assert sum(i in ids[1] for i in good) >= 0.97 * len(good)
-    # Of exact copies one stays; whoever went has a near copy with a smaller id; no two that stay are near copies.
+    # Of exact copies one stays; whoever went has a near copy, and none that stay are near copies but for the tables' recall.
     shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i in ids[1] for w in [texts[i].lower().split()]}
     holders = {}
     for i in sorted(ids[1]):
@@ -36,7 +36,7 @@ def test_stages_in_order_and_whole(spark):
         return {j: n / (len(shingles[i]) + len(shingles[j]) - n) for j, n in common_shingles.items()}
 
     gone = ids[1] - ids[2]
-    assert gone and all(max(partners(i).values(), default=0) >= 0.6 for i in gone)
+    assert gone and all(max(partners(i).values(), default=0) >= 0.8 for i in gone)
     missed = [i for i in ids[2] if any(share >= 0.8 and j in ids[2] for j, share in partners(i).items())]
     assert len(missed) <= 0.05 * len(gone) + 1
     assert ids[3] == ids[4] == ids[5]

@@ -75,29 +75,21 @@ def test_pairs_at_the_limit_are_found_and_dense_groups_stay_connected(spark, mon
     base = int(generator.integers(1 << 62))
     near = [base ^ int(sum(1 << int(b) for b in generator.choice(64, k, replace=False))) for k in (0, 1, 2, 3, 4, 4, 4, 5, 7) for _ in range(20)]
     values = np.unique(np.array(near + generator.integers(1 << 62, size=300).tolist(), dtype=np.uint64))
-    df = spark.createDataFrame([(int(v), [int(v)]) for v in values.view(np.int64)], "fp long, words array<bigint>")
+    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
     from quarrymill.llm.common import connected_components
 
     signed = values.view(np.int64).tolist()
     expected = simhash_components(signed, values)
     for block in (8, 4096):
         monkeypatch.setattr(S, "BLOCK", block)
-        found = S.near_fingerprints(df, S.pair_masks(4), 4)
+        found = S.near_fingerprints(df, S.exact_masks(4, 10**9 if block == 8 else 1), 4)
         linked = {r.node: r.root for r in connected_components(found).collect()}
         assert [linked.get(v, v) for v in signed] == expected
 
 
-def test_large_groups_by_pivots_alone():
-    generator = np.random.default_rng(8)
-    words = generator.integers(1 << 62, size=(150, 1)).astype(np.uint64)
-    words[50:] = words[0] ^ (np.uint64(1) << generator.integers(64, size=(100, 1)).astype(np.uint64))
-    tables = np.stack([S.distances(words, r) for r in S.pivots(1)], axis=1)
-    edges = S.forest_edges(words, np.zeros(150, dtype=int), 4, tables)
-    assert {i for e in edges for i in e} == {0, *range(50, 150)} and len(edges) == 100
-
-
 def test_every_pair_within_the_limit_shares_a_key():
-    masks = [m[0] for m in S.pair_masks(4)]
+    tables = [S.exact_masks(4, n) for n in (1, 10**8, 10**10)]
+    assert [len(m) for m in tables] == [15, 35, 70] and min(m.bit_count() for m in tables[2]) == 32
     refs = S.pivots()
     generator = random.Random(1)
     for _ in range(200):
@@ -105,7 +97,7 @@ def test_every_pair_within_the_limit_shares_a_key():
         b = a
         for bit in generator.sample(range(64), 4):
             b ^= 1 << bit
-        assert any((a & m) == (b & m) for m in masks)
+        assert all(any((a & m) == (b & m) for m in masks) for masks in tables)
         x, y = np.array([a], dtype=np.uint64), np.array([b], dtype=np.uint64)
         assert max(abs(int(S.distances(x, r)) - int(S.distances(y, r))) for r in refs) <= 4
 
@@ -115,7 +107,51 @@ def test_tables_for_a_similarity():
         masks = S.sampled_masks(n, 0.8)
         size = sum(m.bit_count() for m in masks[0])
         assert 1 - (1 - (1 - S.differing(0.8)) ** size) ** len(masks) >= S.RECALL
-    assert 42 <= S.wide_limit(0.8) <= 50
+    assert 50 <= S.wide_limit(0.8) <= 60
+
+
+def test_links_are_verified_on_the_shingles(spark, monkeypatch):
+    """Classes against exact search: pairs of all similarities, repeated lines, and a block size that cuts groups."""
+    generator = random.Random(11)
+    rows = []
+    for _ in range(120):
+        words = [generator.choice(WORDS) + str(generator.randrange(50)) for _ in range(120)]
+        rows.append(" ".join(words))
+        for _ in range(generator.randrange(4)):
+            copy = list(words)
+            for at in generator.sample(range(120), generator.randrange(1, 9)):
+                copy[at] = "changed"
+            rows.append(" ".join(copy))
+    line = "the same line again and again " * 40
+    rows += [line + " ".join(generator.choices(WORDS, k=60)) for _ in range(12)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in rows]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    from brute import components
+
+    roots = components(len(rows), lambda i: np.flatnonzero(near[i]))
+    best = {}
+    for n, r in enumerate(roots):
+        best.setdefault(r, n)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for block in (1024, 3):
+        monkeypatch.setattr(S, "SET_BLOCK", block)
+        kept = {r.doc_id for r in S.keep_one_of_each(df).collect()}
+        assert set(best.values()) <= kept  # no class loses all its members
+        assert len(kept) <= len(best) + 0.1 * (len(rows) - len(best))
+
+
+def test_many_distinct_near_copies_and_repeated_rows(spark):
+    generator = random.Random(2)
+    words = [generator.choice(WORDS) for _ in range(400)]
+    rows = []
+    for n in range(300):
+        copy = list(words)
+        for at in generator.sample(range(400), 3):
+            copy[at] = f"changed{n}"
+        rows.append((n // 2, " ".join(copy), "x"))
+    rows += [(None, "all the same", "x")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    assert sorted((r.doc_id is None, r.doc_id) for r in S.keep_one_of_each(df).collect()) == [(False, 0), (True, None)]
 
 
 def test_empty_and_components_of_paths(spark):
