@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ NAMES = {
     "assistant": "assistant", "ai": "assistant", "bot": "assistant", "a": "assistant", "answer": "assistant", "agent": "assistant",
 }
 MARKER = rf"(?i)^\s*(?:#{{1,4}}\s*|<\||\[|\*\*)?({'|'.join(sorted(NAMES, key=len, reverse=True))})\s*(?:\|>|\]|\*\*)?\s*(?::|>|\|>|$)\s*"
-#: Lines in a segment.
-SEGMENT = 65_536
+#: Lines in a segment, and bytes, at most (one longer line is a segment of its own).
+SEGMENT, SEGMENT_BYTES = 65_536, 1 << 24
 #: Line forms: 3 lengths x ends as a question x begins in upper case.
 FORMS = 12
 STATES = [(r, begins) for r in range(len(ROLES)) for begins in (True, False)]
@@ -136,14 +137,14 @@ def segmented(lines: DataFrame, order: list[str]) -> DataFrame:
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        seg, place, last = 0, -1, object()
+        seg, place, held, last = 0, -1, 0, object()
         for batch in batches:
             ids = batch["conv_id"].to_pylist()
             segs, places = [], []
-            for c in ids:
-                place += 1
-                if c != last or place >= SEGMENT:
-                    seg, place, last = seg + 1, 0, c
+            for c, size in zip(ids, pc.binary_length(batch["said"]).to_pylist(), strict=True):
+                place, held = place + 1, held + size
+                if c != last or place >= SEGMENT or held > SEGMENT_BYTES:
+                    seg, place, held, last = seg + 1, 0, size, c
                 segs.append(task + seg)
                 places.append(place)
             columns = [batch["conv_id"], pa.array(segs, pa.int64()), pa.array(places, pa.int64()), batch["marker"], batch["form"], batch["said"]]

@@ -1,4 +1,5 @@
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -45,6 +46,7 @@ def test_segments_change_nothing(spark, turns, monkeypatch):
     model = T.train(turns)
     whole = sorted(map(tuple, T.parsed(lines_of(spark, turns), model, ["turn", "at"]).select("conv_id", "turn", "role", "text").where("part = 0").collect()))
     monkeypatch.setattr(T, "SEGMENT", 3)
+    monkeypatch.setattr(T, "SEGMENT_BYTES", 150)
     parts = T.parsed(lines_of(spark, turns), model, ["turn", "at"]).toPandas().sort_values(["conv_id", "turn", "part"])
     joined = parts.groupby(["conv_id", "turn"]).agg(role=("role", "first"), text=("text", "\n".join)).reset_index()
     assert parts.part.max() > 0
@@ -64,6 +66,31 @@ def test_held_out_accuracy(spark):
     assert total > 50 and right / total > 0.9
 
 
+def test_lines_of_turns_without_a_marker(spark):
+    """Held-out roles where nothing names the speaker, against taking the last marker seen."""
+    sf_dir = "/root/testdata/sf0.01"
+    got = T.op3_transcripts(spark, sf_dir).toPandas().sort_values(["conv_id", "turn", "part"])
+    turns = T.transcript_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")).toPandas().sort_values(["conv_id", "turn"])
+    marker = re.compile(T.MARKER)
+    right = looked_up = total = 0
+    for conv, rows in turns.groupby("conv_id"):
+        if zlib.crc32(str(conv).encode()) % 3 != 1:
+            continue
+        own = got[got.conv_id == conv]
+        found = [role for role, n in zip(own.role, own.n_lines) for _ in range(n)]
+        at, last = 0, None
+        for role, lines in zip(rows.role, rows.lines):
+            m = marker.match(lines[0])
+            last = T.NAMES[m[1].lower()] if m else last
+            if not m:
+                total += len(lines)
+                right += sum(x == role for x in found[at : at + len(lines)])
+                looked_up += len(lines) * (last == role)
+            at += len(lines)
+        assert at == len(found)
+    assert total > 50 and right > 0.75 * total and right > looked_up
+
+
 def test_odd_lines(spark, turns):
     model = T.train(turns)
     rows = [(1, 0, None, "x"), (1, 1, "User: hi", "x"), (1, 1, "User: hi", "x"), (1, 2, "Assistant: yes", "x"), (None, 0, "Q: a", "x"), (2, None, "", "x"), (3, 0, "z" * 100_000, "x")]
