@@ -178,7 +178,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
     """Fit on labelled documents that aren't held out, at most rows of them (those with the least id hashes).
 
-    Labels that are null, or that contradict each other for one id, count as absent.
+    Labels that are null, or that contradict each other for one id, count as absent. Of several texts of one id, the one
+    with the least statistics counts.
     """
     known = (
         labels.where("quality in (0, 1) and doc_id is not null")
@@ -193,9 +194,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     joined = texts.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("label", "_doc", "_text")
     featured = with_features(joined, F.col("_text")).drop("_text")
+    # One row per id, so that the sample stays bounded where an id repeats.
+    single = featured.groupBy("_doc").agg(F.min(F.struct(*[PREFIX + f for f in FEATURES], "label")).alias("_row")).select("_doc", "_row.*")
     # The bounded sample in one order, so that bootstraps agree between reruns.
-    sample = common.materialise(featured.repartition(1).sortWithinPartitions("_doc", *[PREFIX + f for f in FEATURES]))
-    return fit(sample.drop("_doc").cache())
+    sample = common.materialise(single.repartition(1).sortWithinPartitions("_doc")).drop("_doc").cache()
+    model = fit(sample)
+    sample.unpersist()
+    return model
 
 
 def scored(docs: DataFrame, model: RuleModel, column: str = "score", text_col: str = "text") -> DataFrame:
