@@ -284,8 +284,9 @@ def verified_edges(sketches: DataFrame, sets: DataFrame, masks: list[list[int]],
 
     schema = "t int, key long, bi int, bj int, blk int, node long, " + ", ".join(f"{n} long" for n in names)
     found = common.materialise(blocks.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(members, schema))
-    wanted = sets.join(found.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    dealt = found.join(wanted, "node").select(*member, "shingles")
+    # One set per node and task before sets are dealt out: copies don't meet in one task.
+    single = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    dealt = found.join(single, "node").select(*member, "shingles")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in common.whole_groups(batches, GROUP):
