@@ -211,8 +211,8 @@ class Index:
         sums = np.zeros(total * self.blocks)
         wide = self.block_pointer[terms + 1] - self.block_pointer[terms]
         steps = np.cumsum(wide)
-        for at in range(0, int(steps[-1]) if len(steps) else 0, HELD):
-            s, e = np.searchsorted(steps, [at, at + HELD], side="right" if at else "left")
+        for at in range(0, int(steps[-1]) + 1 if len(steps) else 0, HELD):
+            s, e = np.searchsorted(steps, [at, at + HELD])
             n = wide[s:e]
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.block_pointer[terms[s:e]], n)
             sums += np.bincount(np.repeat(halves[s:e], n) * self.blocks + self.block[within], self.block_maximum[within], len(sums))

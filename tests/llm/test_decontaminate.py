@@ -157,6 +157,22 @@ def test_a_long_text_takes_bounded_memory_and_loses_nothing(monkeypatch):
     assert peak < 12 * len(text)
     monkeypatch.setattr(D, "PIECE", 2)
     monkeypatch.setattr(D, "SLICE", 100)
-    monkeypatch.setattr(D, "HELD", 500)
     short = text[:40_000] + b" " + items[8][1]
-    assert [m[0] for m in index.matches([short])[0]] == [3, 8]
+    for held in (1, 7, 500):
+        monkeypatch.setattr(D, "HELD", held)
+        assert [m[0] for m in index.matches([short])[0]] == [3, 8]
+
+
+def test_bounds_are_whole_however_they_are_cut(monkeypatch):
+    generator = random.Random(6)
+    items = [(k, " ".join(generator.choices(WORDS[:80], k=12)).encode()) for k in range(60)]
+    index = shard(items)
+    batch = [(n, 0, [w.encode() for w in generator.choices(WORDS[:80], k=100)]) for n in range(5)]
+    seen = []
+    for held in (1 << 20, 1, 2, 16, 64):
+        monkeypatch.setattr(D, "HELD", held)
+        opened = []
+        monkeypatch.setattr(index, "above", lambda terms, blocks: opened.append((tuple(terms), tuple(blocks))) or [], raising=False)
+        assert list(index.query(batch)) == []
+        seen.append(opened)
+    assert seen[0] and all(s == seen[0] for s in seen)
