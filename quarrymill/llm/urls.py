@@ -74,23 +74,23 @@ def prefix_keys(host: Column, segments: Column) -> Column:
 
 
 def variable_values(steps: DataFrame) -> DataFrame:
-    """(depth, prefix) of branches whose literal values vary: many values, few pages each. steps: depth, prefix, segment, pages."""
-    values = steps.groupBy("depth", "prefix", "segment").agg(F.sum("pages").alias("n"))
-    spread = values.groupBy("depth", "prefix").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("pages"))
-    return spread.where((F.col("values") >= MANY_VALUES) & (F.col("pages") < F.col("values") * FEW_PAGES)).select("depth", "prefix")
+    """Branches whose literal values vary (many values, few pages each): prefix, and paths that go through them."""
+    values = steps.groupBy("prefix", "segment").agg(F.sum("pages").alias("n"), F.count(F.lit(1)).alias("paths"))
+    spread = values.groupBy("prefix").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("pages"), F.sum("paths").alias("paths"))
+    varying = (F.col("values") >= MANY_VALUES) & (F.col("pages") < F.col("values") * FEW_PAGES)
+    return spread.where(varying).select("prefix", "paths")
 
 
-def with_wildcards(rows: DataFrame) -> DataFrame:
-    """Segments below a varying branch become *, at any depth: one join, and only a path's own branches come together."""
-    paths = rows.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("pages")).withColumn("keys", prefix_keys(F.col("host"), F.col("segments")))
-    steps = paths.select("host", "segments", "pages", "keys", F.posexplode("segments").alias("depth", "segment"))
+def with_wildcards(paths: DataFrame) -> DataFrame:
+    """Adds template: a path's segments, those below a varying branch as *, at any depth. paths: host, segments, pages."""
+    keys = prefix_keys(F.col("host"), F.col("segments"))
+    steps = paths.select("host", "segments", "pages", keys.alias("keys"), F.posexplode("segments").alias("depth", "segment"))
     steps = steps.withColumn("prefix", F.get("keys", F.col("depth"))).drop("keys")
     varying = common.materialise(variable_values(steps))
-    stars = steps.join(varying, ["depth", "prefix"]).groupBy("host", "segments").agg(F.collect_set("depth").alias("stars"))
-    stars = stars.select(F.col("host").alias("_h"), F.col("segments").alias("_s"), "stars")
-    rows = rows.join(stars, (F.col("host") == F.col("_h")) & (F.col("segments") == F.col("_s")), "left")
+    stars = common.join_groups(steps, varying, "prefix", "paths").groupBy("host", "segments").agg(F.collect_set("depth").alias("stars"))
+    out = paths.join(stars, ["host", "segments"], "left")
     starred = F.transform("segments", lambda s, i: F.when(F.array_contains("stars", i), F.lit("*")).otherwise(s))
-    return rows.withColumn("segments", F.when(F.col("stars").isNull(), F.col("segments")).otherwise(starred)).drop("_h", "_s", "stars")
+    return out.withColumn("template", F.when(F.col("stars").isNull(), F.col("segments")).otherwise(starred)).drop("stars")
 
 
 def host_level(host: Column) -> Column:
@@ -108,25 +108,24 @@ def nodes_of(host: Column, segments: Column) -> Column:
     return F.concat(F.array(F.lit(0).cast("long")), suffixes, prefix_keys(host, segments))
 
 
-def purities(rows: DataFrame) -> DataFrame:
-    """Smoothed purity of every template that has labelled nodes: host, segments, purity, own. bad: null where unlabelled.
+def purities(paths: DataFrame) -> DataFrame:
+    """Smoothed purity of every template that has labelled nodes: host, template, purity, own. paths: n labelled, bad of them.
 
     own: whether the host or a branch of the template is labelled, and not only what lies above the host.
-
     A node's purity is smoothed towards its parent's, the root's towards a half. Labelled pages label all their nodes, so the
     labelled nodes of a template are the first ones of its path: its purity follows from their counts in order.
     """
-    templates = rows.groupBy("host", "segments").agg(F.count("bad").alias("n"), F.sum("bad").alias("bad"))
-    templates = common.materialise(templates.withColumn("nodes", nodes_of(F.col("host"), F.col("segments"))))
-    placed = templates.select("host", "segments", "n", "bad", F.posexplode("nodes").alias("level", "node"))
+    templates = paths.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    templates = common.materialise(templates.withColumn("nodes", nodes_of(F.col("host"), F.col("template"))))
+    placed = templates.select("host", "template", "n", "bad", F.posexplode("nodes").alias("level", "node"))
     counted = placed.where("n > 0").groupBy("node", "level").agg(F.sum("n").alias("_n"), F.sum("bad").alias("_bad"))
     # A node has as many rows as templates below it: the root has all, so the few such nodes are broadcast.
     counted = counted.join(placed.groupBy("node", "level").agg(F.count(F.lit(1)).alias("templates")), ["node", "level"])
     met = common.join_groups(placed.drop("level"), common.materialise(counted), "node", "templates")
-    met = met.groupBy("host", "segments").agg(F.array_sort(F.collect_list(F.struct("level", "_n", "_bad"))).alias("met"))
+    met = met.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("level", "_n", "_bad"))).alias("met"))
     fold = lambda above, x: (x["_bad"] + above * SMOOTHING) / (x["_n"] + SMOOTHING)
     own = F.element_at("met", -1)["level"] >= host_level(F.col("host"))
-    return met.select("host", "segments", F.aggregate("met", F.lit(0.5), fold).alias("purity"), own.alias("own"))
+    return met.select("host", "template", F.aggregate("met", F.lit(0.5), fold).alias("purity"), own.alias("own"))
 
 
 def judged(
@@ -151,36 +150,32 @@ def judged(
     else:
         known = labels.where("bad in (0, 1)").groupBy("id").agg(F.max("bad").alias("bad"))
         rows = rows.join(known, "id", "left")
-    rows = common.materialise(rows)
-
-    rows = with_wildcards(rows)
-    rows = common.materialise(merged(rows))
-
-    # The deepest labelled node of a page judges it.
-    deepest = purities(rows)
-    shape = F.concat(F.lit("/"), F.array_join("segments", "/")).alias("template")
+    rows = common.materialise(rows.withColumn("_key", F.concat(F.array("host"), F.col("segments"))))
+    # All that follows goes by path, not by page: one row for a path however many pages it has.
+    paths = rows.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.sum("bad").alias("bad"))
+    paths = merged(common.materialise(with_wildcards(common.materialise(paths))))
+    paths = common.materialise(paths)
+    # The deepest labelled node of a template judges it.
+    found = paths.join(purities(paths), ["host", "template"], "left")
+    shape = F.concat(F.lit("/"), F.array_join("template", "/")).alias("template")
     purity = F.coalesce("purity", F.lit(LIMIT / 2)).alias("purity")
-    method = F.when(F.col("own") & (F.col("purity") >= LIMIT), "block").otherwise("allow")
-    # One row per template with its number of pages; templates of many pages are joined by broadcast.
-    key = F.concat(F.array("host"), F.col("segments"))
-    sizes = rows.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_pages"))
-    deepest = deepest.select(key.alias("_key"), "purity", "own")
-    sizes = common.materialise(sizes.join(deepest, "_key", "left"))
-    out = common.join_groups(rows.withColumn("_key", key), sizes, "_key", "_pages")
-    return out.select("id", "host", "path", "rule", shape, purity, F.coalesce("ruled", method).alias("verdict"))
+    method = F.when(F.col("own") & (F.col("purity") >= LIMIT), "block").otherwise("allow").alias("method")
+    found = found.select(F.concat(F.array("host"), F.col("segments")).alias("_key"), shape, purity, method, "pages")
+    out = common.join_groups(rows, common.materialise(found), "_key", "pages")
+    return out.select("id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", "method").alias("verdict"))
 
 
-def merged(rows: DataFrame) -> DataFrame:
+def merged(paths: DataFrame) -> DataFrame:
     """Literal branches below a host with the same remaining shape and labelled shares in one band become one wildcard.
 
     Only branches of which each has labels are merged, and only where two or more agree.
     """
-    rest = F.array_join(F.slice("segments", 2, F.greatest(F.size("segments") - 1, F.lit(0))), "/")
-    keyed = rows.withColumns({"_first": F.try_element_at("segments", F.lit(1)), "_rest": F.when(F.size("segments") > 0, rest)})
+    rest = F.slice("template", 2, F.greatest(F.size("template") - 1, F.lit(0)))
+    keyed = paths.withColumn("_first", F.try_element_at("template", F.lit(1)))
     shapes = (
-        keyed.where("bad is not null and _first is not null and not _first like '{%' and _first <> '*'")
-        .groupBy("host", "_first", F.xxhash64("_rest").alias("shape"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+        keyed.where("n > 0 and _first is not null and not _first like '{%' and _first <> '*'")
+        .groupBy("host", "_first", F.xxhash64(F.array_join(rest, "/")).alias("shape"))
+        .agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     )
     # A branch's set of shapes as a count and a sum of hashes: bounded whatever the branch holds.
     branches = shapes.groupBy("host", "_first").agg(
@@ -190,13 +185,11 @@ def merged(rows: DataFrame) -> DataFrame:
     )
     same = ["host", "shapes", "signature", "band"]
     groups = branches.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("_first").alias("low"), F.max("_first").alias("high"))
-    names = branches.join(groups.where("n > 1"), same).select(
-        F.col("host").alias("_h"), F.col("_first").alias("_f"), F.concat(F.lit("{"), "low", F.lit(".."), "high", F.lit("}")).alias("_name")
-    )
-    out = keyed.join(names, (F.col("host") == F.col("_h")) & (F.col("_first") == F.col("_f")), "left")
-    renamed = F.concat(F.array(F.col("_name")), F.slice("segments", 2, F.greatest(F.size("segments") - 1, F.lit(0))))
-    out = out.withColumn("segments", F.when(F.col("_name").isNull(), F.col("segments")).otherwise(renamed))
-    return out.drop("_first", "_rest", "_h", "_f", "_name")
+    name = F.concat(F.lit("{"), "low", F.lit(".."), "high", F.lit("}")).alias("_name")
+    names = branches.join(groups.where("n > 1"), same).select("host", "_first", name)
+    out = keyed.join(names, ["host", "_first"], "left")
+    renamed = F.concat(F.array("_name"), rest)
+    return out.withColumn("template", F.when(F.col("_name").isNull(), F.col("template")).otherwise(renamed)).drop("_first", "_name")
 
 
 #: A page whose visible text has this share of words with doubled symbols is bad; with at most the other share, and so many
