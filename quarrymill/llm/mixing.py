@@ -187,11 +187,14 @@ def mix(
     )
     sized = common.materialise(sized)
     sized = sized.withColumn("hash", document_hash(F.col("id"), F.col("size")))
-    budgets = common.materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
+    sources = common.materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")))
+    counts = sources.select(F.col("source").alias("_source"), "docs")
+    budgets = targets(sources.drop("docs"), weights, most)
+    budgets = common.materialise(budgets.join(counts, budgets.source.eqNullSafe(counts._source)).drop("_source"))
     ranks = budgets.select(F.col("source").alias("_source"), "rank")
     ranked = sized.join(ranks, sized.source.eqNullSafe(ranks._source)).select("id", "size", "hash", "rank")
-    plan = budgets.join(thresholds(ranked, budgets), "rank").drop("source")
-    placed = ranked.join(plan, "rank")
+    plan = common.materialise(budgets.join(thresholds(ranked, budgets), "rank").drop("source"))
+    placed = common.join_groups(ranked, plan, "rank", "docs")
     at_boundary = F.coalesce(F.col("hash") == F.col("boundary"), F.lit(False))
     names = ["id", "size", "source_size", "target", "copies", "extra"]
     plain = placed.where(~at_boundary).withColumn("extra", (F.col("hash") <= F.col("threshold")).cast("long"))
