@@ -15,14 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The file is removed when the application ends.
+    The file is removed when the application ends. batch: rows that Python gets at a time while this table is written, where
+    rows are long; the session's own setting holds again afterwards.
     """
-    path = files.scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = files.scratch(spark)
+    before = spark.conf.get(BATCH)
+    try:
+        if batch:
+            spark.conf.set(BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: A key with more than this share of all rows is hot; so there are at most 1 / HOT of them.
@@ -103,13 +114,27 @@ def blocked_buckets(rows: DataFrame, keys: list[str], member: str, block: int) -
 
 #: Bytes of compared codes, or of vectors, that a task holds at a time.
 HELD = 1 << 24
+#: Groups of so many rows at most are compared many at a time.
+SMALL = 64
 
 
 def pairs_within(bounds: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers (i, j), i < j, of the pairs within groups, so many at a time that rows of width bytes fit HELD."""
+    """Row numbers (i, j), i < j, of the pairs within groups, so many at a time that rows of width bytes fit HELD.
+
+    Small groups of one size are taken together, larger ones row by row. Each yield is sorted by i.
+    """
     most = max(1, HELD // max(1, width))
+    sizes = np.diff(bounds)
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        starts = bounds[:-1][sizes == n]
+        step = max(1, most // len(i))
+        for at in range(0, len(starts), step):
+            first = starts[at : at + step, None]
+            yield (first + i).ravel(), (first + j).ravel()
     left, right, held = [], [], 0
-    for s, e in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+    for k in np.flatnonzero(sizes > SMALL).tolist():
+        s, e = int(bounds[k]), int(bounds[k + 1])
         for i in range(s, e - 1):
             left.append(np.full(e - i - 1, i))
             right.append(np.arange(i + 1, e))

@@ -34,6 +34,8 @@ from . import common
 PIVOTS = 24
 #: Fingerprints in a block of a large bucket; a task holds two blocks.
 BLOCK = 4096
+#: Texts that a Python worker holds at a time.
+TEXTS = 1000
 SEED = 42
 #: Bits of a fingerprint that stands for a similarity; share of the pairs just at it that tables find; and the standard
 #: deviations that the estimated distance of a candidate may lie above its mean.
@@ -228,7 +230,8 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share the fingerprint zero and are linked like any other. Equal rows are separate rows of one class. An empty table gives
     no rows; other columns are ignored.
     """
-    rows = common.materialise(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fp")))
+    rows = docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width).alias("fp"))
+    rows = common.materialise(rows, TEXTS)
     fps = common.materialise(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
     linked = common.connected_components(near_fingerprints(fps, exact_masks(limit, fps.count()), limit))
     roots = fps.join(linked, fps.fp == linked.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
@@ -319,7 +322,7 @@ def keep_one_of_each(
     has an id, the one with the least text hash stays. An empty table gives no rows; all columns are kept.
     """
     sketched = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), sketch(F.col(text_col), width).alias("s"))
-    rows = common.materialise(sketched.select("id", "h", "s.*"))
+    rows = common.materialise(sketched.select("id", "h", "s.*"), TEXTS)
     names = [f"w{k}" for k in range(WIDE // 64)]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")
     nodes = common.materialise(rows.groupBy("node").agg(first, *[F.min(n).alias(n) for n in names]))
