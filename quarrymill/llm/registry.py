@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, licences, mixing, packing, pii, rules, simhash, tokens, transcripts, urls
+from . import decontaminate, embeddings, licences, mixing, packing, pii, repair, rules, simhash, tokens, transcripts, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         decontaminate.op9_decontamination,
         rules.op10_quality,
         packing.op11_packing,
+        repair.op12_repair,
     )
     return {f.__name__: f for f in found}
 
