@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, licences, mixing, packing, pii, repair, rules, simhash, tokens, transcripts, urls
+from . import decontaminate, embeddings, licences, mixing, packing, phrases, pii, repair, rules, simhash, tokens, transcripts, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         rules.op10_quality,
         packing.op11_packing,
         repair.op12_repair,
+        phrases.op13_phrases,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.OP8_SQL}
+    return {"op8_mixing": mixing.OP8_SQL, "op13_phrases": phrases.OP13_SQL}
