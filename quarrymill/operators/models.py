@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.operators import boosting, forest
 from quarrymill.operators.reports import quantiles
 from quarrymill.operators.sampling import fixed_size, split
+from quarrymill.sources import files
 
 #: Columns that the models use. Fixed values.
 CATEGORICAL = ("product_group", "category", "brand", "brand_solution", "sales_channel")
 NUMERIC = ("weight_kg", "rating", "stock_qty", "units_sold_12m")
 ANOMALY = ("price_zar", "cost_zar", "margin_pct", "weight_kg")
-#: Stands for a missing number in the price model; the numbers themselves aren't negative.
-MISSING = -1.0
 SEGMENT = ("price_zar", "margin_pct", "units_sold_12m", "rating")
 ANOMALY_COLUMNS = ("product_id", "product_name", "category", "brand", *ANOMALY, "anomaly_raw")
 
@@ -45,26 +41,28 @@ def encoded(df: DataFrame, model: PipelineModel, columns: Sequence[str]) -> Data
     return out
 
 
-def price_model(df: DataFrame, rounds: int = 200, cap: int | None = None, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
-    """Boosted trees for the price; (model, predictions on the test fifth). cap bounds the rows used, None: all.
+def price_model(df: DataFrame, cap: int | None = None, settings: boosting.Settings = boosting.Settings()) -> tuple[DataFrame, DataFrame]:
+    """Boosted trees for the price; (the model's nodes, predictions on the test fifth). cap bounds the rows used, None: all.
 
-    A missing number stands below all others, so that a tree can part the missing ones from the rest by itself. Trees are
-    learned on rows that stay in memory and on disk, and the boosting's lineage is cut by Spark's own checkpoints.
+    Categories are numbered by their alphabet in the training rows; one that these don't have is -1, a null is missing like
+    a missing number, and the trees learn which side missing values go to.
     """
-    rows = df.dropna(subset=["price_zar", "weight_kg", "rating"])
-    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) for c in NUMERIC]
-    rows = rows.select("product_id", "price_zar", *CATEGORICAL, *numbers)
+    rows = df.dropna(subset=["price_zar", "weight_kg", "rating"]).select("product_id", "price_zar", *CATEGORICAL, *NUMERIC)
     if cap:
-        rows = fixed_size(rows, "product_id", cap, seed)
-    train, test = split(rows, "product_id", 0.2, seed)
-    codes = [f"{c}_code" for c in CATEGORICAL]
-    stages = [
-        StringIndexer(inputCols=list(CATEGORICAL), outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep"),
-        VectorAssembler(inputCols=[*codes, *NUMERIC], outputCol="features"),
-        GBTRegressor(labelCol="price_zar", maxIter=rounds, maxDepth=5, maxBins=256, seed=seed),
-    ]
-    model = Pipeline(stages=stages).fit(train)
-    return model, model.transform(test)
+        rows = fixed_size(rows, "product_id", cap, settings.seed)
+    path = files.scratch(df.sparkSession, "price_rows")
+    files.write_parquet(rows, path)
+    rows = files.scan_parquet(df.sparkSession, path)
+    train, test = split(rows, "product_id", 0.2, settings.seed)
+    codes = ordinal(train, CATEGORICAL)
+    names = [f"{c}_code" for c in CATEGORICAL]
+
+    def numbered(side: DataFrame) -> DataFrame:
+        return encoded(side, codes, CATEGORICAL).withColumns({n: F.when(F.col(c).isNotNull(), F.col(n)) for n, c in zip(names, CATEGORICAL, strict=True)})
+
+    features = [*names, *NUMERIC]
+    nodes = boosting.fit(numbered(train), features, "price_zar", "product_id", settings)
+    return nodes, boosting.predicted(numbered(test), nodes, features)
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -81,80 +79,12 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
 # Isolation forest -----------------------------------------------------------------------------------------------------
 
 
-def average_path(n: float) -> float:
-    """Mean path length of an unsuccessful search in a tree over n points."""
-    if n <= 1:
-        return 0.0
-    return 1.0 if n <= 2 else 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
-
-
-def grow(points: np.ndarray, generator: np.random.Generator, most: int) -> list[tuple[int, float, int, float]]:
-    """A tree as rows (feature or -1, cut, right child, leaf depth); the left child is the next row."""
-    rows: list[tuple[int, float, int, float]] = []
-
-    def node(members: np.ndarray, depth: int) -> int:
-        at = len(rows)
-        rows.append((-1, 0.0, 0, depth + average_path(len(members))))
-        spread = np.flatnonzero(np.ptp(members, axis=0) > 0) if depth < most and len(members) > 1 else []
-        if len(spread):
-            k = int(generator.choice(spread))
-            cut = float(generator.uniform(members[:, k].min(), members[:, k].max()))
-            below = members[:, k] < cut
-            if below.any() and not below.all():
-                node(members[below], depth + 1)
-                rows[at] = (k, cut, node(members[~below], depth + 1), 0.0)
-        return at
-
-    node(points, 0)
-    return rows
-
-
-def depths(tree: np.ndarray, points: np.ndarray) -> np.ndarray:
-    at = np.zeros(len(points), dtype=np.int64)
-    while True:
-        feature = tree[at, 0].astype(np.int64)
-        inner = np.flatnonzero(feature >= 0)
-        if not len(inner):
-            return tree[at, 3]
-        k = at[inner]
-        left = points[inner, feature[inner]] < tree[k, 1]
-        at[inner] = np.where(left, k + 1, tree[k, 2].astype(np.int64))
-
-
 def isolation_forest(df: DataFrame, features: Sequence[str], trees: int = 100, subsample: int = 256, seed: int = 42) -> DataFrame:
-    """Adds score = -2^(-mean path / expected path), lower for outliers; rows with nulls in the features are dropped.
-
-    Trees are grown by executors, each on its own draw from a hash-picked sample of trees * subsample rows at most; the
-    forest (some 50,000 short rows) is broadcast and scores whole Arrow batches.
-    """
-    spark = df.sparkSession
-    rows = df.dropna(subset=list(features))
-    picked = fixed_size(rows.select("product_id", *features), "product_id", trees * subsample, seed).select(*features)
-    sample = spark.sparkContext.broadcast(picked.toPandas().to_numpy(dtype=np.float64))
-    size = min(subsample, len(sample.value))
-    if not size:
-        return rows.withColumn("score", F.lit(None).cast("double"))
-    most = max(1, math.ceil(math.log2(max(2, size))))
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for t in pdf["id"]:
-                generator = np.random.default_rng([seed, int(t)])
-                points = sample.value[generator.choice(len(sample.value), size, replace=False)]
-                tree = np.array(grow(points, generator, most), dtype=np.float64)
-                yield pd.DataFrame({"t": int(t), "tree": [tree.tobytes()]})
-
-    grown = spark.range(trees).mapInPandas(build, "t long, tree binary").orderBy("t").collect()
-    forest = spark.sparkContext.broadcast([np.frombuffer(r.tree, dtype=np.float64).reshape(-1, 4) for r in grown])
-    expected = average_path(size) or 1.0
-
-    @F.pandas_udf("double")
-    def score(points: pd.DataFrame) -> pd.Series:
-        values = points.to_numpy(dtype=np.float64)
-        mean = sum(depths(tree, values) for tree in forest.value) / len(forest.value)
-        return pd.Series(-(2.0 ** (-mean / expected)))
-
-    return rows.withColumn("score", score(F.struct(*[F.col(f).cast("double").alias(f) for f in features])))
+    """Adds score, lower for outliers, by a forest grown on the table itself; the forest's nodes are written once."""
+    nodes = forest.forest(df, features, "product_id", trees, subsample, seed)
+    path = files.scratch(df.sparkSession, "forest")
+    files.write_parquet(nodes, path)
+    return forest.scored(df, files.scan_parquet(df.sparkSession, path), features)
 
 
 def flag_lowest(scored: DataFrame, score: str, share: float = 0.005) -> DataFrame:
@@ -164,8 +94,10 @@ def flag_lowest(scored: DataFrame, score: str, share: float = 0.005) -> DataFram
     return out.withColumn("anomaly_raw", F.col(score) - F.col("_cut")).withColumn("is_anomaly", F.col("anomaly_raw") < 0).drop("_cut")
 
 
-def anomalies(df: DataFrame, most: int = 2000, **options) -> DataFrame:
-    """The lowest-scored rows among the flagged ones."""
+def anomalies(df: DataFrame, most: int = 2000, cap: int | None = None, **options) -> DataFrame:
+    """The lowest-scored rows among the flagged ones. cap bounds the rows scored, by the keys' hash; None: all."""
+    if cap:
+        df = fixed_size(df.dropna(subset=list(ANOMALY)), "product_id", cap)
     flagged = flag_lowest(isolation_forest(df, ANOMALY, **options), "score").where("is_anomaly")
     return flagged.orderBy("anomaly_raw", "product_id").limit(most).select(*ANOMALY_COLUMNS)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarrymill.functions import cleaning as C
 from quarrymill.functions import corrupting as G
 from quarrymill.functions import display
-from quarrymill.operators import lookup, models, quality, reports, sampling
+from quarrymill.operators import forest, lookup, models, quality, reports, sampling
 from quarrymill.plans import cleaning as flow
 from quarrymill.sources import files
 from quarrymill.sources import fixtures as fx
@@ -520,9 +520,13 @@ def _encode(cat):
     return models.encoded(rows, models.ordinal(rows, ENCODED), ENCODED).select("product_id", *[f"{k}_code" for k in ENCODED])
 
 
+#: Rows that the price model, the anomalies and the segments use at most, by the keys' hash. Fixed values.
+PRICE_ROWS, SCORED_ROWS, SEGMENT_ROWS = 600_000, 1_000_000, 500_000
+
+
 @query("ml_price_model")
 def _price(cat):
-    _, predicted = models.price_model(_written(cat, cat.clean, "model_rows"))
+    _, predicted = models.price_model(_written(cat, cat.clean, "model_rows"), PRICE_ROWS)
     return models.regression_metrics(predicted, "price_zar", "prediction")
 
 
@@ -535,10 +539,20 @@ def _regression(cat):
     return models.regression_metrics(rows, "y", "p")
 
 
-@query("ml_anomaly_score")
+FOREST_SQL = fx.CLEAN_SQL + ",\n" + forest.forest_sql("clean", models.ANOMALY, draw, uniform)
+FLAGGED_SCORES = "SELECT product_id, score, score - q AS anomaly_raw, score - q < 0 AS is_anomaly FROM scored, (SELECT quantile_cont(score, 0.005) AS q FROM scored)"
+ANOMALIES_SQL = "SELECT " + ", ".join(f"clean.{k}" if k != "anomaly_raw" else "f.anomaly_raw" for k in models.ANOMALY_COLUMNS) + f" FROM ({FLAGGED_SCORES}) f JOIN clean USING (product_id) WHERE f.is_anomaly ORDER BY f.anomaly_raw, product_id LIMIT 2000"
+
+
+@query("ml_anomaly_score", on(FOREST_SQL, FLAGGED_SCORES))
 def _score(cat):
-    scored = models.isolation_forest(_written(cat, cat.clean, "forest_rows"), models.ANOMALY)
-    return models.flag_lowest(scored, "score").select("product_id", "score", "anomaly_raw", "is_anomaly")
+    rows = _written(cat, cat.clean, "forest_rows")
+    return models.flag_lowest(models.isolation_forest(rows, models.ANOMALY), "score").select("product_id", "score", "anomaly_raw", "is_anomaly")
+
+
+@query("forest_nodes", on(FOREST_SQL, "SELECT tree, node, feature, cut, path FROM forest"))
+def _forest(cat):
+    return forest.forest(_written(cat, cat.clean, "forest_rows"), models.ANOMALY).drop("size")
 
 
 query(
@@ -547,14 +561,18 @@ query(
 )(lambda cat: models.flag_lowest(cat.clean.where("margin_pct is not null").select("product_id", "margin_pct"), "margin_pct").select("product_id", "anomaly_raw", "is_anomaly"))
 
 
-@query("write_anomalies")
+@query("write_anomalies", on(FOREST_SQL, ANOMALIES_SQL))
 def _write_anomalies(cat):
-    found = models.anomalies(_written(cat, cat.clean, "forest_rows"))
+    found = _written(cat, models.anomalies(_written(cat, cat.clean, "forest_rows"), cap=SCORED_ROWS), "anomalies")
     files.write_delimited(found, cat.scratch("anomalies_text"), single=True)
-    return _written(cat, found, "anomalies")
+    return found
 
 
-query("anomaly_review")(lambda cat: reports.anomaly_review(models.anomalies(_written(cat, cat.clean, "forest_rows"))))
+REVIEW = "product_name, category, brand, product_id"
+query(
+    "anomaly_review",
+    on(FOREST_SQL, f"SELECT {REVIEW}, {money('price_zar')} AS price, {money('cost_zar')} AS cost, sum(margin_pct) / 100 AS margin, sum(anomaly_raw) AS score FROM ({ANOMALIES_SQL}) GROUP BY ALL ORDER BY score, {REVIEW} LIMIT 50"),
+)(lambda cat: reports.anomaly_review(models.anomalies(_written(cat, cat.clean, "forest_rows"), cap=SCORED_ROWS)))
 query(
     "standardize",
     on_clean("SELECT product_id, round((price_zar - avg(price_zar) OVER ()) / stddev_pop(price_zar) OVER (), 6) AS price_zar_z, round((margin_pct - avg(margin_pct) OVER ()) / stddev_pop(margin_pct) OVER (), 6) AS margin_pct_z FROM clean"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from quarrymill.operators import lookup, models, quality, reports, sampling
+from quarrymill.operators import boosting, lookup, models, quality, reports, sampling
 from quarrymill.sources import files
 
 
@@ -131,7 +131,7 @@ def test_price_model_learns_and_takes_missing_numbers(spark):
         "stock_qty": F.when(~missing, F.col("units_sold_12m")),
         "price_zar": F.when(F.col("rating") > 2.5, 90.0).otherwise(30.0) + F.when(missing, 20.0).otherwise(0.0),
     })
-    _, predicted = models.price_model(df, rounds=8)
+    _, predicted = models.price_model(df, settings=boosting.Settings(rounds=30, rate=0.3))
     row = models.regression_metrics(predicted, "price_zar", "prediction").first()
     assert row.r2 > 0.95 and row.n == predicted.count() > 200
 
