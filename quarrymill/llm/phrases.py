@@ -1,10 +1,10 @@
 """Phrase collocation mining with weighted acyclic automata.
 
-Three passes over the texts, each of which sums counts within a task before anything is shuffled. The first counts words.
-The second counts pairs of frequent words by buckets of a hash, which leave out pairs that are surely rare. The third counts
-phrases of up to four words all of whose pairs may be frequent: every shard sorts its phrases and builds automata with
-counts, one for each range of prefixes (ranges of a hash of the first two words), and the automata of a range are united,
-their weights summed. Parts of phrases are looked up by composing an automaton of the questions with the range's automaton.
+Four passes over the texts, each of which sums counts within a task before anything is shuffled. The first counts words. The
+second counts pairs of frequent words by buckets of a hash, which leave out pairs that are surely rare, and the third does
+the same for longer phrases of frequent pairs. The last counts the phrases that may be frequent: every shard sorts its phrases
+and builds automata with counts, one for each range of prefixes (ranges of a hash of the first two words), and the automata
+of a range are united, their weights summed. Parts of phrases are looked up by composing an automaton of the questions with the range's automaton.
 
 Nothing that a phrase of the wanted count needs is left out: all its words and pairs are at least as frequent.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from . import automata, common
 
 #: Words of the longest phrases.
 LONGEST = 4
-#: Bytes of text that a task counts together.
-CHARACTERS = 16 << 20
+#: Bytes of text that a task counts together, and texts that it takes out of an Arrow batch at a time.
+CHARACTERS, ROWS = 6 << 20, 500
 #: Bits of a bucket's number; a set of buckets takes 2 ** (BITS - 3) bytes, 16 MB, however large the corpus.
 BITS = 27
 #: Words of the corpus for each range of prefixes, and the least number of ranges.
@@ -59,12 +60,13 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, n
     for batch in batches:
         of: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            of.setdefault(lang, []).append(text)
-            size[lang] = size.get(lang, 0) + len(text)
-            if size[lang] >= CHARACTERS:
-                yield coded(lang, of.pop(lang))
-                del size[lang]
+        for some in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
+            for lang, text in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                of.setdefault(lang, []).append(text)
+                size[lang] = size.get(lang, 0) + len(text)
+                if size[lang] >= CHARACTERS:
+                    yield coded(lang, of.pop(lang))
+                    del size[lang]
         for lang, texts in of.items():
             yield coded(lang, texts)
 
@@ -89,17 +91,40 @@ def frequent_words(lang: str, words: pa.Array, buckets: np.ndarray) -> tuple[np.
     return inside(buckets, numbers), texts
 
 
-def pair_buckets(lang: str, texts: list[str], keep: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place whether it and the next hold frequent words of one piece, and those pairs' buckets."""
+def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    x = (left * np.uint64(0x9E3779B97F4A7C15) + right) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def places(
+    lang: str, texts: list[str], keep: np.ndarray, at: np.ndarray, pairs: np.ndarray | None = None, longer: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For phrases of 2, 3, ... words: where they start, and their buckets.
+
+    Only phrases inside one piece, of frequent words, that the sets (of pairs, of longer phrases) hold; and only those whose
+    two parts without the last and without the first word are such phrases.
+    """
     hashes = np.zeros(len(texts) + 1, dtype=np.uint64)
     seed = zlib.crc32(lang.encode())
     rows = np.flatnonzero(keep)
     hashes[rows] = np.fromiter((xxhash.xxh64_intdigest(texts[i].encode(), seed) for i in rows.tolist()), dtype=np.uint64, count=len(rows))
-    good = np.append(keep, False)[at]  # -1 takes the last
-    both = good[:-1] & good[1:]
-    left, right = hashes[at[:-1][both]], hashes[at[1:][both]]
-    mixed = (left * np.uint64(0x9E3779B97F4A7C15) + right) * np.uint64(0xD6E8FEB86659FD93)
-    return both, (mixed >> np.uint64(64 - BITS)).astype(np.int64)
+    full = hashes[at]  # -1 takes the last
+    good = np.append(keep, False)[at]
+    starts = np.flatnonzero(good)
+    for size in range(2, LONGEST + 1):
+        starts = starts[starts + size <= len(at)]
+        starts = starts[good[starts + 1]]
+        code = mixed(full[starts], hashes[at[starts + size - 1]])
+        buckets = (code >> np.uint64(64 - BITS)).astype(np.int64)
+        known = pairs if size == 2 else longer
+        if known is not None:
+            there = inside(known, buckets)
+            starts, code, buckets = starts[there], code[there], buckets[there]
+        yield starts, buckets
+        good = np.zeros(len(at), dtype=bool)
+        good[starts] = True
+        full = np.zeros(len(at), dtype=np.uint64)
+        full[starts] = code
 
 
 def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,11 +137,11 @@ def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(every), pa.string()), texts, pa.array(every)], names=["lang", "word", "count"])
 
 
-def phrases_of(lang: str, texts: list[str], at: np.ndarray, both: np.ndarray, ranges: int) -> Iterator[tuple[int, automata.Transducer]]:
-    """(range, automaton) of a shard's phrases of two words and more; both: places where a phrase may go on."""
+def phrases_of(lang: str, texts: list[str], at: np.ndarray, found_at: list[np.ndarray], ranges: int) -> Iterator[tuple[int, automata.Transducer]]:
+    """(range, automaton) of a shard's phrases, which start at found_at (of two words, of three, ...)."""
     part = np.zeros(len(at), dtype=bool)
-    part[:-1] |= both
-    part[1:] |= both
+    part[found_at[0]] = True
+    part[found_at[0] + 1] = True
     used, words = np.unique(at[part], return_inverse=True)
     names = [texts[i] for i in used.tolist()]
     order = sorted(range(len(names)), key=names.__getitem__)
@@ -125,32 +150,29 @@ def phrases_of(lang: str, texts: list[str], at: np.ndarray, both: np.ndarray, ra
     names = [names[i] for i in order]
     place = np.full(len(at), -1, dtype=np.int64)
     place[part] = rank[words]
-    found, counts = [], []
-    starts = np.flatnonzero(both)
-    code = place[starts]
-    for size in range(2, LONGEST + 1):
+    found, counts, number_at = [], [], place
+    for size, starts in enumerate(found_at, 2):
         # A phrase of size words is one of size - 1 words, by its number, and a word.
-        kinds, code, number = np.unique(code << 32 | place[starts + size - 1], return_inverse=True, return_counts=True)
+        kinds, code, number = np.unique(number_at[starts] << 32 | place[starts + size - 1], return_inverse=True, return_counts=True)
         before = kinds >> 32
         table = np.full((len(kinds), LONGEST), -1, dtype=np.int64)
         table[:, : size - 1] = before[:, None] if size == 2 else found[-1][before, : size - 1]
         table[:, size - 1] = kinds & 0xFFFFFFFF
         found.append(table)
         counts.append(number)
-        more = starts + size - 1 < len(both)
-        more[more] = both[starts[more] + size - 1]
-        starts, code = starts[more], code[more]
+        number_at = np.full(len(at), -1, dtype=np.int64)
+        number_at[starts] = code
     table, number = np.concatenate(found), np.concatenate(counts)
     if not len(table):
         return
     pairs, of = np.unique(table[:, 0] << 32 | table[:, 1], return_inverse=True)
     prefix = np.array([bucket_of(lang, (names[p >> 32], names[p & 0xFFFFFFFF])) % ranges for p in pairs.tolist()])[of]
     order = np.lexsort((*table.T[::-1], prefix))
-    table, number, prefix = table[order], number[order].tolist(), prefix[order]
+    table, number, prefix = table[order], number[order], prefix[order]
     bounds = [*np.flatnonzero(np.diff(prefix, prepend=-1)).tolist(), len(prefix)]
-    rows = table.tolist()
     for s, e in zip(bounds, bounds[1:], strict=False):
-        yield int(prefix[s]), automata.build((tuple([names[i] for i in rows[k] if i >= 0]), number[k]) for k in range(s, e))
+        sorted_ = zip(table[s:e].tolist(), number[s:e].tolist(), strict=True)
+        yield int(prefix[s]), automata.build((tuple([names[i] for i in row if i >= 0]), count) for row, count in sorted_)
 
 
 def as_rows(found: list[tuple[int, str, automata.Transducer]]) -> pa.RecordBatch:
@@ -185,27 +207,26 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
     return common.materialise(counted.where((F.col("count") >= least) | F.col("word").isNull()))
 
 
-def pair_set(docs: DataFrame, words: Broadcast, least: int) -> Broadcast:
-    """Buckets of pairs with at least least occurrences."""
+def phrase_set(docs: DataFrame, words: Broadcast, pairs: Broadcast | None, least: int) -> Broadcast:
+    """Buckets of phrases with at least least occurrences: of pairs, or of longer phrases if the pairs are given."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, known, at in shards(batches):
             keep, texts = frequent_words(lang, known, words.value)
-            _, buckets = pair_buckets(lang, texts, keep, at)
-            numbers, counts = np.unique(buckets, return_counts=True)
+            found = [buckets for _, buckets in islice(places(lang, texts, keep, at, pairs and pairs.value), 1 if pairs is None else None)]
+            numbers, counts = np.unique(np.concatenate(found if pairs is None else found[1:]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(counts, pa.int32())], names=["bucket", "count"])
 
     counted = docs.mapInArrow(count, "bucket int, count int").groupBy("bucket").agg(F.sum("count").alias("count"))
     return bucket_set(docs.sparkSession, counted.where(F.col("count") >= least).select((F.col("bucket").cast("long") + 1).alias("bucket")))
 
 
-def shard_automata(docs: DataFrame, words: Broadcast, pairs: Broadcast, ranges: int) -> DataFrame:
+def shard_automata(docs: DataFrame, words: Broadcast, pairs: Broadcast, longer: Broadcast, ranges: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, known, at in shards(batches):
             keep, texts = frequent_words(lang, known, words.value)
-            both, buckets = pair_buckets(lang, texts, keep, at)
-            both[both] = inside(pairs.value, buckets)
-            yield as_rows([(r, lang, machine) for r, machine in phrases_of(lang, texts, at, both, ranges)])
+            found = [starts for starts, _ in places(lang, texts, keep, at, pairs.value, longer.value)]
+            yield as_rows([(r, lang, machine) for r, machine in phrases_of(lang, texts, at, found, ranges)])
 
     return docs.mapInArrow(count, f"range int, lang string, {AUTOMATON}")
 
@@ -340,8 +361,9 @@ def mine(
     ranges = max(LEAST_RANGES, (totals.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS)
     number = F.shiftright(crc(F.col("lang"), F.col("word")), 32 - BITS) + 1
     frequent = bucket_set(spark, words.where("word IS NOT NULL").select(number.alias("bucket")))
-    pairs = pair_set(docs, frequent, least)
-    parts = shard_automata(docs, frequent, pairs, ranges).unionByName(word_automata(words, ranges))
+    pairs = phrase_set(docs, frequent, None, least)
+    longer = phrase_set(docs, frequent, pairs, least)
+    parts = shard_automata(docs, frequent, pairs, longer, ranges).unionByName(word_automata(words, ranges))
     whole = united(parts, ranges, least)
     found = common.materialise(candidates_of(whole))
     # Contiguous parts of two words and more of each longer candidate, with its occurrences.
