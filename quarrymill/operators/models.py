@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,11 +115,110 @@ def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
 
 
-def segments(df: DataFrame, k: int = 4, restarts: int = 5, columns: Sequence[str] = SEGMENT, seed: int = 42) -> DataFrame:
-    """Adds segment: k-means on standardised columns, the best of several starts by cost."""
-    rows = standardised(df.dropna(subset=list(columns)), columns)
-    points = VectorAssembler(inputCols=[f"{c}_z" for c in columns], outputCol="_features").transform(rows).persist()
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol="segment").fit(points) for i in range(restarts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    out = best.transform(points).drop("_features", *[f"{c}_z" for c in columns])
+#: Points that starting centres are drawn from, at most; whole numbers in a unit of a standardised value; most passes.
+STARTS, UNIT, PASSES = 4096, 1_000_000, 50
+
+
+def starting_centres(points: np.ndarray, k: int, restarts: int, seed: int) -> np.ndarray:
+    """(restarts, k, columns): k-means++ draws, each start with its own numbers."""
+    out = np.empty((restarts, k, points.shape[1]))
+    for r in range(restarts):
+        generator = np.random.default_rng([seed, r])
+        out[r, 0] = points[generator.integers(len(points))]
+        away = ((points - out[r, 0]) ** 2).sum(1)
+        for j in range(1, k):
+            total = away.sum()
+            at = generator.choice(len(points), p=away / total) if total > 0 else generator.integers(len(points))
+            out[r, j] = points[at]
+            away = np.minimum(away, ((points - out[r, j]) ** 2).sum(1))
     return out
+
+
+def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first nearest centre of each point, and its squared distance: columns are added in their order."""
+    away = np.zeros((len(points), len(centres)))
+    for c in range(points.shape[1]):
+        away += (points[:, c, None] - centres[None, :, c]) ** 2
+    at = away.argmin(1)
+    return at, away[np.arange(len(points)), at]
+
+
+def lloyd_pass(points: DataFrame, centres: np.ndarray, open_: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass over the points for all open starts: sums and counts by start and centre, and each start's cost.
+
+    Every task sums its own points as whole numbers, so that the result doesn't depend on their order: restarts * k short
+    rows of each task are shuffled.
+    """
+    names, (_, k, width) = points.columns, centres.shape
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts, costs = np.zeros((len(centres), k, width), np.int64), np.zeros((len(centres), k), np.int64), np.zeros(len(centres), np.int64)
+        for batch in batches:
+            x = np.column_stack([batch.column(n).to_numpy() for n in names])
+            whole = np.rint(x * UNIT).astype(np.int64)
+            for r in open_:
+                at, away = nearest(x, centres[r])
+                np.add.at(sums[r], at, whole)
+                counts[r] += np.bincount(at, minlength=k)
+                costs[r] += np.rint(away * UNIT).astype(np.int64).sum()
+        rows = [(r, j, *sums[r, j], counts[r, j], costs[r] if not j else 0) for r in open_ for j in range(k)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=fields)
+
+    fields = ["r", "j", *[f"s{c}" for c in range(width)], "n", "cost"]
+    found = points.mapInArrow(sum_up, ", ".join(f"{f} long" for f in fields)).groupBy("r", "j").agg(*[F.sum(f).alias(f) for f in fields[2:]]).collect()
+    sums, counts, costs = np.zeros(centres.shape), np.zeros(centres.shape[:2], np.int64), np.zeros(len(centres), np.int64)
+    for row in found:
+        sums[row.r, row.j], counts[row.r, row.j] = [row[f"s{c}"] / UNIT for c in range(width)], row.n
+        costs[row.r] += row.cost
+    return sums, counts, costs
+
+
+def kmeans(df: DataFrame, columns: Sequence[str], k: int, restarts: int, key: str, seed: int) -> tuple[np.ndarray, float]:
+    """(centres, cost) of the best of several starts. All starts advance in one pass over the points; those that rest, stop.
+
+    Starts are drawn by k-means++ from a hash-picked sample of STARTS points at most. A centre without points stays.
+    """
+    picked = fixed_size(df.select(key, *columns), key, STARTS, seed).orderBy(key).select(*columns).toPandas().to_numpy(dtype=np.float64)
+    if not len(picked):
+        return np.zeros((k, len(columns))), 0.0
+    centres = starting_centres(picked, k, restarts, seed)
+    points, costs, open_ = df.select(*columns), np.zeros(restarts), list(range(restarts))
+    for _ in range(PASSES):
+        sums, counts, found = lloyd_pass(points, centres, open_)
+        moved = []
+        for r in open_:
+            costs[r] = found[r] / UNIT
+            new = np.where(counts[r][:, None] > 0, sums[r] / np.maximum(counts[r], 1)[:, None], centres[r])
+            if np.abs(new - centres[r]).max() > 1e-4:
+                moved.append(r)
+                centres[r] = new
+        open_ = moved
+        if not open_:
+            break
+    best = int(costs.argmin())
+    return centres[best], float(costs[best])
+
+
+def assigned(df: DataFrame, columns: Sequence[str], centres: Sequence[Sequence[float]], name: str = "segment") -> DataFrame:
+    """Adds the first nearest of given centres, as a column expression. Null where a column is null."""
+    away = [F.struct(sum((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(columns, centre, strict=True)).alias("away"), F.lit(j).alias("j")) for j, centre in enumerate(centres)]
+    known = F.col(columns[0]).isNotNull()
+    for c in columns[1:]:
+        known &= F.col(c).isNotNull()
+    return df.withColumn(name, F.when(known, F.array_min(F.array(*away))["j"]))
+
+
+def segments(df: DataFrame, k: int = 4, restarts: int = 5, columns: Sequence[str] = SEGMENT, seed: int = 42, cap: int | None = None) -> DataFrame:
+    """Adds segment: k-means on standardised columns, the best of several starts by cost; rows with nulls are left out.
+
+    cap bounds the rows used, by the keys' hash; None: all.
+    """
+    rows = df.dropna(subset=list(columns))
+    if cap:
+        rows = fixed_size(rows, "product_id", cap, seed)
+    names = [f"{c}_z" for c in columns]
+    path = files.scratch(df.sparkSession, "points")
+    files.write_parquet(standardised(rows, columns), path)
+    points = files.scan_parquet(df.sparkSession, path)
+    centres, _ = kmeans(points, names, k, restarts, "product_id", seed)
+    return assigned(points, names, centres.tolist()).drop(*names)

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from quarrymill.sources import files
+
 
 def everything() -> WindowSpec:
     """All rows of an aggregate with one row per group."""
@@ -34,18 +36,22 @@ def active(flag: str = "is_active") -> Column:
     return F.count_if(F.col(flag))
 
 
-def kpi_summary(clean: DataFrame) -> DataFrame:
-    return clean.agg(
-        F.count(F.lit(1)).alias("total_skus"),
+def kpis() -> list[Column]:
+    """The headline figures as aggregates; rows without an id count for none of them."""
+    return [
+        F.count("product_id").alias("total_skus"),
         active().alias("active_skus"),
         money("revenue_12m_zar").alias("revenue_12m_zar"),
         mean2("margin_pct").alias("avg_margin_pct"),
         mean2("price_zar").alias("avg_price_zar"),
         mean2("rating", "decimal(4,2)").alias("avg_rating"),
         F.sum(F.col("stock_qty").cast("bigint")).alias("total_stock_units"),
-    )
+    ]
 
 
+def kpi_summary(clean: DataFrame) -> DataFrame:
+    return clean.agg(*kpis())
+
 
 def performance(clean: DataFrame, dims: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Named figures by dimensions; null dimensions are a group of their own."""
@@ -157,11 +163,20 @@ def weighted_average(grouped: DataFrame, values: Sequence[str], weight: str) ->
 SKETCH, BRACKET = 10_000, 0.0005
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """A table per group, written and read again, so that its size is known where it is joined."""
+    path = files.scratch(df.sparkSession, "groups")
+    files.write_parquet(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def quantiles(df: DataFrame, value: str, share: float, group: str | None = None) -> DataFrame:
     """Exact quantile of a column (linear between neighbours) by group: columns _group, quantile; nulls are left out.
 
     A sketch gives two bounds that the quantile lies between; only values between them, some thousandth of a group, are
-    counted one by one. No group's values meet in one buffer.
+    counted one by one. No group's values meet in one buffer. The bounds, one row per group, are written: Spark then knows
+    their size and broadcasts them below spark.sql.autoBroadcastJoinThreshold, so that no row moves; beyond it both sides
+    are shuffled by group.
     """
     g = F.col(group) if group else F.lit(0)
     rows = df.select(g.alias("_group"), F.col(value).cast("double").alias("_v")).where("_v is not null")
@@ -172,6 +187,7 @@ def quantiles(df: DataFrame, value: str, share: float, group: str | None = None)
     bounds = bounds.select(
         F.col("_group").alias("_key"), ((F.col("_n") - 1) * share).alias("_at"), F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high")
     )
+    bounds = _sized(bounds)
     # The values below the bracket count as one value.
     met = rows.join(bounds, F.col("_group").eqNullSafe(F.col("_key"))).where("_v <= _high")
     counted = met.groupBy("_group", "_at", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
@@ -187,7 +203,7 @@ def quantiles(df: DataFrame, value: str, share: float, group: str | None = None)
 
 def versus_group_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """Each row's value against its group's median: the medians are grouped and joined back."""
-    medians = quantiles(df, value, 0.5, group).withColumnRenamed("quantile", "group_median")
+    medians = _sized(quantiles(df, value, 0.5, group).withColumnRenamed("quantile", "group_median"))
     out = df.join(medians, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
     return out.withColumn("deviation", F.col(value) - F.col("group_median"))
 
@@ -210,11 +226,14 @@ def smallest(df: DataFrame, by: str, n: int, tie: str) -> DataFrame:
     return df.orderBy(F.asc(by), tie).limit(n)
 
 
-def leader(df: DataFrame, dim: str, value: str) -> DataFrame:
-    """The dimension's value with the greatest sum: columns dimension, leader, total."""
-    sums = df.where(F.col(dim).isNotNull()).groupBy(dim).agg(money(value).alias("total"))
-    best = sums.orderBy(F.desc("total"), dim).limit(1)
-    return best.select(F.lit(dim).alias("dimension"), F.col(dim).alias("leader"), "total")
+def leaders(df: DataFrame, dims: Sequence[str], value: str) -> DataFrame:
+    """Each dimension's value with the greatest sum: dimension, leader, total. One scan for all dimensions; ties by name."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("leader")) for d in dims])
+    rows = df.select(F.col(value), F.inline(pairs)).where("leader IS NOT NULL")
+    sums = rows.groupBy("dimension", "leader").agg(money(value).alias("total"))
+    # Nulls (no value at all in a group) come last.
+    best = F.min(F.struct(F.col("total").isNull(), (-F.col("total")).alias("less"), "leader", "total"))
+    return sums.groupBy("dimension").agg(best.alias("best")).select("dimension", "best.leader", "best.total")
 
 
 def cross_tab(clean: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrymill.functions import cleaning as C
@@ -106,15 +107,15 @@ def valid_rows(flags: DataFrame) -> DataFrame:
     return flags.where("is_valid")
 
 
-def to_clean(rows: DataFrame) -> DataFrame:
-    """The clean table's nineteen columns."""
+def to_clean(rows: DataFrame, *more: str) -> DataFrame:
+    """The clean table's nineteen columns, and more ones as they are."""
     source = {
         "product_id": "pid", "sku": "sku_c", "product_name": "pname", "category": "category_final", "brand": "brand_final",
         "sales_channel": "channel_c", "province": "province_c", "price_zar": "price_c", "cost_zar": "cost_c",
         "weight_kg": "weight_c", "stock_qty": "stock_c", "units_sold_12m": "units_c", "date_added": "date_c",
         "is_active": "active_c", "rating": "rating_c",
     }
-    return rows.select(*[F.col(source.get(c, c)).alias(c) for c in CLEAN_COLUMNS])
+    return rows.select(*[F.col(source.get(c, c)).alias(c) for c in CLEAN_COLUMNS], *more)
 
 
 def to_quarantine(flags: DataFrame) -> DataFrame:
@@ -127,6 +128,25 @@ def clean(flags: DataFrame) -> DataFrame:
     return to_clean(latest_per_key(valid_rows(flags), ["pid"], "date_c", TIES))
 
 
+def clean_and_rejected(flags: DataFrame) -> DataFrame:
+    """The clean rows (rejected 0) and one row more that only counts the rejected ones, for figures of both from one scan.
+
+    Rows are aggregated by valid id: the greatest row in clean()'s order stays, and all rejected rows share the null id,
+    where each task only counts them before the shuffle.
+    """
+    fields = to_clean(flags).columns
+    source = to_clean(flags.withColumn("_order", F.struct("date_c", *TIES)).withColumn("_valid", F.col("is_valid")), "_order", "_valid")
+    best = F.max_by(F.struct(*fields), F.when(F.col("_valid"), F.col("_order")))
+    found = source.groupBy(F.when(F.col("_valid"), F.col("product_id")).alias("_id")).agg(best.alias("row"), F.count_if(~F.col("_valid")).alias("rejected"))
+    return found.select(*[F.when(F.col("_id").isNotNull(), F.col(f"row.{k}")).alias(k) for k in fields], "rejected")
+
+
+def with_latest(flags: DataFrame) -> DataFrame:
+    """The valid rows, all of them, with is_latest on those that clean() keeps."""
+    order = [F.col("date_c").desc_nulls_first(), *[F.col(t).desc_nulls_last() for t in TIES]]
+    return valid_rows(flags).withColumn("is_latest", F.row_number().over(W.partitionBy("pid").orderBy(*order)) == 1)
+
+
 def clean_catalog(raw: DataFrame, brand_map: DataFrame, rules: CatalogRules | None = None) -> tuple[DataFrame, DataFrame]:
     """(clean, quarantine); one shuffle by id, the lookup is broadcast while it is small."""
     flags = flagged(raw, brand_map, rules)

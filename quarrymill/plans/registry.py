@@ -24,10 +24,11 @@ _RAW: dict[tuple[str, str], str] = {}
 def raw_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the raw table derived from the source tables: as in use, the flow starts from raw files that exist.
 
-    It is written once per application, folder and state of the line items' files.
+    It is written once per application, folder and state of the files of the tables that it is derived from.
     """
-    files_now = sorted(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("_metadata.file_path", "_metadata.file_modification_time").distinct().collect())
-    key = (spark.sparkContext.applicationId, sf_dir, str(files_now))
+    tables = [f"{sf_dir}/{t}.parquet" for t in fx.RAW_SOURCES]
+    states = [spark.read.parquet(t).select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct() for t in tables]
+    key = (spark.sparkContext.applicationId, sf_dir, str(sorted(quality.union_all(states).collect())))
     if key not in _RAW:
         path = files.scratch(spark, "raw")
         files.write_parquet(fx.dirty_catalog(spark, sf_dir), path)
@@ -275,16 +276,21 @@ query("explode_bridge", "SELECT DISTINCT p_brand, p_type FROM part")(
     lambda cat: lookup.explode_bridge(cat.table("part").groupBy("p_brand").agg(F.collect_set("p_type").alias("types")), "p_brand", "types", "p_type")
 )
 query("dims", f"SELECT category, CASE WHEN category IN {fx.PERISHABLE} THEN '{fx.GROUPS[0]}' ELSE '{fx.GROUPS[1]}' END AS product_group FROM (SELECT DISTINCT p_type AS category FROM part) WHERE category IN {fx.CATEGORIES}")(lambda cat: fx.category_groups(cat.spark).join(cat.table("part").select(c("p_type").alias("category")).distinct(), "category"))
-query(
-    "reconcile",
-    on_clean(f"SELECT coalesce(a.category, b.category) AS category, a.v AS expected, b.v AS actual, coalesce(abs(a.v - b.v) <= 0.01, false) AS ok FROM (SELECT category, {money('revenue_12m_zar')} AS v FROM clean GROUP BY category) a FULL JOIN (SELECT category_final AS category, {money('revenue_12m_zar')} AS v FROM flagged WHERE is_valid GROUP BY category_final) b ON a.category = b.category"),
-)(
-    lambda cat: lookup.reconcile(
-        cat.clean.groupBy("category").agg(reports.money("revenue_12m_zar").alias("v")),
-        flow.valid_rows(cat.flags).groupBy(c("category_final").alias("category")).agg(reports.money("revenue_12m_zar").alias("v")),
-        ["category"], "v", 0.01,
+RECONCILE_SQL = f"SELECT coalesce(a.category, b.category) AS category, a.v AS expected, b.v AS actual, coalesce(abs(a.v - b.v) <= 0.01, false) AS ok FROM (SELECT category, {money('revenue_12m_zar')} AS v FROM clean GROUP BY category) a FULL JOIN (SELECT category_final AS category, {money('revenue_12m_zar')} AS v FROM flagged WHERE is_valid GROUP BY category_final) b ON a.category = b.category"
+
+
+@query("reconcile", on_clean(RECONCILE_SQL))
+def _reconcile(cat):
+    """The latest rows against all valid ones: both measures from one scan, written, then joined."""
+    sums = flow.with_latest(cat.flags).groupBy(c("category_final").alias("category")).agg(
+        F.count_if("is_latest").alias("latest"),
+        reports.money(F.when(c("is_latest"), c("revenue_12m_zar"))).alias("clean"),
+        reports.money("revenue_12m_zar").alias("valid"),
     )
-)
+    sums = _written(cat, sums, "category_sums")
+    sides = sums.where("latest > 0").select("category", c("clean").alias("v")), sums.select("category", c("valid").alias("v"))
+    return lookup.reconcile(*sides, ["category"], "v", 0.01)
+
 
 # Reports ---------------------------------------------------------------------------------------------------------------
 KPI = f"SELECT count(*) AS total_skus, count(*) FILTER (is_active) AS active_skus, {money('revenue_12m_zar')} AS revenue_12m_zar, {mean2('margin_pct')} AS avg_margin_pct, {mean2('price_zar')} AS avg_price_zar, {mean2('rating', 'DECIMAL(4,2)')} AS avg_rating, sum(stock_qty::BIGINT)::BIGINT AS total_stock_units FROM clean"
@@ -325,7 +331,7 @@ query("share_of_total", on_clean(f"SELECT product_group, revenue, revenue::DOUBL
 query(
     "dq_funnel",
     on_clean("SELECT 1 AS step, 'raw' AS stage, count(*) AS row_count FROM raw UNION ALL SELECT 2, 'valid', count(*) FROM flagged WHERE is_valid UNION ALL SELECT 3, 'unique', count(*) FROM clean"),
-)(lambda cat: quality.funnel(cat.raw, cat.quarantine, cat.clean))
+)(lambda cat: quality.funnel(cat.flags))
 PROVINCE = f"SELECT province, {money('revenue_12m_zar')} AS revenue FROM clean WHERE province IS NOT NULL GROUP BY province"
 _by_province = lambda cat: cat.clean.where("province is not null").groupBy("province").agg(reports.money("revenue_12m_zar").alias("revenue"))
 query("minmax_scale", on_clean(f"SELECT province, revenue, 0.15 + 0.8 * ((revenue::DOUBLE - min(revenue::DOUBLE) OVER ()) / (max(revenue::DOUBLE) OVER () - min(revenue::DOUBLE) OVER ())) AS shade FROM ({PROVINCE})"))(
@@ -345,7 +351,7 @@ LEADERS = ("category", "brand", "province", "sales_channel")
 query(
     "argmax_leaders",
     on_clean(" UNION ALL ".join(f"(SELECT '{d}' AS dimension, {d} AS leader, {money('revenue_12m_zar')} AS total FROM clean WHERE {d} IS NOT NULL GROUP BY {d} ORDER BY total DESC, leader LIMIT 1)" for d in LEADERS)),
-)(lambda cat: quality.union_all([reports.leader(cat.clean, d, "revenue_12m_zar") for d in LEADERS]))
+)(lambda cat: reports.leaders(cat.clean, LEADERS, "revenue_12m_zar"))
 query("brand_category_xtab", on_clean(by("brand, category", "revenue_12m_zar", "avg_margin_pct", "sku_count", "avg_rating")))(lambda cat: reports.cross_tab(cat.clean))
 query(
     "brand_category_pivot",
@@ -371,17 +377,29 @@ query("aggregate_by_name", on_clean(f"SELECT n_name AS province, revenue FROM na
 
 # Quality and sets ------------------------------------------------------------------------------------------------------
 query("reason_exploded", on_clean("SELECT rule, count(*) AS row_count FROM (SELECT unnest(string_split(regexp_replace(reject_reason, ';+$', ''), ';')) AS rule FROM quarantine) GROUP BY rule"))(lambda cat: quality.reasons_exploded(cat.quarantine))
-query("kpi_recon", on_clean(f"SELECT total_skus, active_skus, revenue_12m_zar, avg_margin_pct, total_stock_units, (SELECT count(*) FROM quarantine) AS quarantined_rows FROM ({KPI})"))(lambda cat: quality.kpi_reconciliation(cat.clean, cat.quarantine))
-#: Figures that a full catalog must show, by measure. Fixed values.
-GOLDEN = {"total_skus": 4284971, "revenue_12m_zar": 1170282306878.76, "avg_margin_pct": 35.00, "active_skus": 2142870, "quarantined_rows": 729438}
+query("kpi_recon", on_clean(f"SELECT total_skus, active_skus, revenue_12m_zar, avg_margin_pct, avg_price_zar, total_stock_units, (SELECT count(*) FROM quarantine) AS quarantined_rows FROM ({KPI})"))(lambda cat: quality.kpi_reconciliation(flow.clean_and_rejected(cat.flags)))
+#: Figures that the published catalog shows, by measure. Fixed values.
+GOLDEN = {"total_skus": 4284971, "revenue_12m_zar": 1170282306878.76, "avg_margin_pct": 35.00, "avg_price_zar": 71.68, "active_skus": 2142870, "quarantined_rows": 729438}
 query(
-    "golden_values",
+    "golden_published",
     on_clean(" UNION ALL ".join(
         f"SELECT '{m}' AS measure, {v}::DOUBLE AS expected, a::DOUBLE AS actual, abs({v}::DOUBLE - a::DOUBLE) <= 0.01 AS ok FROM (SELECT "
         + ("count(*) AS a FROM quarantine" if m == "quarantined_rows" else f"{m} AS a FROM ({KPI})") + ")"
         for m, v in GOLDEN.items()
     )),
-)(lambda cat: quality.golden(quality.kpi_reconciliation(cat.clean, cat.quarantine), GOLDEN, 0.01))
+)(lambda cat: quality.golden(quality.kpi_reconciliation(flow.clean_and_rejected(cat.flags)), GOLDEN, 0.01))
+#: Shares of raw rows that the corruption rates make invalid, by reason, and at all.
+RATES = fx.reject_rates()
+COUNTED = ", ".join(
+    f"count(*) FILTER (contains(';' || reject_reason, ';{m};')) AS {m}" if m != "rejected_rows" else "count(*) FILTER (NOT is_valid) AS rejected_rows" for m in RATES
+)
+query(
+    "golden_values",
+    on_flags("SELECT *, coalesce(actual BETWEEN low AND high, false) AS ok FROM (" + " UNION ALL ".join(
+        f"SELECT '{m}' AS measure, n::DOUBLE * {p!r}::DOUBLE AS expected, n::DOUBLE * {p!r}::DOUBLE - sqrt(n::DOUBLE * {p * (1 - p)!r}::DOUBLE) * 5.0::DOUBLE AS low, n::DOUBLE * {p!r}::DOUBLE + sqrt(n::DOUBLE * {p * (1 - p)!r}::DOUBLE) * 5.0::DOUBLE AS high, {m}::DOUBLE AS actual FROM counted"
+        for m, p in RATES.items()
+    ) + ")").replace("\nSELECT *, coalesce", f",\ncounted AS (SELECT count(*) AS n, {COUNTED} FROM flagged)\nSELECT *, coalesce", 1),
+)(lambda cat: quality.rate_bounds(quality.reason_totals(cat.flags, [m for m in RATES if m != "rejected_rows"]), "raw_rows", RATES))
 query(
     "detail_vs_total",
     on_clean(f"SELECT detail_skus::BIGINT AS detail_skus, detail_revenue, total_skus, revenue_12m_zar, detail_skus = total_skus AND detail_revenue = revenue_12m_zar AS ok FROM (SELECT sum(sku_count) AS detail_skus, sum(revenue_12m_zar)::DECIMAL(18,2) AS detail_revenue FROM ({CATEGORY})), (SELECT total_skus, revenue_12m_zar FROM ({KPI}))"),
@@ -507,6 +525,44 @@ def _burst(cat):
     return files.scan_parquet(cat.spark, path).groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
 
 
+RECIPIENTS_SQL = """, recipients AS (
+  SELECT 'region ' || r_name AS recipient, 'province' AS field, n_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'head office', 'province', n_name FROM nation
+  UNION ALL SELECT 'solution ' || bm_brand_solution, 'brand', bm_brand FROM brand_map
+  UNION ALL SELECT 'buyer ' || r_name, 'province', n_name FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'buyer ' || r_name, 'brand', bm_brand FROM brand_map, region WHERE ascii(substr(bm_brand, -1)) % 5 = r_regionkey),
+extracts AS (
+  SELECT recipient, product_id, revenue_12m_zar
+  FROM clean JOIN recipients ON (field = 'province' AND value = province) OR (field = 'brand' AND value = brand)
+  GROUP BY recipient, product_id, revenue_12m_zar
+  HAVING count(DISTINCT field) = (SELECT count(DISTINCT field) FROM recipients r WHERE r.recipient = any_value(recipients.recipient)))"""
+
+
+def _recipients(cat) -> DataFrame:
+    """Who may see what, derived from the tables: regions, head office, solutions, and buyers with two conditions."""
+    places = cat.table("nation").join(cat.table("region"), c("n_regionkey") == c("r_regionkey"))
+    brands = cat.brand_map
+    of_brand = F.ascii(F.substring("bm_brand", -1, 1)) % 5
+    row = lambda who, field, value: [who.alias("recipient"), F.lit(field).alias("field"), value.alias("value")]
+    return quality.union_all(
+        [
+            places.select(*row(F.concat(F.lit("region "), "r_name"), "province", c("n_name"))),
+            places.select(*row(F.lit("head office"), "province", c("n_name"))),
+            brands.select(*row(F.concat(F.lit("solution "), "bm_brand_solution"), "brand", c("bm_brand"))),
+            places.select(*row(F.concat(F.lit("buyer "), "r_name"), "province", c("n_name"))),
+            brands.join(cat.table("region"), of_brand == c("r_regionkey")).select(*row(F.concat(F.lit("buyer "), "r_name"), "brand", c("bm_brand"))),
+        ]
+    )
+
+
+@query("recipient_extracts", on(fx.CLEAN_SQL + RECIPIENTS_SQL, f"SELECT recipient, count(*) AS n, {money('revenue_12m_zar')} AS revenue FROM extracts GROUP BY recipient"))
+def _extracts_by_recipient(cat):
+    path = cat.scratch("extracts")
+    rows = cat.clean.select("product_id", "brand", "province", "revenue_12m_zar")
+    files.write_by_recipient(files.recipient_extracts(rows, _recipients(cat), ["product_id"]), "recipient", path)
+    return files.scan_parquet(cat.spark, path).groupBy("recipient").agg(F.count(F.lit(1)).alias("n"), reports.money("revenue_12m_zar").alias("revenue"))
+
+
 # Models ----------------------------------------------------------------------------------------------------------------
 ENCODED = ("category", "brand_solution", "sales_channel")
 
@@ -581,7 +637,19 @@ query(
         "product_id", F.round("price_zar_z", 6).alias("price_zar_z"), F.round("margin_pct_z", 6).alias("margin_pct_z")
     )
 )
-query("ml_segments")(lambda cat: models.segments(_written(cat, cat.clean, "segment_rows")).select("product_id", "segment"))
+query("ml_segments")(lambda cat: models.segments(_written(cat, cat.clean, "segment_rows"), cap=SEGMENT_ROWS).select("product_id", "segment"))
+#: Centres in standardised price, margin, units and rating. Fixed values.
+CENTRES = ((-0.9, -0.5, 0.8, 0.1), (0.9, 0.4, 0.6, 0.5), (0.2, 0.9, -0.9, -0.8), (0.1, -0.8, -0.7, 0.9))
+STANDARD = ", ".join(f"coalesce(({k} - avg({k}) OVER ()) / nullif(stddev_pop({k}) OVER (), 0), 0) AS {k}_z" for k in models.SEGMENT)
+AWAY = ["(" + " + ".join(f"({k}_z - ({v!r}::DOUBLE)) * ({k}_z - ({v!r}::DOUBLE))" for k, v in zip(models.SEGMENT, centre, strict=True)) + ")" for centre in CENTRES]
+query(
+    "segment_assign",
+    on_clean("SELECT product_id, CASE " + " ".join(f"WHEN {x} <= least({', '.join(AWAY)}) THEN {j}" for j, x in enumerate(AWAY)) + " END AS segment FROM (SELECT product_id, " + STANDARD + " FROM clean WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in models.SEGMENT) + ")"),
+)(
+    lambda cat: models.assigned(
+        models.standardised(cat.clean.dropna(subset=list(models.SEGMENT)), models.SEGMENT), [f"{k}_z" for k in models.SEGMENT], CENTRES
+    ).select("product_id", "segment")
+)
 query(
     "segment_profile",
     on_clean(f"SELECT brand_solution AS segment, count(*) AS products, {mean2('price_zar')} AS avg_price, {mean2('margin_pct')} AS avg_margin_pct, {mean2('units_sold_12m', 'DECIMAL(18,2)')} AS avg_units_12m, {mean2('rating')} AS avg_rating, {money('revenue_12m_zar')} AS revenue_12m FROM clean GROUP BY brand_solution"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import tempfile
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,12 +66,51 @@ def scan_delimited(spark: SparkSession, path: str, columns: Sequence[str], parti
     return df.repartition(partitions) if partitions else df
 
 
+#: Bytes of a file that are looked at for its header, and files looked at together.
+HEADER, READERS = 65_536, 16
+
+
+def _data_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, a folder's or a pattern's; hidden ones don't count. A path without files is an error."""
+    system, where = _hadoop_path(spark, path)
+    found = []
+    for status in system.globStatus(where) or []:
+        listed = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [s.getPath() for s in listed if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    if not found:
+        raise FileNotFoundError(path)
+    return [p.toString() for p in found]
+
+
+def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """A delimited file's column names; none for an empty file. Only the file's beginning is read."""
+    system, where = _hadoop_path(spark, path)
+    stream = system.open(where)
+    try:
+        codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(where)
+        text = stream if codec is None else codec.createInputStream(stream)
+        raw = spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(text, HEADER))
+    finally:
+        stream.close()
+    return tuple(next(csv.reader(io.StringIO(bytes(raw).decode("utf-8", "replace"))), ()))
+
+
 def scan_with_drift(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Scan of files whose headers differ: columns by name, missing ones null, additional ones kept at the end."""
-    frames = []
-    for path in paths:
-        df = _delimited(spark).csv(path)
-        frames.append(df)
+    """Scan of files whose headers differ: columns by name, missing ones null, additional ones kept at the end.
+
+    Files are grouped by their header, which the driver reads as it lists the files: one scan for each distinct header, with
+    a schema of text, however many files there are. Files without a header are left out.
+    """
+    every = [f for path in paths for f in _data_files(spark, path)]
+    with ThreadPoolExecutor(READERS) as readers:
+        headers = list(readers.map(lambda f: header_of(spark, f), every))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for name, header in zip(every, headers, strict=True):
+        if header:
+            groups.setdefault(header, []).append(name)
+    frames = [_delimited(spark).schema(text_schema(header)).csv(names) for header, names in groups.items()]
+    if not frames:
+        return spark.createDataFrame([], text_schema(columns))
     out = frames[0]
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
@@ -123,9 +165,26 @@ def write_by_recipient(df: DataFrame, recipient: str, path: str, spread: int = 8
     df.repartition(F.col(recipient), part).write.mode("overwrite").partitionBy(recipient).parquet(path)
 
 
-def recipient_extract(df: DataFrame, recipients: DataFrame, field: str) -> DataFrame:
-    """The rows that each recipient may see: recipients has (recipient, value of the field)."""
-    return df.join(recipients, df[field] == recipients["value"]).drop("value")
+def recipient_extracts(df: DataFrame, recipients: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Each recipient's rows, with the column recipient; a row that several may see comes once for each.
+
+    recipients: (recipient, field, value), any number of values each. A recipient's values of one field are alternatives; of
+    a recipient with several fields all must hold. key names a row. Null values match nothing. The mapping is joined by
+    (field, value) and broadcast only while Spark knows it to be small. Only where a recipient has several fields are
+    its matches counted by row.
+    """
+    fields = [r.field for r in recipients.select("field").distinct().collect() if r.field in df.columns]
+    pairs = recipients.where("value IS NOT NULL").select("recipient", F.col("field").alias("_field"), F.col("value").alias("_value")).distinct()
+    needed = pairs.groupBy("recipient").agg(F.count_distinct("_field").alias("_needed"))
+    known = recipients.groupBy("recipient").agg(F.count_distinct("field").alias("_all"))
+    # A recipient with a field that has no value, or that the rows lack, sees nothing.
+    pairs = pairs.join(needed.join(known, "recipient").where("_needed = _all"), "recipient").drop("_all")
+    given = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    seen = df.withColumn("_p", F.explode(given.cast("array<struct<field:string,value:string>>")))
+    met = seen.join(pairs, (F.col("_p.field") == F.col("_field")) & (F.col("_p.value") == F.col("_value"))).drop("_p", "_field", "_value")
+    one = met.where("_needed = 1").drop("_needed")
+    counted = met.where("_needed > 1").groupBy("recipient", *key, "_needed").agg(F.count(F.lit(1)).alias("_n"), *[F.first(x).alias(x) for x in df.columns if x not in key])
+    return one.unionByName(counted.where("_n = _needed").select(*one.columns))
 
 
 def load_typed(df: DataFrame, expressions: dict[str, Column]) -> DataFrame:

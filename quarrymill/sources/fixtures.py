@@ -110,6 +110,21 @@ def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brand_map(parts, "p_brand", "p_type", "p_partkey", SOLUTIONS, groups)
 
 
+#: The tables that the dirty catalog is derived from.
+RAW_SOURCES = ("lineitem", "part", "orders", "customer", "nation")
+#: Bands (prime, first, last) whose rows are invalid, by the reason that they get: see the corrupting columns above.
+INVALID_BANDS = {"bad_price": (101, 18, 22), "bad_date": (103, 93, 99), "unknown_brand": (107, 12, 14)}
+
+
+def reject_rates() -> dict[str, float]:
+    """Expected share of raw rows with each reason, and of rejected rows: bands of different primes are independent."""
+    share = {m: sum(first <= r * 100 // p <= last for r in range(p)) / p for m, (p, first, last) in INVALID_BANDS.items()}
+    good = 1.0
+    for rate in share.values():
+        good *= 1 - rate
+    return share | {"rejected_rows": 1 - good}
+
+
 # The same as SQL ------------------------------------------------------------------------------------------------------
 
 

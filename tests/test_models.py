@@ -112,3 +112,35 @@ def test_small_and_flat_tables(spark):
     assert sorted((r.tree, r.node, r.feature) for r in nodes) == [(0, 1, None), (1, 1, None), (2, 1, None)]
     same = forest.forest(flat.repartition(5), ["a", "b"], trees=3, subsample=4).collect()
     assert sorted(map(str, same)) == sorted(map(str, nodes))
+
+
+def test_starts_advance_together_and_end_where_lloyd_does(spark):
+    df = spark.range(600).select(F.col("id").cast("string").alias("product_id"), *[(F.pmod("id", F.lit(3)) * 4 * (k + 1) + sampling.uniform("id", k)).alias(c) for k, c in enumerate("ab")])
+    centres, cost = models.kmeans(df.repartition(5), ["a", "b"], 3, 4, "product_id", 1)
+    x = np.array([(r.a, r.b) for r in df.collect()])
+    at, away = models.nearest(x, centres)
+    assert cost == pytest.approx(away.sum(), abs=1e-3)
+    assert np.abs(np.array([x[at == j].mean(0) for j in range(3)]) - centres).max() < 2e-4
+    assert sorted(np.bincount(at).tolist()) == [200, 200, 200]  # the groups as made
+    again, same = models.kmeans(df.repartition(2), ["a", "b"], 3, 4, "product_id", 1)
+    assert same == cost and (again == centres).all()
+
+
+def test_one_job_a_pass(spark):
+    """All starts share a pass: the number of passes is that of the slowest start, not the sum."""
+    df = spark.range(300).select(F.col("id").cast("string").alias("product_id"), sampling.uniform("id", 1).alias("a"))
+    calls = []
+    original = models.lloyd_pass
+    models.lloyd_pass = lambda *a: calls.append(a[2]) or original(*a)
+    try:
+        models.kmeans(df, ["a"], 3, 5, "product_id", 7)
+    finally:
+        models.lloyd_pass = original
+    assert calls[0] == [0, 1, 2, 3, 4] and all(set(b) <= set(a) for a, b in zip(calls, calls[1:], strict=False))
+
+
+def test_assignment_edges(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (2.0, None), (1.0, 0.0), (3.0, 0.0)], "a double, b double")
+    got = [r.segment for r in models.assigned(df, ["a", "b"], [(0.0, 0.0), (2.0, 0.0)]).collect()]
+    assert got == [0, None, 0, 1]  # the first of equally near ones
+    assert models.kmeans(df.limit(0).withColumn("product_id", F.lit("")), ["a", "b"], 2, 2, "product_id", 1)[1] == 0.0

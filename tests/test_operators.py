@@ -169,5 +169,3 @@ def test_sources(spark, tmp_path):
     files.write_by_recipient(hot, "r", str(tmp_path / "burst"), spread=4)
     assert spark.read.parquet(str(tmp_path / "burst")).groupBy("r").count().count() == 2
     assert 1 <= len(list((tmp_path / "burst" / "r=hot").glob("*.parquet"))) <= 4
-    recipients = spark.createDataFrame([("ann", "1"), ("bob", "2"), ("cy", "2")], "recipient string, value string")
-    assert files.recipient_extract(df, recipients, "b").groupBy("recipient").count().count() == 3
