@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Vectors that the rotations are learned on, at most, by hash order, over all lengths (LEAST for each); rounds of learning.
-SAMPLE, LEAST, ROUNDS = 20_000, 200, 30
+#: Vectors that the rotations are learned on, at most, by hash order, over all lengths; lengths that have learned rotations,
+#: the commonest first (others have random ones, which need no sample); rounds of learning.
+SAMPLE, LEARNED, ROUNDS = 20_000, 64, 30
 #: Pairs just at the cosine limit that are made from the sample to find the Hamming limit.
 TRIALS = 5000
 #: Recall wanted of pairs just at the limit, under independent bits; nearer pairs have more.
@@ -78,11 +80,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 class Plan(NamedTuple):
-    """Codes of the vectors of one length: bits of a table, tables, projections as columns, and the Hamming limit."""
+    """Codes of the vectors of one length: bits of a table, tables, projections as columns (None: drawn), Hamming limit."""
 
     bits: int
     tables: int
-    projections: np.ndarray
+    projections: np.ndarray | None
     limit: int
 
 
@@ -102,13 +104,18 @@ def hamming_limit(sample: np.ndarray, projections: np.ndarray, cosine: float, se
 
 
 def plans(rows: DataFrame, cosine: float) -> dict[int, Plan]:
-    """A plan for each length that two usable vectors have at least, learned on a bounded sample. rows: v (usable)."""
+    """A plan for each length that two usable vectors have at least, learned on a bounded sample. rows: v (usable).
+
+    The LEARNED commonest lengths share the sample, SAMPLE vectors together; a rarer length's rotations are drawn by its
+    number in the tasks, so that neither the driver nor a broadcast holds more for each of them than a few numbers.
+    """
     sizes = {r["size"]: r["n"] for r in rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect() if r["n"] > 1}
     if not sizes:
         return {}
-    each = max(LEAST, SAMPLE // len(sizes))
+    common_ = sorted(sizes, key=lambda size: (-sizes[size], size))[:LEARNED]
+    each = SAMPLE // len(common_)
     scale = 1 << 30
-    bounds = F.create_map(*[F.lit(x) for size, n in sizes.items() for x in (size, min(scale, int(1.2 * scale * each / n) + 1))])
+    bounds = F.create_map(*[F.lit(x) for size in common_ for x in (size, min(scale, int(1.2 * scale * each / sizes[size]) + 1))])
     rank = F.xxhash64("v", F.lit(3))
     chosen = rows.where(F.pmod(rank, F.lit(scale)) < F.try_element_at(bounds, F.size("v"))).distinct()
     order = W.partitionBy(F.size("v")).orderBy(F.pmod(rank, F.lit(scale)), "v")
@@ -117,17 +124,30 @@ def plans(rows: DataFrame, cosine: float) -> dict[int, Plan]:
     for r in chosen.collect():
         samples.setdefault(len(r.v), []).append(r.v)
     found = {}
-    for size, sample in sorted(samples.items()):
-        known = unit(np.array(sample, dtype=np.float64))
-        bits, tables = plan_tables(sizes[size], cosine)
-        projections = learn(known, bits * tables)
-        found[size] = Plan(bits, tables, projections, hamming_limit(known, projections, cosine))
+    for size, n in sizes.items():
+        bits, tables = plan_tables(n, cosine)
+        if size in samples:
+            known = unit(np.array(samples[size], dtype=np.float64))
+            projections = learn(known, bits * tables)
+            found[size] = Plan(bits, tables, projections, hamming_limit(known, projections, cosine))
+        else:
+            found[size] = Plan(bits, tables, None, drawn(size, bits * tables, cosine)[1])
     return found
 
 
-def codes_of(vectors: list[np.ndarray], plan: Plan) -> np.ndarray:
+@lru_cache(8)
+def drawn(size: int, bits: int, cosine: float) -> tuple[np.ndarray, int]:
+    """Random projections for vectors of a length, and their Hamming limit."""
+    generator = np.random.default_rng([size, bits])
+    projections = generator.standard_normal((size, bits))
+    return projections, hamming_limit(unit(generator.standard_normal((256, size))), projections, cosine)
+
+
+def codes_of(vectors: list[np.ndarray], plan: Plan, cosine: float) -> np.ndarray:
     """Row per vector: each table's bits in whole bytes, one table after the other."""
-    signs = unit(np.stack(vectors).astype(np.float64)) @ plan.projections >= 0
+    held = np.stack(vectors).astype(np.float64)
+    projections = drawn(held.shape[1], plan.bits * plan.tables, cosine)[0] if plan.projections is None else plan.projections
+    signs = unit(held) @ projections >= 0
     return np.packbits(signs.reshape(len(vectors), plan.tables, plan.bits), axis=2).reshape(len(vectors), -1)
 
 
@@ -218,7 +238,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Equal vectors are one representative with a number of copies. Vectors that are null, empty, zero or have null or
     non-finite components link with nothing: n_links 0, a component of their own. Vectors of different lengths don't link. A
-    row without id has no component and isn't kept. Repeated rows are copies of each other. Other columns are ignored; an
+    row without id has no component and isn't kept. Repeated rows are copies of each other; an id may stand on different
+    vectors, each of which has its own links. Other columns are ignored; an
     empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -241,15 +262,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             places.setdefault(len(x), []).append(k)
         for size, ks in places.items():
             if (plan := shared.value.get(size)) is not None:
-                for k, code in zip(ks, codes_of([held[k] for k in ks], plan), strict=True):
+                for k, code in zip(ks, codes_of([held[k] for k in ks], plan, cosine), strict=True):
                     codes[k], tables[k] = code.tobytes(), plan.tables
         return pd.DataFrame({"vec": [x.tobytes() for x in held], "code": codes, "tables": tables})
 
     # Two hashes stand for a vector where rows find their representative again, so that no vector moves for that.
     hashes = F.struct(F.xxhash64("v").alias("x"), F.xxhash64("v", F.lit(11)).alias("y"))
     distinct = rows.where(good).groupBy("v").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    # Numbers of distinct vectors, whatever ids they share: given once, as the table is written.
     reps = distinct.select(
-        F.coalesce("low", F.xxhash64("v")).alias("rep"), "low", "copies", hashes.alias("h"), F.size("v").alias("size"), coded("v").alias("c")
+        F.monotonically_increasing_id().alias("rep"), "low", "copies", hashes.alias("h"), F.size("v").alias("size"), coded("v").alias("c")
     )
     reps = common.materialise(reps.select("rep", "low", "copies", "h", "size", "c.*"))
     members = common.materialise(candidates(reps, shared))

@@ -88,3 +88,40 @@ def test_tables_for_a_recall():
         bits, tables = embeddings.plan_tables(n, 0.9)
         agree = (1 - np.arccos(0.9) / np.pi) ** bits
         assert 1 - (1 - agree) ** tables >= 0.95
+
+
+def test_one_id_on_different_vectors(spark):
+    rows = check(spark, [[1, 0, 0], [1, 0], [1, 0.01, 0], [1, 0.01]], [1, 1, 2, 3], "double")
+    assert [r[:3] for r in rows] == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    rows = check(spark, [[1, 0, 0], [0, 1, 0], [1, 0.01, 0], [0, 1, 0.01]], [1, 1, 2, 3], "double")
+    assert [r[:3] for r in rows] == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    assert [r[3] for r in rows] == [True, True, False, False]
+
+
+def test_repeated_ids_against_brute_force(spark):
+    generator = np.random.default_rng(4)
+    centres = generator.standard_normal((40, 16))
+    vectors = np.concatenate([centres + 0.1 * generator.standard_normal((40, 16)) for _ in range(4)])
+    ids = generator.integers(0, 50, len(vectors)).tolist()
+    near = embeddings.unit(vectors) @ embeddings.unit(vectors).T >= 0.9
+    np.fill_diagonal(near, False)
+    roots = components(len(vectors), lambda i: np.flatnonzero(near[i]))
+    low = {r: min(ids[i] for i in range(len(ids)) if roots[i] == r) for r in roots}
+    expected = sorted(((ids[i], int(near[i].sum()), low[roots[i]], ids[i] == low[roots[i]]) for i in range(len(ids))), key=str)
+    assert check(spark, vectors.tolist(), ids, "double") == expected
+
+
+def test_many_lengths_have_bounded_samples(spark, monkeypatch):
+    """Lengths beyond the learned ones are compared too; nothing of theirs reaches the driver but counts."""
+    monkeypatch.setattr(embeddings, "LEARNED", 2)
+    generator = np.random.default_rng(5)
+    vectors = []
+    for size in range(3, 15):
+        base = generator.standard_normal((3, size))
+        vectors += [*base.tolist(), *(base + 0.01).tolist()]
+    rows = check(spark, vectors, kind="double")
+    near = [[len(a) == len(b) and np.dot(a, b) >= 0.9 * np.linalg.norm(a) * np.linalg.norm(b) for b in vectors] for a in vectors]
+    assert [r[1] for r in sorted(rows)] == [sum(n) - 1 for n in near]
+    df = spark.createDataFrame([(v,) for v in vectors], "v array<double>")
+    learned = [size for size, plan in embeddings.plans(df, 0.9).items() if plan.projections is not None]
+    assert learned == [3, 4]
