@@ -14,6 +14,7 @@ makes them quadratic or deep; they find the same leftmost matches as the plain p
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,7 +37,8 @@ ADDED = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None),
 }
 KINDS = [*BASE, *ADDED]
-LEFT = 24
+#: Code points before a span that are looked at; matches before it that hold so many (the shortest have four).
+LEFT, BACK = 24, 7
 #: Whole words before a span that speak for its kind, and words that speak against any.
 CUES = {
     "email": "e-?mail|contact|write|reach",
@@ -102,40 +104,55 @@ def is_valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "struct<start:int,end:int,kind:string,value:string>"
+SPAN = "struct<start:int,end:int,kind:string,value:string,left:string>"
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, or maxima, of an array: in the k-th of log2(n) rounds each value takes in the one 2^k places before."""
+    rounds = F.ceil(F.log2(F.size(values))).cast("int")
+
+    def widen(done: Column, k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(done, lambda x, i: F.when(i >= step, combine(x, F.get(done, i - step))).otherwise(x))
+
+    return F.when(F.size(values) > 1, F.aggregate(F.sequence(F.lit(0), rounds - 1), values, widen)).otherwise(values)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def spans_of(text: Column, kind: str) -> Column:
-    """Array of the valid matches of one kind, with code-point offsets (end exclusive), in order."""
+    """Array of the valid matches of one kind, with code-point offsets (end exclusive) and what stands before, in order.
+
+    Offsets are running sums over gaps and matches, and what stands before a match is put together from the ends of the
+    pieces before it: the work grows with the text and, but for the rounds of the sums, with the number of matches.
+    """
     pattern, needs = (BASE | ADDED)[kind]
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    walked = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), values.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found")),
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + F.coalesce(F.length(m["value"]), F.lit(0))).alias("at"),
-            F.when(m["value"].isNull(), acc["found"])
-            .otherwise(
-                F.concat(
-                    acc["found"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + m["gap"]).alias("start"),
-                            (acc["at"] + m["gap"] + F.length(m["value"])).alias("end"),
-                            F.lit(kind).alias("kind"),
-                            m["value"].alias("value"),
-                        ).cast(SPAN)
-                    ),
-                )
-            )
-            .alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    found = F.filter(walked, lambda s: F.coalesce(is_valid(kind, s["value"]), F.lit(False)))
+
+    def found(values: Column) -> Column:
+        return bound(F.split(text, pattern, -1), lambda gaps: placed(values, gaps))
+
+    def placed(values: Column, gaps: Column) -> Column:
+        steps = F.transform(values, lambda v, i: F.length(v) + F.length(F.get(gaps, i)))
+        tails = F.transform(values, lambda v, i: F.right(F.concat(F.right(F.get(gaps, i), F.lit(LEFT + 1)), v), F.lit(LEFT + 1)))
+        return bound(running(steps, lambda x, y: x + y), lambda ends: bound(tails, lambda held: listed(values, gaps, ends, held)))
+
+    def listed(values: Column, gaps: Column, ends: Column, tails: Column) -> Column:
+        def span(v: Column, i: Column) -> Column:
+            # Every match has a few characters, so that some matches before this one reach back far enough.
+            before = F.array_join(F.slice(tails, F.greatest(i - BACK, F.lit(0)) + 1, F.least(i, F.lit(BACK))), "")
+            left = F.right(F.concat(before, F.right(F.get(gaps, i), F.lit(LEFT + 1))), F.lit(LEFT + 1))
+            end = F.get(ends, i)
+            return F.struct((end - F.length(v)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), v.alias("value"), left.alias("left")).cast(SPAN)
+
+        spans = F.transform(values, span)
+        return F.filter(spans, lambda s: F.coalesce(is_valid(kind, s["value"]), F.lit(False)))
+
     some = text.rlike(pattern) if needs is None else text.contains(needs) & text.rlike(pattern)
-    return F.when(some, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    none = F.array().cast(f"array<{SPAN}>")
+    return F.when(some, bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)).otherwise(none)
 
 
 def votes_on(kind: Column, value: Column, left: Column) -> list[Column]:
@@ -236,23 +253,44 @@ def candidates(text: Column) -> Column:
     return F.concat(*[spans_of(t, k) for k in KINDS])
 
 
-def left_of(text: Column, start: Column) -> Column:
+def left_of(span: Column) -> Column:
     """The LEFT code points before a span, without the rest of a word that is cut at their start."""
-    at = F.greatest(start - LEFT - 1, F.lit(0))
-    near = F.substring(text, at + 1, start - at)
-    return F.when(at > 0, F.regexp_replace(near, r"^\p{L}+", "")).otherwise(near)
+    return F.when(span["start"] > LEFT + 1, F.regexp_replace(span["left"], r"^\p{L}+", "")).otherwise(span["left"])
 
 
 def train(docs: DataFrame, text_col: str = "text") -> SpanModel:
     """Vote patterns of all candidates of all documents, counted by Spark, and the model estimated from the counts."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    spans = docs.select(text.alias("t"), F.explode(candidates(text)).alias("s"))
-    voted = spans.select(F.col("s.kind").alias("kind"), *votes_on(F.col("s.kind"), F.col("s.value"), left_of(F.col("t"), F.col("s.start"))))
+    spans = docs.select(F.explode(candidates(text)).alias("s"))
+    voted = spans.select(F.col("s.kind").alias("kind"), *votes_on(F.col("s.kind"), F.col("s.value"), left_of(F.col("s"))))
     names = ["kind", *VOTES, "size", "share"]
     counted = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).collect()
     return estimate([(r.kind, tuple(r[v] for v in VOTES), (r["size"], r["share"]), r.n) for r in counted])
 
 
+def clear_of(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others (both not empty).
+
+    Among the others that start before a span's end, found by halving, the furthest end is compared with the span's start.
+    """
+
+    def against(sorted_: Column) -> Column:
+        starts = F.transform(sorted_, lambda b: b["start"])
+        reach = running(F.transform(sorted_, lambda b: b["end"]), F.greatest)
+        bits = F.sequence(F.ceil(F.log2(F.size(sorted_) + 1)).cast("int"), F.lit(0))
+        return bound(starts, lambda at: bound(reach, lambda to: bound(bits, lambda steps: F.filter(spans, lambda s: clear(s, at, to, steps)))))
+
+    def clear(s: Column, starts: Column, reach: Column, bits: Column) -> Column:
+        def further(count: Column, bit: Column) -> Column:
+            more = count + F.call_function("shiftleft", F.lit(1), bit)
+            return F.when(F.coalesce(F.get(starts, more - 1) < s["end"], F.lit(False)), more).otherwise(count)
+
+        before = F.aggregate(bits, F.lit(0), further)
+        return F.coalesce(F.get(reach, before - 1) <= s["start"], F.lit(True))
+
+    return bound(F.array_sort(F.transform(others, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))), against)
+
+
 def with_spans(docs: DataFrame, model: SpanModel, column: str, text_col: str = "text") -> DataFrame:
     """The documents with an array column of spans (start, end, kind, value), by start and then kind.
 
@@ -263,16 +301,13 @@ def with_spans(docs: DataFrame, model: SpanModel, column: str, text_col: str = "
     found = F.col("_qm_candidates")
 
     def accepted(s: Column) -> Column:
-        signs = dict(zip([*VOTES, "size", "share"], votes_on(s["kind"], s["value"], left_of(text, s["start"])), strict=True))
+        signs = dict(zip([*VOTES, "size", "share"], votes_on(s["kind"], s["value"], left_of(s)), strict=True))
         return model.probability(s["kind"], signs) >= 0.5
 
     base = F.filter(found, lambda s: s["kind"].isin(*BASE))
     added = F.filter(found, lambda s: ~s["kind"].isin(*BASE))
     added = F.when(F.size(added) > 0, F.filter(added, accepted)).otherwise(added)
-    free = F.filter(
-        F.col("_qm_added"),
-        lambda s: ~F.exists(F.col("_qm_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
+    free = F.when((F.size("_qm_added") > 0) & (F.size("_qm_base") > 0), clear_of(F.col("_qm_added"), F.col("_qm_base"))).otherwise(F.col("_qm_added"))
     order = {k: n for n, k in enumerate(KINDS)}
     rank = lambda k: reduce(lambda c, x: c.when(k == x, order[x]), KINDS, F).otherwise(len(KINDS))
     tagged = F.transform(
@@ -288,26 +323,34 @@ def with_spans(docs: DataFrame, model: SpanModel, column: str, text_col: str = "
     return out.drop("_qm_candidates", "_qm_base", "_qm_added")
 
 
+#: Code points of a piece that a text is cut into, so that a place in it is reached without walking over the whole text.
+PIECE = 1024
+
+
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in square brackets; overlapping spans are replaced once."""
-    pieces = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.substring(text, acc["at"] + 1, s["start"] - acc["at"]),
-                    F.lit("["),
-                    F.upper(s["kind"]),
-                    F.lit("]"),
-                ).alias("out"),
-            )
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])),
-    )
-    return F.when(F.size(spans) > 0, pieces).otherwise(text)
+    """The text with each span replaced by its kind in square brackets; overlapping spans are replaced once.
+
+    Spans are by start. What the spans before one reach is their running maximum of ends; the text from there to its start
+    stays. All pieces are joined at once.
+    """
+
+    def between(pieces: Column, start: Column, end: Column) -> Column:
+        first = (start / PIECE).cast("int")
+        held = F.array_join(F.slice(pieces, first + 1, (end / PIECE).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(held, start - first * PIECE + 1, end - start)).otherwise("")
+
+    def replaced(pieces: Column, reach: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            since = F.coalesce(F.get(reach, i - 1), F.lit(0))
+            return F.when(s["start"] >= since, F.concat(between(pieces, since, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+        rest = between(pieces, F.element_at(reach, -1), F.length(text))
+        return F.concat(F.array_join(F.transform(spans, part), ""), rest)
+
+    reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    whole = bound(cut, lambda pieces: bound(reach, lambda to: replaced(pieces, to)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def joined(spans: Column) -> Column:
