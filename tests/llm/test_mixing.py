@@ -50,3 +50,23 @@ def test_reruns_agree_and_empty(spark, small_dir):
     runs = [sorted((r.id, r.taken) for r in mixing.mix(df.repartition(n)).collect()) for n in (1, 6)]
     assert runs[0] == runs[1]
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_a_document_larger_than_the_rest_ends_nothing(spark):
+    """The large one comes first by its hash for some id; what stands behind it is taken as it fits."""
+    for big in range(5):
+        rows = [(big, "w " * 3000, "b", "", ""), *[(100 + n, "w " * (5 + n % 40), "b", "", "") for n in range(150)], *[(n, "w " * 60, "a", "", "") for n in range(1000, 1060)]]
+        got = both(spark, rows)
+        size = {r[2]: r[3] for r in got}
+        for source, target in size.items():
+            assert abs(sum(r[4] for r in got if r[2] == source) - target) <= 0.02 * target
+
+
+def test_sources_come_near_their_targets(spark, small_dir):
+    """Within 5 %, or no whole document that may still be taken comes nearer."""
+    rows = mixing.op8_mixing(spark, small_dir).toPandas()
+    for (_, target), part in rows.groupby(["source_size", "target"]):
+        off = part.taken.sum() - target
+        once = part[part.taken < 3 * part["size"]]
+        nearer = (abs(off + once["size"]) < abs(off)) & (once["taken"] == once["taken"].min()) & (once["size"] > 0)
+        assert abs(off) <= 0.05 * target or not nearer.any(), (target, off)
