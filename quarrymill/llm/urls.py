@@ -2,8 +2,8 @@
 
 Every page's path is cut into segments. A segment becomes a wildcard of its form (number, hex, date, long slug) where its
 characters say that it varies, or where a branch has many different values with few pages each. The templates of a host form
-a tree (host, then one node for each further segment). Branches of one parent with the same remaining shape and similar
-labelled shares are merged. Each node's purity (the labelled share to block) is smoothed towards its parent's, from all
+a tree (host, then one node for each further segment). Branches of one parent, at any level, with the same remaining shape
+and labelled shares that a test of two proportions doesn't tell apart are merged. Each node's purity (the labelled share to block) is smoothed towards its parent's, from all
 hosts down over domain suffixes, host and path nodes, and templates whose purity reaches the limit are rejected. Suffixes
 only smooth: a template is rejected only where its host or one of its branches has labels of its own.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,8 +30,8 @@ RULES = (
 SMOOTHING, LIMIT = 2.0, 0.5
 #: A branch with at least so many values of which each has few pages on average is variable.
 MANY_VALUES, FEW_PAGES = 20, 4.0
-#: Labelled shares that are merged lie in one of so many equal bands.
-BANDS = 5
+#: Labels of a branch that may be merged, and standard deviations within which two shares aren't told apart.
+LEAST, APART = 5, 1.96
 
 
 def host_of(url: Column) -> Column:
@@ -82,13 +83,14 @@ def variable_values(steps: DataFrame) -> DataFrame:
 
 
 def with_wildcards(paths: DataFrame) -> DataFrame:
-    """Adds template: a path's segments, those below a varying branch as *, at any depth. paths: host, segments, pages."""
+    """Adds template: a path's segments, those below a varying branch as *, at any depth. paths: path, host, segments, pages."""
     keys = prefix_keys(F.col("host"), F.col("segments"))
-    steps = paths.select("host", "segments", "pages", keys.alias("keys"), F.posexplode("segments").alias("depth", "segment"))
-    steps = steps.withColumn("prefix", F.get("keys", F.col("depth"))).drop("keys")
+    # A row for each segment carries hashes and the path's number, not the path.
+    steps = F.transform("segments", lambda s, i: F.struct(i.alias("depth"), s.alias("segment"), F.get("keys", i).alias("prefix")))
+    steps = paths.withColumn("keys", keys).select("path", "pages", F.inline(steps))
     varying = common.materialise(variable_values(steps))
-    stars = common.join_groups(steps, varying, "prefix", "paths").groupBy("host", "segments").agg(F.collect_set("depth").alias("stars"))
-    out = paths.join(stars, ["host", "segments"], "left")
+    stars = common.join_groups(steps, varying, "prefix", "paths").groupBy("path").agg(F.collect_set("depth").alias("stars"))
+    out = paths.join(stars, "path", "left")
     starred = F.transform("segments", lambda s, i: F.when(F.array_contains("stars", i), F.lit("*")).otherwise(s))
     return out.withColumn("template", F.when(F.col("stars").isNull(), F.col("segments")).otherwise(starred)).drop("stars")
 
@@ -116,16 +118,18 @@ def purities(paths: DataFrame) -> DataFrame:
     labelled nodes of a template are the first ones of its path: its purity follows from their counts in order.
     """
     templates = paths.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    templates = common.materialise(templates.withColumn("nodes", nodes_of(F.col("host"), F.col("template"))))
-    placed = templates.select("host", "template", "n", "bad", F.posexplode("nodes").alias("level", "node"))
+    templates = common.materialise(templates.withColumn("t", F.monotonically_increasing_id()))
+    # A row for each node carries its template's number, not the template.
+    nodes = nodes_of(F.col("host"), F.col("template"))
+    placed = templates.withColumn("nodes", nodes).select("t", "n", "bad", F.posexplode("nodes").alias("level", "node"))
     counted = placed.where("n > 0").groupBy("node", "level").agg(F.sum("n").alias("_n"), F.sum("bad").alias("_bad"))
     # A node has as many rows as templates below it: the root has all, so the few such nodes are broadcast.
     counted = counted.join(placed.groupBy("node", "level").agg(F.count(F.lit(1)).alias("templates")), ["node", "level"])
     met = common.join_groups(placed.drop("level"), common.materialise(counted), "node", "templates")
-    met = met.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("level", "_n", "_bad"))).alias("met"))
+    met = met.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("level", "_n", "_bad"))).alias("met"))
     fold = lambda above, x: (x["_bad"] + above * SMOOTHING) / (x["_n"] + SMOOTHING)
     own = F.element_at("met", -1)["level"] >= host_level(F.col("host"))
-    return met.select("host", "template", F.aggregate("met", F.lit(0.5), fold).alias("purity"), own.alias("own"))
+    return templates.select("t", "host", "template").join(met, "t").select("host", "template", F.aggregate("met", F.lit(0.5), fold).alias("purity"), own.alias("own"))
 
 
 def judged(
@@ -153,7 +157,8 @@ def judged(
     rows = common.materialise(rows.withColumn("_key", F.concat(F.array("host"), F.col("segments"))))
     # All that follows goes by path, not by page: one row for a path however many pages it has.
     paths = rows.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.sum("bad").alias("bad"))
-    paths = merged(common.materialise(with_wildcards(common.materialise(paths))))
+    paths = common.materialise(paths.withColumn("path", F.monotonically_increasing_id()))
+    paths = merged(common.materialise(with_wildcards(paths)))
     paths = common.materialise(paths)
     # The deepest labelled node of a template judges it.
     found = paths.join(purities(paths), ["host", "template"], "left")
@@ -165,31 +170,54 @@ def judged(
     return out.select("id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", "method").alias("verdict"))
 
 
+def suffix_keys(segments: Column) -> Column:
+    """A hash of what follows each segment."""
+    back = F.aggregate(F.reverse(segments), F.array(F.lit(0).cast("long")), lambda acc, s: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), s))))
+    return F.slice(F.reverse(back), F.lit(2), F.size(segments))
+
+
+def similar(bad: Column, n: Column, bad_before: Column, n_before: Column) -> Column:
+    """Two proportions that the labels don't tell apart: the pooled test of their difference."""
+    share = (bad + bad_before) / (n + n_before)
+    off = bad / n - bad_before / n_before
+    return off * off <= APART * APART * share * (1 - share) * (1 / n + 1 / n_before)
+
+
 def merged(paths: DataFrame) -> DataFrame:
-    """Literal branches below a host with the same remaining shape and labelled shares in one band become one wildcard.
+    """Literal branches of one parent, at any level, with the same shapes below them and similar labels become a wildcard.
 
-    Only branches of which each has labels are merged, and only where two or more agree.
+    A branch takes part if it has LEAST labels. Branches of one parent and shape stand by their share of bad labels; each
+    joins the one before unless a test of the two proportions tells them apart. All levels are judged at once, by the
+    templates as they come in; a row for each segment carries hashes of what is above and below it.
     """
-    rest = F.slice("template", 2, F.greatest(F.size("template") - 1, F.lit(0)))
-    keyed = paths.withColumn("_first", F.try_element_at("template", F.lit(1)))
-    shapes = (
-        keyed.where("n > 0 and _first is not null and not _first like '{%' and _first <> '*'")
-        .groupBy("host", "_first", F.xxhash64(F.array_join(rest, "/")).alias("shape"))
-        .agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    above = prefix_keys(F.col("host"), F.col("template"))
+    inner = F.transform(
+        "template", lambda s, i: F.struct(i.alias("depth"), s.alias("branch"), F.get("_above", i).alias("parent"), F.get("_below", i).alias("shape"))
     )
+    literal = F.filter(inner, lambda x: ~x["branch"].startswith("{") & ~x["branch"].isin("*", ""))
+    steps = paths.withColumns({"_above": above, "_below": suffix_keys(F.col("template"))}).select("path", "n", "bad", F.inline(literal))
+    steps = steps.withColumn("key", F.struct("parent", "branch"))
+    shapes = steps.where("n > 0").groupBy("key", "shape").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # A branch's set of shapes as a count and a sum of hashes: bounded whatever the branch holds.
-    branches = shapes.groupBy("host", "_first").agg(
-        F.count(F.lit(1)).alias("shapes"),
-        F.sum(F.col("shape").cast("decimal(38,0)")).alias("signature"),
-        F.least(F.floor(F.sum("bad") / F.sum("n") * BANDS), F.lit(BANDS - 1)).alias("band"),
+    branches = shapes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("shapes"), F.sum(F.col("shape").cast("decimal(38,0)")).alias("signature"), F.sum("n").alias("n"), F.sum("bad").alias("bad")
     )
-    same = ["host", "shapes", "signature", "band"]
-    groups = branches.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("_first").alias("low"), F.max("_first").alias("high"))
-    name = F.concat(F.lit("{"), "low", F.lit(".."), "high", F.lit("}")).alias("_name")
-    names = branches.join(groups.where("n > 1"), same).select("host", "_first", name)
-    out = keyed.join(names, ["host", "_first"], "left")
-    renamed = F.concat(F.array("_name"), rest)
-    return out.withColumn("template", F.when(F.col("_name").isNull(), F.col("template")).otherwise(renamed)).drop("_first", "_name")
+    branches = branches.where(F.col("n") >= LEAST)
+    alike = [F.col("key.parent"), "shapes", "signature"]
+    by_share = W.partitionBy(*alike).orderBy(F.col("bad") / F.col("n"), "key.branch")
+    before = [F.lag(x).over(by_share) for x in ("bad", "n")]
+    branches = branches.withColumn("_joins", F.coalesce(similar(F.col("bad"), F.col("n"), *before), F.lit(False)))
+    branches = branches.withColumn("_group", F.sum((~F.col("_joins")).cast("int")).over(by_share))
+    group = W.partitionBy(*alike, "_group")
+    branches = branches.withColumns({"_size": F.count(F.lit(1)).over(group), "low": F.min("key.branch").over(group), "high": F.max("key.branch").over(group)})
+    names = branches.where("_size > 1").select("key", F.concat(F.lit("{"), "low", F.lit(".."), "high", F.lit("}")).alias("name"))
+    # How many paths go through a renamed branch: a hot one's rows are joined by broadcast.
+    sizes = steps.groupBy("key").agg(F.count(F.lit(1)).alias("paths"))
+    named = common.join_groups(steps.select("path", "depth", "key"), common.materialise(names.join(sizes, "key")), "key", "paths")
+    names_of = named.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("depth", "name"))).alias("_names"))
+    out = paths.join(names_of, "path", "left")
+    renamed = F.transform("template", lambda s, i: F.coalesce(F.try_element_at("_names", i), s))
+    return out.withColumn("template", F.when(F.col("_names").isNull(), F.col("template")).otherwise(renamed)).drop("_names")
 
 
 #: A page whose visible text has this share of words with doubled symbols is bad; with at most the other share, and so many

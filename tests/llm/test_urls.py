@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -68,6 +69,33 @@ def test_similar_branches_merge(spark):
     assert got == {"/{de..fr}/{n}": "block", "/{en..es}/{n}": "allow"}
 
 
+def labelled(spark, rows):
+    """rows: (url, bad or None, times)."""
+    pages = [(url, bad) for url, bad, times in rows for _ in range(times)]
+    df = spark.createDataFrame([(n, url) for n, (url, _) in enumerate(pages)], "page_id long, url string")
+    labels = spark.createDataFrame([(n, bad) for n, (_, bad) in enumerate(pages) if bad is not None], "id long, bad int")
+    return {r.template for r in urls.judged(df, labels).collect()}
+
+
+def test_branches_merge_at_every_level_by_a_test_on_counts(spark):
+    deep = [(f"http://h.org/top/{k}/p1", b, 10) for k in "xy" for b in (0, 1)] + [("http://h.org/top/z/p1", 1, 20), ("http://h.org/top/w/p2", 0, 20)]
+    assert labelled(spark, deep) == {"/top/{x..y}/p1", "/top/z/p1", "/top/w/p2"}
+    near = [("http://h.org/a/p", 1, 39), ("http://h.org/a/p", 0, 61), ("http://h.org/b/p", 1, 41), ("http://h.org/b/p", 0, 59)]
+    assert labelled(spark, near) == {"/{a..b}/p"}
+    assert labelled(spark, [("http://h.org/a/p", 1, 1), ("http://h.org/b/p", 1, 1)]) == {"/a/p", "/b/p"}
+    far = [("http://h.org/a/p", 1, 20), ("http://h.org/a/p", 0, 80), ("http://h.org/b/p", 1, 50), ("http://h.org/b/p", 0, 50)]
+    assert labelled(spark, far) == {"/a/p", "/b/p"}
+
+
+def test_urls_of_many_segments(spark):
+    """Work goes by the number of segments, not by its square times their length."""
+    rows = [(n, "http://h.org/" + "/".join(f"s{k % 10}" for k in range(5000)) + f"/{n}") for n in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.perf_counter()
+    got = urls.judged(df, df.select(F.col("page_id").alias("id"), F.lit(0).alias("bad"))).collect()
+    assert time.perf_counter() - began < 90 and {r.template.count("/") for r in got} == {5001}
+
+
 def test_empty(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
@@ -127,19 +155,33 @@ def plain_judgement(pages, labels):
         r[4] = ["*" if (r[0], *r[4][:k]) in many else s for k, s in enumerate(r[4])]
     branches = defaultdict(list)
     for i, (host, _, _, _, parts) in rows.items():
-        if i in labels and parts and not parts[0].startswith("{") and parts[0] != "*":
-            branches[host, parts[0]].append(("/".join(parts[1:]), labels[i]))
+        for k, s in enumerate(parts):
+            if i in labels and s not in ("", "*") and not s.startswith("{"):
+                branches[(host, *parts[:k]), s].append(("/".join(parts[k + 1 :]) + f"|{len(parts)}", labels[i]))
     alike = defaultdict(list)
-    for (host, name), seen in branches.items():
-        band = min(int(sum(b for _, b in seen) * urls.BANDS // len(seen)), urls.BANDS - 1)
-        alike[host, frozenset(s for s, _ in seen), band].append(name)
-    renamed = {(h, n): f"{{{min(ns)}..{max(ns)}}}" for (h, _, _), ns in alike.items() if len(ns) > 1 for n in ns}
+    for (parent, name), seen in branches.items():
+        if len(seen) >= urls.LEAST:
+            alike[parent, frozenset(s for s, _ in seen)].append((sum(b for _, b in seen) / len(seen), name, sum(b for _, b in seen), len(seen)))
+    renamed = {}
+    for (parent, _), found_ in alike.items():
+        groups = []
+        for share, name, bad, n in sorted(found_):
+            if groups:
+                _, last_bad, last_n = groups[-1][-1]
+                pooled = (bad + last_bad) / (n + last_n)
+                if (share - last_bad / last_n) ** 2 <= urls.APART**2 * pooled * (1 - pooled) * (1 / n + 1 / last_n):
+                    groups[-1].append((name, bad, n))
+                    continue
+            groups.append([(name, bad, n)])
+        for group in groups:
+            names = [x[0] for x in group]
+            if len(names) > 1:
+                renamed.update({(parent, n): f"{{{min(names)}..{max(names)}}}" for n in names})
     counts = defaultdict(lambda: [0, 0])
     chains = {}
     for i, r in rows.items():
         host, parts = r[0], r[4]
-        if parts:
-            parts[0] = renamed.get((host, parts[0]), parts[0])
+        parts = r[4] = [renamed.get(((host, *parts[:k]), s), s) for k, s in enumerate(parts)]
         names = host.split(".")[::-1][:3]
         chain = [("all",), *[(".", *names[: k + 1]) for k in range(len(names))], *[("/", host, *parts[:k]) for k in range(len(parts) + 1)]]
         chains[i] = chain, len(names) + 1
