@@ -319,7 +319,7 @@ def keep_one_of_each(
     Two documents link if their sets of shingles (width words) have the Jaccard similarity or more; every link is verified
     on the sets, and a class is what links connect. Pairs just at the similarity are found with RECALL, nearer ones more
     often. Texts without words are copies of each other. Of rows with equal id and text one stays. Where no row of a class
-    has an id, the one with the least text hash stays. An empty table gives no rows; all columns are kept.
+    has an id, the one with the least text hash stays. Ids may be numbers or texts. An empty table gives no rows; all columns are kept.
     """
     sketched = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), sketch(F.col(text_col), width).alias("s"))
     rows = common.materialise(sketched.select("id", "h", "s.*"), TEXTS)
@@ -332,8 +332,8 @@ def keep_one_of_each(
     roots = nodes.select("node", "k").join(linked, F.col("node") == F.col("_node"), "left")
     kept = roots.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k"))
     keys = ["_qm_none", "_qm_id", "_qm_h"]
-    kept = kept.select(F.col("k.none").alias(keys[0]), F.coalesce("k.id", F.lit(0)).alias(keys[1]), F.col("k.h").alias(keys[2]))
-    own = {keys[0]: F.col(id_col).isNull(), keys[1]: F.coalesce(id_col, F.lit(0)), keys[2]: F.xxhash64(text_col)}
+    kept = kept.select(F.col("k.none").alias(keys[0]), F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias(keys[1]), F.col("k.h").alias(keys[2]))
+    own = {keys[0]: F.col(id_col).isNull(), keys[1]: F.coalesce(F.col(id_col).cast("string"), F.lit("")), keys[2]: F.xxhash64(text_col)}
     # Equal rows become one before they are dealt out, so that no task gets many of them.
     return docs.withColumns(own).dropDuplicates(keys).join(kept, keys, "left_semi").drop(*keys)
 

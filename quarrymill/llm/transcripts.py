@@ -202,7 +202,7 @@ def parsed(lines: DataFrame, model: Model, order: list[str]) -> DataFrame:
     """Turns of transcripts given as lines: columns conv_id, the columns named in order, and line.
 
     One row per turn (and per segment that a turn spans): conv_id, turn, part, role, n_lines, text, rendered. Ends with the
-    last line of each transcript. Null lines count as empty; a null conv_id is one transcript of its own; lines that tie in
+    last line of each transcript. conv_id is a whole number. Null lines count as empty; a null conv_id is one transcript of its own; lines that tie in
     the order stand by their text; an empty table gives no rows.
     """
     line = F.coalesce("line", F.lit(""))

@@ -163,3 +163,9 @@ def test_empty_and_components_of_paths(spark):
     hub = spark.range(1000, 1400).select(F.col("id").alias("a"), F.lit(999).cast("long").alias("b"))
     got = {r.node: r.root for r in connected_components(path.union(hub).union(path)).collect()}
     assert set(got.values()) == {0, 999} and len(got) == 201 + 401
+
+
+def test_one_of_each_with_text_ids(spark):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), (None, "one two three four five six"), ("0", "others are words of their own"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(map(str, (r.doc_id for r in S.keep_one_of_each(df).collect()))) == ["0", "None", "a"]

@@ -101,3 +101,29 @@ def test_odd_lines(spark, turns):
     assert next(r for r in got if r.conv_id is None).rendered == "<|user|>\na\n"
     assert [r.role for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.turn)][-2:] == ["user", "assistant"]
     assert T.parsed(df.limit(0), model, ["turn"]).count() == 0
+
+
+def test_query_s_turns_against_a_plain_version(spark, small_dir):
+    """Roles, turns, texts and rendering of the whole query, from the model and the lines' features alone."""
+    from pyspark.sql import functions as F
+
+    turns = T.transcript_turns(spark.read.parquet(f"{small_dir}/conversations.parquet"))
+    model = T.train(turns.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 3 != 1))
+    seen = lines_of(spark, turns).select("conv_id", "turn", "at", "line", *[c.alias(n) for n, c in T.observed(F.col("line")).items()]).toPandas()
+    expected = []
+    for conv, part in seen.sort_values(["conv_id", "turn", "at"]).groupby("conv_id"):
+        emission = model.emission(part.marker.to_numpy(), part.form.to_numpy())
+        states = T.decode(model, emission, -1, -1)
+        said, held = part.said.tolist(), []
+        for k, state in enumerate(states):
+            role, starts = T.STATES[state]
+            if starts or not held:
+                held.append([T.ROLES[role], []])
+            held[-1][1].append(said[k])
+        for n, (role, lines) in enumerate(held):
+            text = "\n".join(lines)
+            expected.append((conv, n, 0, role, len(lines), text, f"<|{role}|>\n{text}\n"))
+    got = [tuple(r) for r in T.op3_transcripts(spark, small_dir).collect()]
+    names = ["conv_id", "turn", "part", "role", "n_lines", "text", "rendered"]
+    assert T.op3_transcripts(spark, small_dir).columns == names
+    assert sorted(got) == sorted(expected)
