@@ -36,6 +36,21 @@ def raw_path(spark: SparkSession, sf_dir: str) -> str:
     return _RAW[key]
 
 
+#: Gzip files that the raw table is spread over where the flow starts from delimited text.
+RAW_FILES = 10
+_TEXT: dict[str, str] = {}
+
+
+def raw_text_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the raw table as gzip delimited files with a header, written once for each raw table."""
+    source = raw_path(spark, sf_dir)
+    if source not in _TEXT:
+        path = files.scratch(spark, "raw_text")
+        files.write_chunks(files.scan_parquet(spark, source), path, RAW_FILES, "product_id")
+        _TEXT[source] = path
+    return _TEXT[source]
+
+
 class Catalog:
     """The dirty catalog of one folder of tables, and what the flow makes of it; nothing runs until asked for."""
 
@@ -237,6 +252,16 @@ def _synth(cat):
 
 # The flow --------------------------------------------------------------------------------------------------------------
 query("flagship_clean", on_clean("SELECT * FROM clean"))(lambda cat: cat.clean)
+
+
+@query("clean_from_files", on_clean("SELECT * FROM clean"))
+def _clean_from_files(cat):
+    """The flow from gzip text. Such files can't be split: their rows are spread over all cores before they are parsed."""
+    spread = max(RAW_FILES, cat.spark.sparkContext.defaultParallelism)
+    raw = files.scan_delimited(cat.spark, f"{raw_text_path(cat.spark, cat.sf_dir)}/*.csv.gz", flow.RAW_COLUMNS, spread)
+    return flow.clean(flow.flagged(raw, cat.brand_map, fx.RULES))
+
+
 query("vw_products", on_clean("SELECT * FROM clean"))(lambda cat: (files.publish({"vw_products": cat.clean}), cat.spark.table("vw_products"))[1])
 query("quarantine", on_clean("SELECT * FROM quarantine"))(lambda cat: cat.quarantine)
 query("split_valid", on_flags("SELECT is_valid, count(*) AS n, count(DISTINCT product_id) AS ids FROM flagged GROUP BY is_valid"))(

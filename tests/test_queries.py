@@ -14,7 +14,8 @@ SOME = (
     "clean_columns derive_chain flagship_clean quarantine vw_kpi_summary vw_category_performance measure_cube dq_funnel reconcile "
     "brand_category_pivot price_vs_median argmax_leaders reason_exploded filter_pane_values inject_duplicates corrupt_price "
     "corrupt_date write_raw ml_encode anomaly_threshold sample_stratified burst_by_recipient synth_catalog dims scan_csv_gz scan_drift "
-    "sample_fixed split_train_test weighted_choice golden_values fetch_window sort_measure aggregate_by_name shuffle_rows"
+    "sample_fixed split_train_test weighted_choice golden_values fetch_window sort_measure aggregate_by_name shuffle_rows "
+    "kpi_recon detail_vs_total golden_published recipient_extracts segment_assign forest_nodes ml_anomaly_score anomaly_review clean_from_files"
 ).split()
 NAMES = list(registry.oracle_sql()) if os.environ.get("QUARRYMILL_ALL") else SOME
 
