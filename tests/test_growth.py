@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from quarrymill.functions import cleaning as C
+from quarrymill.plans import registry
 from quarrymill.sources import fixtures as fx
 
 
@@ -26,3 +27,8 @@ def test_dates_are_parsed_by_the_format_that_they_may_have(spark):
     assert {r.t: (r.plain, r.d) for r in df.select("t", *one).collect()} == {t: (d, d) for t, d in texts.items()}
     tried = df.where("t IS NOT NULL").select(sum(C.may_fit(F.col("t"), f).cast("int") for f in C.DATE_FORMATS).alias("n"))
     assert {r.n for r in tried.collect()} <= {0, 1}
+
+
+def test_the_brand_map_is_a_table_of_known_size(spark, small_dir):
+    plan = executed(registry.Catalog(spark, small_dir).brand_map)
+    assert "FileScan parquet" in plan and "Window" not in plan and "Join" not in plan
