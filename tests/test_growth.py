@@ -2,10 +2,12 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions import cleaning as C
 from quarrymill.plans import registry
+from quarrymill.sources import files
 from quarrymill.sources import fixtures as fx
 
 
@@ -32,3 +34,29 @@ def test_dates_are_parsed_by_the_format_that_they_may_have(spark):
 def test_the_brand_map_is_a_table_of_known_size(spark, small_dir):
     plan = executed(registry.Catalog(spark, small_dir).brand_map)
     assert "FileScan parquet" in plan and "Window" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["write_raw", "scan_csv_gz"])
+def test_gzip_files_grow_in_number(spark, small_dir, monkeypatch, name):
+    monkeypatch.setattr(registry, "CHUNK_ROWS", 500)
+    df = registry.queries()[name](spark, small_dir)
+    rows = spark.read.parquet(f"{small_dir}/lineitem.parquet").count()
+    assert len(df.inputFiles()) >= rows / 500 > 4 and df.count() == rows
+
+
+def test_the_flow_from_text_spreads_no_rows(spark, small_dir, monkeypatch):
+    monkeypatch.setattr(registry, "_TEXT", {})
+    monkeypatch.setattr(registry, "CHUNK_ROWS", 200)
+    df = registry.queries()["clean_from_files"](spark, small_dir)
+    assert "RoundRobinPartitioning" not in executed(df)
+    assert len(df.inputFiles()) >= spark.read.parquet(f"{small_dir}/lineitem.parquet").count() / 200
+
+
+def test_medians_and_segments_read_narrow_rows_that_are_written_once(spark, small_dir, monkeypatch):
+    df = registry.queries()["price_vs_median"](spark, small_dir)
+    assert "Generate" not in executed(df)
+    written = []
+    plain = files.write_parquet
+    monkeypatch.setattr(files, "write_parquet", lambda df, path: (written.append((path.rpartition("/")[2], df.columns)), plain(df, path)))
+    registry.queries()["ml_segments"](spark, small_dir)
+    assert dict(written)["segment_rows"] == ["product_id", "price_zar", "margin_pct", "units_sold_12m", "rating"]
