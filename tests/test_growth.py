@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions import cleaning as C
+from quarrymill.plans import cleaning as flow
 from quarrymill.plans import registry
 from quarrymill.sources import files
 from quarrymill.sources import fixtures as fx
@@ -60,3 +61,11 @@ def test_medians_and_segments_read_narrow_rows_that_are_written_once(spark, smal
     monkeypatch.setattr(files, "write_parquet", lambda df, path: (written.append((path.rpartition("/")[2], df.columns)), plain(df, path)))
     registry.queries()["ml_segments"](spark, small_dir)
     assert dict(written)["segment_rows"] == ["product_id", "price_zar", "margin_pct", "units_sold_12m", "rating"]
+
+
+def test_rejected_rows_move_empty_and_apart(spark, small_dir):
+    both = flow.clean_and_rejected(registry.Catalog(spark, small_dir).flags)
+    plan = executed(both)
+    assert "WindowGroupLimit" in plan and "max_by" not in plan
+    apart = both.where("rejected > 0")
+    assert apart.count() > 1 and apart.where("product_id IS NOT NULL OR is_active IS NOT NULL OR stock_qty IS NOT NULL").isEmpty()
