@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions import cleaning as C
+from quarrymill.operators import reports
 from quarrymill.plans import cleaning as flow
 from quarrymill.plans import registry
 from quarrymill.sources import files
@@ -22,6 +23,15 @@ def test_the_raw_table_s_joins_have_one_shape_at_every_size(spark, small_dir):
     assert "hashpartitioning(id" not in plan and plan.count("Generate inline") == 4
 
 
+def test_distinct_values_move_once_for_all_figures(spark, small_dir):
+    rows = [("a", True), ("a", None), ("b", False), ("b", None), ("c", None), ("", True), (None, True), ("d", False), ("d", True)]
+    got = reports.distinct_and_marked(spark.createDataFrame(rows, "k string, f boolean"), "k", "f", "n", "m")
+    assert got.collect() == [(5, 3)]
+    assert reports.distinct_and_marked(spark.createDataFrame([], "k string, f boolean"), "k", "f", "n", "m").collect() == [(0, 0)]
+    plan = registry.queries()["distinct_count"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+
+
 def test_dates_are_parsed_by_the_format_that_they_may_have(spark):
     day = datetime.date(2023, 4, 9)
     texts = {"2023-04-09": day, "09/04/2023": day, "04-09-2023": day, "9/4/2023": None, "2023/04/09": None, "": None, "N/A": None, None: None}
