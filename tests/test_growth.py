@@ -23,6 +23,17 @@ def test_the_raw_table_s_joins_have_one_shape_at_every_size(spark, small_dir):
     assert "hashpartitioning(id" not in plan and plan.count("Generate inline") == 4
 
 
+def test_joined_rows_move_as_whole_numbers_and_dates(spark, small_dir):
+    plans, moved = [fx.clean_base(spark, small_dir)._jdf.queryExecution().optimizedPlan()], []
+    while plans:
+        plan = plans.pop()
+        below = [plan.children().apply(k) for k in range(plan.children().size())]
+        if plan.nodeName() == "Join":
+            moved += [b.output().apply(k).dataType().simpleString() for b in below for k in range(b.output().size())]
+        plans += below
+    assert len(moved) > 20 and set(moved) == {"bigint", "int", "date", "string"}
+
+
 def test_distinct_values_move_once_for_all_figures(spark, small_dir):
     rows = [("a", True), ("a", None), ("b", False), ("b", None), ("c", None), ("", True), (None, True), ("d", False), ("d", True)]
     got = reports.distinct_and_marked(spark.createDataFrame(rows, "k string, f boolean"), "k", "f", "n", "m")
