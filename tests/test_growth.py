@@ -43,6 +43,14 @@ def test_distinct_values_move_once_for_all_figures(spark, small_dir):
     assert "Expand" not in plan
 
 
+@pytest.mark.parametrize("name", ["display_format", "month_added"])
+def test_columns_of_the_flow_move_no_rows(spark, small_dir, name):
+    df = registry.queries()[name](spark, small_dir)
+    plan = executed(df)
+    assert not any(x in plan for x in ("hashpartitioning", "rangepartitioning", "RoundRobin", "SortMergeJoin", "Window"))
+    assert df.count() == spark.read.parquet(f"{small_dir}/lineitem.parquet").count()
+
+
 def test_dates_are_parsed_by_the_format_that_they_may_have(spark):
     day = datetime.date(2023, 4, 9)
     texts = {"2023-04-09": day, "09/04/2023": day, "04-09-2023": day, "9/4/2023": None, "2023/04/09": None, "": None, "N/A": None, None: None}
