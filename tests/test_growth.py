@@ -43,7 +43,7 @@ def test_distinct_values_move_once_for_all_figures(spark, small_dir):
     assert "Expand" not in plan
 
 
-@pytest.mark.parametrize("name", ["display_format", "month_added"])
+@pytest.mark.parametrize("name", ["display_format", "month_added", "derived_margin"])
 def test_columns_of_the_flow_move_no_rows(spark, small_dir, name):
     df = registry.queries()[name](spark, small_dir)
     plan = executed(df)
