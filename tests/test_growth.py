@@ -51,6 +51,36 @@ def test_columns_of_the_flow_move_no_rows(spark, small_dir, name):
     assert df.count() == spark.read.parquet(f"{small_dir}/lineitem.parquet").count()
 
 
+def moved(spark, run):
+    """Bytes that the stages of a run shuffle, spill and write. Spark keeps the last thousand stages: older ones aren't looked at."""
+    bus, none = spark._jsc.sc(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        bus.listenerBus().waitUntilEmpty()
+        found = bus.statusStore().stageList(None, False, False, none, None)
+        return [found.apply(k) for k in range(found.size())]
+
+    last = max([-1, *(s.stageId() for s in stages())])
+    run()
+    return sum(s.shuffleWriteBytes() + s.diskBytesSpilled() + s.outputBytes() for s in stages() if s.stageId() > last)
+
+
+def test_months_move_as_much_where_only_nations_are_small(spark, small_dir, tmp_path, monkeypatch):
+    """The whole query, its raw table too: tables that pass Spark's threshold for a broadcast change nothing."""
+    usual, got = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), {}
+    try:
+        for name, threshold in (("usual", usual), ("low", "2600b")):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            monkeypatch.setattr(registry, "_RAW", {})
+            months = registry.queries()["month_added"]
+            got[name] = moved(spark, lambda: months(spark, small_dir).write.parquet(f"{tmp_path}/{name}"))  # noqa: B023
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert 200_000 < got["low"] < 1.05 * got["usual"], got
+    one, other = [spark.read.parquet(f"{tmp_path}/{name}") for name in got]
+    assert one.exceptAll(other).isEmpty() and one.count() == other.count()
+
+
 def test_dates_are_parsed_by_the_format_that_they_may_have(spark):
     day = datetime.date(2023, 4, 9)
     texts = {"2023-04-09": day, "09/04/2023": day, "04-09-2023": day, "9/4/2023": None, "2023/04/09": None, "": None, "N/A": None, None: None}
