@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrymill.sources import files
 
 #: Bits of the hash that orders rows, and bits that one level of its histogram resolves.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -24,30 +25,37 @@ def uniform(key: str | Column, seed: int) -> Column:
     return F.pmod(draw(key, seed), F.lit(1 << 40)).cast("double") / float(1 << 40)
 
 
-def least_by_hash(df: DataFrame, key: str, want: Callable[[Column], Column], seed: int, stratum: str | None = None) -> DataFrame:
+def least_by_hash(
+    df: DataFrame, key: str, want: Callable[[Column], Column], seed: int, stratum: str | None = None, few: bool = False
+) -> DataFrame:
     """The rows with the least hashes, as many of each stratum as want makes of its size; equal hashes by key.
 
     Two levels of a histogram of the hash find the bucket (a share of 2^-24 of a stratum) in which the wanted number ends.
-    Rows below it are taken by a filter; only the bucket's rows are ranked. No stratum is sorted or gathered.
+    Rows below it are taken by a filter; only the bucket's rows are ranked. No stratum is sorted or gathered. The edges, one
+    row per stratum, are written: Spark then knows their size, so that no row moves to meet them. few: the wanted rows are
+    few, and are written with those of the first level's bucket (a share of 2^-12), so that the rest passes twice only.
     """
     kind = F.col(stratum) if stratum else F.lit(0)
-    rows = df.withColumns({"_stratum": kind, "_h": draw(key, seed)})
+    # The hash is never null; Spark, told so, doesn't take it once more for a test on null.
+    rows = df.withColumns({"_stratum": kind, "_h": F.coalesce(draw(key, seed), F.lit(0))})
     same = F.col("_stratum").eqNullSafe(F.col("_s"))
     whole = W.partitionBy("_stratum")
-    first = rows.groupBy("_stratum", F.shiftright("_h", HASH_BITS - LEVEL_BITS).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    coarse, fine = (F.shiftright("_h", HASH_BITS - k * LEVEL_BITS) for k in (1, 2))
+    first = rows.groupBy("_stratum", coarse.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     first = first.withColumns({"_until": F.sum("_n").over(whole.orderBy("_b")), "_want": want(F.sum("_n").over(whole)).cast("long")})
     edge = first.where("_until >= _want and _until - _n < _want").select(
         F.col("_stratum").alias("_s"), F.col("_b").alias("_edge"), (F.col("_want") - F.col("_until") + F.col("_n")).alias("_rest")
     )
-    inside = rows.select("_stratum", "_h").join(edge, same & (F.shiftright("_h", HASH_BITS - LEVEL_BITS) == F.col("_edge")))
-    bits = HASH_BITS - 2 * LEVEL_BITS
-    second = inside.groupBy("_stratum", "_rest", F.shiftright("_h", bits).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    near = rows.join(files.sized(edge, "edge"), same & (coarse <= F.col("_edge"))).drop("_s")
+    if few:
+        near = files.sized(near, "near")
+    second = near.where(coarse == F.col("_edge")).groupBy("_stratum", "_rest", fine.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     second = second.withColumn("_until", F.sum("_n").over(whole.orderBy("_b")))
     edge = second.where("_until >= _rest and _until - _n < _rest").select(
         F.col("_stratum").alias("_s"), F.col("_b").alias("_edge"), (F.col("_rest") - F.col("_until") + F.col("_n")).alias("_rest")
     )
-    near = rows.join(edge, same & (F.shiftright("_h", bits) <= F.col("_edge")))
-    last = F.shiftright("_h", bits) == F.col("_edge")
+    near = near.drop("_edge", "_rest").join(files.sized(edge, "edge"), same & (fine <= F.col("_edge")))
+    last = fine == F.col("_edge")
     rank = F.row_number().over(whole.orderBy("_h", key))
     edged = near.where(last).withColumn("_rank", rank).where("_rank <= _rest").select(*df.columns)
     return near.where(~last).select(*df.columns).union(edged)
@@ -55,7 +63,7 @@ def least_by_hash(df: DataFrame, key: str, want: Callable[[Column], Column], see
 
 def fixed_size(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly min(n, rows) rows."""
-    return least_by_hash(df, key, lambda size: F.least(size, F.lit(n)), seed)
+    return least_by_hash(df, key, lambda size: F.least(size, F.lit(n)), seed, few=True)
 
 
 def stratified(df: DataFrame, stratum: str, key: str, fraction: float, seed: int = 42) -> DataFrame:

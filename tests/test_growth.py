@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions import cleaning as C
-from quarrymill.operators import reports
+from quarrymill.operators import reports, sampling
 from quarrymill.plans import cleaning as flow
 from quarrymill.plans import registry
 from quarrymill.sources import files
@@ -128,3 +128,25 @@ def test_rejected_rows_move_empty_and_apart(spark, small_dir):
     assert "WindowGroupLimit" in plan and "max_by" not in plan
     apart = both.where("rejected > 0")
     assert apart.count() > 1 and apart.where("product_id IS NOT NULL OR is_active IS NOT NULL OR stock_qty IS NOT NULL").isEmpty()
+
+
+def test_typed_columns_are_parsed_a_few_at_a_time(spark, small_dir):
+    plan = executed(registry.Catalog(spark, small_dir).cleaned)
+    assert plan.count("Generate inline") == 4
+
+
+def test_rows_walk_down_the_trees_once(spark, small_dir, monkeypatch):
+    written, plain = {}, files.write_parquet
+    monkeypatch.setattr(files, "write_parquet", lambda df, path: (written.update({path.rpartition("/")[2]: df.columns}), plain(df, path)))
+    plan = executed(registry.queries()["ml_anomaly_score"](spark, small_dir))
+    assert "EvalPython" not in plan and "Generate" not in plan
+    assert written["forest_rows"] == ["product_id", "price_zar", "cost_zar", "margin_pct", "weight_kg"] and written["scores"] == ["product_id", "score"]
+
+
+def test_samples_move_no_rows_to_meet_their_edges(spark):
+    df = spark.range(3000).select("id", F.pmod("id", F.lit(3)).alias("k"))
+    for sample in (sampling.fixed_size(df, "id", 50), sampling.stratified(df, "k", "id", 0.1)):
+        sample.collect()
+        assert "SortMergeJoin" not in executed(sample)
+    plan = executed(sampling.fixed_size(df, "id", 50))
+    assert "md5" not in plan and "FileScan parquet" in plan
