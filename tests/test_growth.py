@@ -150,3 +150,13 @@ def test_samples_move_no_rows_to_meet_their_edges(spark):
         assert "SortMergeJoin" not in executed(sample)
     plan = executed(sampling.fixed_size(df, "id", 50))
     assert "md5" not in plan and "FileScan parquet" in plan
+
+
+@pytest.mark.parametrize("name", ["write_anomalies"])
+def test_anomalies_are_the_lowest_of_all_rows(spark, small_dir, monkeypatch, name):
+    """Whatever number of rows the queries were once held to."""
+    monkeypatch.setattr(registry, "SCORED_ROWS", 300, raising=False)
+    scored = registry.queries()["ml_anomaly_score"](spark, small_dir).where("is_anomaly").orderBy("anomaly_raw", "product_id")
+    most = 2000 if name == "write_anomalies" else 50
+    lowest = {r.product_id for r in scored.limit(most).collect()}
+    assert len(lowest) > 5 and {r.product_id for r in registry.queries()[name](spark, small_dir).collect()} == lowest
