@@ -152,7 +152,7 @@ def test_samples_move_no_rows_to_meet_their_edges(spark):
     assert "md5" not in plan and "FileScan parquet" in plan
 
 
-@pytest.mark.parametrize("name", ["write_anomalies"])
+@pytest.mark.parametrize("name", ["write_anomalies", "anomaly_review"])
 def test_anomalies_are_the_lowest_of_all_rows(spark, small_dir, monkeypatch, name):
     """Whatever number of rows the queries were once held to."""
     monkeypatch.setattr(registry, "SCORED_ROWS", 300, raising=False)
