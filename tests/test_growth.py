@@ -160,3 +160,8 @@ def test_anomalies_are_the_lowest_of_all_rows(spark, small_dir, monkeypatch, nam
     most = 2000 if name == "write_anomalies" else 50
     lowest = {r.product_id for r in scored.limit(most).collect()}
     assert len(lowest) > 5 and {r.product_id for r in registry.queries()[name](spark, small_dir).collect()} == lowest
+
+
+def test_margins_are_made_once(spark, small_dir):
+    plan = executed(registry.queries()["anomaly_threshold"](spark, small_dir))
+    assert "Generate" not in plan and "is_active" not in plan and "FileScan parquet [product_id" in plan
