@@ -165,3 +165,8 @@ def test_anomalies_are_the_lowest_of_all_rows(spark, small_dir, monkeypatch, nam
 def test_margins_are_made_once(spark, small_dir):
     plan = executed(registry.queries()["anomaly_threshold"](spark, small_dir))
     assert "Generate" not in plan and "is_active" not in plan and "FileScan parquet [product_id" in plan
+
+
+def test_codes_are_learned_and_given_on_rows_that_are_written_once(spark, small_dir):
+    plan = executed(registry.queries()["ml_encode"](spark, small_dir))
+    assert "Generate" not in plan and "FileScan parquet [product_id" in plan and "Window" not in plan
