@@ -170,3 +170,19 @@ def test_margins_are_made_once(spark, small_dir):
 def test_codes_are_learned_and_given_on_rows_that_are_written_once(spark, small_dir):
     plan = executed(registry.queries()["ml_encode"](spark, small_dir))
     assert "Generate" not in plan and "FileScan parquet [product_id" in plan and "Window" not in plan
+
+
+def test_extracts_look_at_every_row_once(spark, small_dir, tmp_path):
+    """Recipients with one to three fields, against a plain version; rows neither move nor are read twice."""
+    spark.range(400).select("id", *[F.when(F.col("id") % (11 + k) > 0, F.concat(F.lit(f), (F.col("id") * 7 + k) % (3 + k))).alias(f) for k, f in enumerate("abc")]).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    who = {"one": {"b": ["b0", "b2"]}, "two": {"c": ["c1"], "a": ["a0", "a1"]}, "three": {"a": ["a2"], "b": ["b1", "b3"], "c": ["c0", "c4"]}, "last": {"b": ["b1"], "c": ["c2", "c3"]}, "lost": {"a": ["a0"], "none": ["x"]}, "bare": {"a": ["a1"], "b": [None]}}
+    mapping = spark.createDataFrame([(r, f, v) for r, fields in who.items() for f, values in fields.items() for v in values], "recipient string, field string, value string")
+    got = files.recipient_extracts(df, mapping, ["id"])
+    rows = [r.asDict() for r in df.collect()]
+    want = sorted((r, row["id"]) for r, fields in who.items() for row in rows if all(row.get(f) is not None and row.get(f) in values for f, values in fields.items()))
+    assert sorted((r.recipient, r.id) for r in got.collect()) == want and {r for r, _ in want} == {"one", "two", "three", "last"}
+    plan = executed(got)
+    assert plan.count("FileScan parquet [id") == 1 and not any(x in plan for x in ("hashpartitioning", "SortMergeJoin", "Aggregate"))
+    files.write_by_recipient(got, "recipient", f"{tmp_path}/extracts", spread=None)
+    assert spark.read.parquet(f"{tmp_path}/extracts").count() == len(want)
