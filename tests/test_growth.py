@@ -186,3 +186,13 @@ def test_extracts_look_at_every_row_once(spark, small_dir, tmp_path):
     assert plan.count("FileScan parquet [id") == 1 and not any(x in plan for x in ("hashpartitioning", "SortMergeJoin", "Aggregate"))
     files.write_by_recipient(got, "recipient", f"{tmp_path}/extracts", spread=None)
     assert spark.read.parquet(f"{tmp_path}/extracts").count() == len(want)
+
+
+def test_golden_values_hold_the_published_figures_too(spark, small_dir):
+    rows = registry.queries()["golden_values"](spark, small_dir).collect()
+    wanted = {r.measure: (r.expected, r.actual, r.ok) for r in registry.queries()["golden_published"](spark, small_dir).collect()}
+    assert len(rows) == 4 and set(wanted) == set(registry.GOLDEN) and wanted["total_skus"][1] > 4000
+    for r in rows:
+        assert {m: (r[f"{m}_expected"], r[f"{m}_actual"], r[f"{m}_ok"]) for m in wanted} == wanted
+    raw = spark.read.parquet(f"{small_dir}/lineitem.parquet").count()
+    assert {r.expected for r in rows} == {raw * rate for rate in registry.RATES.values()}
